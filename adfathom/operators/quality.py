@@ -37,21 +37,32 @@ EMPTY_FILE = "CSV file is empty."
 PASSED = "Dataset passed validation and is ready for analysis."
 
 
-def stripped(value: Column) -> Column:
-    return F.regexp_replace(value, r"^\s+|\s+$", "")
+def number(cell: str) -> Column:
+    """The finite double the text column `cell` spells, else null. The pattern comes first: a
+    plain cast would also take spellings such as 1d.
+    """
+    value = f"try_cast({cell} AS DOUBLE)"
+    return F.expr(
+        f"CASE WHEN {cell} RLIKE r'{NUMBER}' AND abs({value}) < DOUBLE('Infinity') THEN {value} END"
+    )
 
 
-def number(text: Column) -> Column:
-    """The finite double a text spells, else null. The pattern comes first: a plain cast would
-    also take spellings such as 1d.
-    """
-    value = F.when(text.rlike(NUMBER), text.try_cast("double"))
-    return F.when(F.abs(value) < F.lit(float("inf")), value)
+def whole(cell: str) -> Column:
+    """The long the text column `cell` spells without passing through a double, else null."""
+    return F.expr(f"CASE WHEN {cell} RLIKE r'{WHOLE_NUMBER}' THEN try_cast({cell} AS BIGINT) END")
 
 
-def whole(text: Column) -> Column:
-    """The long a text spells without passing through a double, else null."""
-    return F.when(text.rlike(WHOLE_NUMBER), text.try_cast("bigint"))
+def _one_spelling(c: str) -> Column:
+    """The one text of a number; other text as it is. Whole numbers lose sign, zeros, decimals."""
+    value, bare = f"value_{c}", f"bare_{c}"
+    return F.expr(
+        f"""CASE WHEN {value} IS NULL THEN {c}
+                 WHEN abs({value}) < {EXACT_DOUBLE!r}D AND {value} = floor({value})
+                 THEN CAST(CAST({value} AS BIGINT) AS STRING)
+                 WHEN {bare} RLIKE r'{WHOLE_NUMBER}'
+                 THEN coalesce(CAST(try_cast({bare} AS BIGINT) AS STRING), CAST({value} AS STRING))
+                 ELSE CAST({value} AS STRING) END"""
+    )
 
 
 def normalised(text_rows: DataFrame) -> DataFrame:
@@ -60,23 +71,16 @@ def normalised(text_rows: DataFrame) -> DataFrame:
     One spelling means that 1, 1.0 and `` 1`` are the same cell; text that is no number stays as
     it is. Each step is a projection of its own, so no cell is parsed twice.
     """
-    filled = text_rows.select(
-        *[F.when(~F.col(c).rlike(r"^\s*$"), F.col(c)).alias(c) for c in COLUMNS]
+    filled = text_rows.selectExpr(
+        *[f"CASE WHEN NOT {c} RLIKE r'^\\s*$' THEN {c} END AS {c}" for c in COLUMNS]
     )
-    bare = filled.withColumns(
-        {(c if c in TEXT_COLUMNS else f"bare_{c}"): stripped(F.col(c)) for c in COLUMNS}
+    bare = {(c if c in TEXT_COLUMNS else f"bare_{c}"): c for c in COLUMNS}
+    stripped = filled.withColumns(
+        {name: F.expr(f"regexp_replace({c}, r'^\\s+|\\s+$', '')") for name, c in bare.items()}
     )
-    parsed = bare.withColumns({f"value_{c}": number(F.col(f"bare_{c}")) for c in NUMERIC_COLUMNS})
-
-    def one_spelling(c: str) -> Column:
-        value = F.col(f"value_{c}")
-        exact = (value == F.floor(value)) & (F.abs(value) < F.lit(EXACT_DOUBLE))
-        short = F.when(exact, value.cast("bigint")).cast("string")
-        longer = F.when(value.isNotNull(), F.coalesce(whole(F.col(f"bare_{c}")).cast("string"), value.cast("string")))
-        return F.coalesce(short, longer, F.col(c))
-
+    parsed = stripped.withColumns({f"value_{c}": number(f"bare_{c}") for c in NUMERIC_COLUMNS})
     return parsed.select(
-        *[F.col(c) if c in TEXT_COLUMNS else one_spelling(c).alias(c) for c in COLUMNS]
+        *[F.col(c) if c in TEXT_COLUMNS else _one_spelling(c).alias(c) for c in COLUMNS]
     )
 
 
@@ -99,15 +103,22 @@ def dedupe_counts(rows: DataFrame) -> DataFrame:
 
 def _with_values(distinct: DataFrame) -> DataFrame:
     """Add ``value_<c>``, each numeric cell parsed once, for the rules to look at."""
-    return distinct.withColumns({f"value_{c}": number(F.col(c)) for c in NUMERIC_COLUMNS})
+    return distinct.withColumns({f"value_{c}": number(c) for c in NUMERIC_COLUMNS})
 
 
-def _invalid(c: str) -> Column:
-    return F.col(c).isNotNull() & F.col(f"value_{c}").isNull()
+def _rules() -> dict[str, str]:
+    """Every rule a row can break, by name, as a condition that is never null."""
+    rules = {f"missing:{c}": f"{c} IS NULL" for c in COLUMNS}
+    rules |= {f"invalid:{c}": f"{c} IS NOT NULL AND value_{c} IS NULL" for c in NUMERIC_COLUMNS}
+    rules |= {f"negative:{c}": f"coalesce(value_{c} < 0, false)" for c in NUMERIC_COLUMNS}
+    for larger, smaller in (("clicks", "impressions"), ("purchases", "leads")):
+        rules[f"{larger}>{smaller}"] = f"coalesce(value_{larger} > value_{smaller}, false)"
+    return rules
 
 
-def _exceeds(larger: str, smaller: str) -> Column:
-    return F.col(f"value_{larger}") > F.col(f"value_{smaller}")
+def _counter(rule: str) -> str:
+    """The column that counts a rule."""
+    return rule.replace(":", "_").replace(">", "_greater_than_")
 
 
 def quality_counts(distinct: DataFrame) -> DataFrame:
@@ -115,24 +126,18 @@ def quality_counts(distinct: DataFrame) -> DataFrame:
     return _with_values(distinct).agg(
         F.count("*").alias("row_count"),
         (F.coalesce(F.sum("copies"), F.lit(0)) - F.count("*")).alias("duplicate_count"),
-        *[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in COLUMNS],
-        *[F.count_if(_invalid(c)).alias(f"invalid_{c}") for c in NUMERIC_COLUMNS],
-        *[F.count_if(F.col(f"value_{c}") < 0).alias(f"negative_{c}") for c in NUMERIC_COLUMNS],
-        F.count_if(_exceeds("clicks", "impressions")).alias("clicks_greater_than_impressions"),
-        F.count_if(_exceeds("purchases", "leads")).alias("purchases_greater_than_leads"),
+        *[F.expr(f"count_if({test}) AS {_counter(rule)}") for rule, test in _rules().items()],
     )
 
 
 def _counter_map(prefix: str, columns: list[str]) -> Column:
-    pairs = [x for c in columns for x in (F.lit(c), F.col(f"{prefix}_{c}"))]
-    return F.create_map(*pairs)
+    return F.expr("map(" + ", ".join(f"'{c}', {prefix}_{c}" for c in columns) + ")")
 
 
 def _affected(prefix: str, columns: list[str]) -> Column:
     """Names of the columns whose counter is above zero, in schema order, joined by commas."""
-    return F.concat_ws(
-        ", ", *[F.when(F.col(f"{prefix}_{c}") > 0, F.lit(c)) for c in columns]
-    )
+    names = ", ".join(f"CASE WHEN {prefix}_{c} > 0 THEN '{c}' END" for c in columns)
+    return F.expr(f"concat_ws(', ', {names})")
 
 
 def _warnings() -> Column:
@@ -164,10 +169,7 @@ def _warnings() -> Column:
 def quality_report(distinct: DataFrame) -> DataFrame:
     """The report of a table, one row. Copies alone do not make a table unready."""
     counts = quality_counts(distinct)
-    blocking = [c for c in counts.columns if c not in ("row_count", "duplicate_count")]
-    clean = F.col("row_count") > 0
-    for c in blocking:
-        clean = clean & (F.col(c) == 0)
+    clean = " AND ".join(["row_count > 0", *[f"{_counter(rule)} = 0" for rule in _rules()]])
     return counts.select(
         "row_count",
         F.lit(len(COLUMNS)).alias("column_count"),
@@ -177,7 +179,7 @@ def quality_report(distinct: DataFrame) -> DataFrame:
         _counter_map("negative", NUMERIC_COLUMNS).alias(MAPS[2]),
         "clicks_greater_than_impressions",
         "purchases_greater_than_leads",
-        clean.alias("ready_for_analysis"),
+        F.expr(clean).alias("ready_for_analysis"),
         _warnings().alias("warnings"),
     )
 
@@ -210,15 +212,13 @@ def issue_totals(report: DataFrame) -> DataFrame:
 
 def quarantine_rows(distinct: DataFrame) -> DataFrame:
     """The rows that keep a table from being ready, each with the rules it breaks."""
-    broken = [F.when(F.col(c).isNull(), F.lit(f"missing:{c}")) for c in COLUMNS]
-    broken += [F.when(_invalid(c), F.lit(f"invalid:{c}")) for c in NUMERIC_COLUMNS]
-    broken += [F.when(F.col(f"value_{c}") < 0, F.lit(f"negative:{c}")) for c in NUMERIC_COLUMNS]
-    broken.append(F.when(_exceeds("clicks", "impressions"), F.lit("clicks>impressions")))
-    broken.append(F.when(_exceeds("purchases", "leads"), F.lit("purchases>leads")))
-    marked = _with_values(distinct).select(
-        *distinct.columns, F.array_compact(F.array(*broken)).alias("broken_rules")
-    )
-    return marked.filter(F.size("broken_rules") > 0)
+    rules = _rules()
+    listed = ", ".join(f"CASE WHEN {test} THEN '{rule}' END" for rule, test in rules.items())
+    any_broken = " OR ".join(f"({test})" for test in rules.values())
+    # Naming `copies` keeps this filter above the grouping; below it, every rule would be spelled
+    # out over the raw cells.
+    broken = _with_values(distinct).filter(f"CASE WHEN {any_broken} THEN copies ELSE 0 END > 0")
+    return broken.select(*distinct.columns, F.expr(f"array_compact(array({listed})) AS broken_rules"))
 
 
 def typed_rows(distinct: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ def typed_rows(distinct: DataFrame) -> DataFrame:
     columns = []
     for c in CANONICAL_SCHEMA.fieldNames():
         if c in INTEGER_COLUMNS:
-            value = F.coalesce(whole(F.col(c)), F.col(f"value_{c}").try_cast("bigint"))
+            value = F.coalesce(whole(c), F.col(f"value_{c}").try_cast("bigint"))
         elif c in NUMERIC_COLUMNS:
             value = F.col(f"value_{c}")
         else:

@@ -80,8 +80,8 @@ def _distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def scan_normalized(spark, sf_dir):
     rows = quality.normalised(fixtures.raw(spark, sf_dir))
-    values = {c: quality.whole(F.col(c)) for c in INTEGER_COLUMNS}
-    values["spend"] = quality.number(F.col("spend"))
+    values = {c: quality.whole(c) for c in INTEGER_COLUMNS}
+    values["spend"] = quality.number("spend")
     return rows.select(*[values.get(c, F.col(c)).alias(c) for c in COLUMNS])
 
 
@@ -140,7 +140,7 @@ def quality_issue_totals(spark, sf_dir):
 def quarantine_rows(spark, sf_dir):
     rows = quality.quarantine_rows(_distinct(spark, sf_dir))
     return rows.select(
-        quality.whole(F.col("ad_id")).alias("ad_id"),
+        quality.whole("ad_id").alias("ad_id"),
         "copies",
         F.concat_ws(",", "broken_rules").alias("broken_rules"),
     )
