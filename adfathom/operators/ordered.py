@@ -106,6 +106,8 @@ def value_at(df: DataFrame, order: str, k: int, rows: int | None = None) -> Posi
     """The k-th smallest (from 1) value of the non-null numeric column `order`, exactly."""
     values = df.select(F.col(order).alias("_v")).dropna()
     rows = values.count() if rows is None else rows
+    if not 1 <= k <= rows:
+        raise ValueError(f"position {k} is not among {rows} ordered rows")
     skipped = 0
     if rows > ONE_TASK_ROWS:
         fitted = fit_ranges(values, "_v")
@@ -118,14 +120,8 @@ def value_at(df: DataFrame, order: str, k: int, rows: int | None = None) -> Posi
             skipped += part["count"]
     counts = values.groupBy("_v").agg(F.count("*").alias("n"))
     upto = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hit = (
-        counts.withColumn("run", F.sum("n").over(upto))
-        .filter(F.col("run") >= k - skipped)
-        .agg(F.min_by(F.struct("_v", "n", "run"), "run").alias("hit"))
-        .head()["hit"]
-    )
-    if hit is None:
-        raise ValueError(f"position {k} is past the last of the ordered rows")
+    reached = counts.withColumn("run", F.sum("n").over(upto)).filter(F.col("run") >= k - skipped)
+    hit = reached.agg(F.min_by(F.struct("_v", "n", "run"), "run").alias("hit")).head()["hit"]
     return Position(hit["_v"], skipped + hit["run"] - hit["n"], hit["n"])
 
 
