@@ -34,7 +34,7 @@ def test_running_totals_match_a_plain_loop(spark, descending):
     assert {r["v"]: (r["run_n"], r["total_n"], r["next_n"]) for r in got} == expected
 
 
-@pytest.mark.parametrize("ranges", [2, 7, 500])
+@pytest.mark.parametrize("ranges", [2, 500])
 def test_running_totals_do_not_depend_on_the_range_count(spark, ranges):
     df = spark.range(200).selectExpr("id * 3 AS v", "id % 7 AS n")
     fitted = ordered.fit_ranges(df, "v", ranges)
@@ -61,7 +61,7 @@ def test_order_buckets_keep_infinity_and_long_ids(spark):
     assert got[float("inf")] == 3
 
 
-@pytest.mark.parametrize("k", [1, 100, 199, 200, 201, 400, 599, 600])
+@pytest.mark.parametrize("k", [1, 200, 201, 600])
 def test_value_at_every_kind_of_position(spark, limit, k):
     values = hot_values()
     df = spark.createDataFrame([(v,) for v in values], "v double").repartition(7)
@@ -80,7 +80,7 @@ def test_value_past_the_end_is_refused(spark, limit):
         ordered.value_at(df, "v", 2)
 
 
-@pytest.mark.parametrize("n", [1, 2, 5, 600])
+@pytest.mark.parametrize("n", [1, 2, 600])
 def test_medians_take_the_middle_and_skip_nulls(spark, limit, n):
     values = hot_values(n)
     rows = [(v, v / 3, None) for v in values] + [(None, None, None)]
@@ -91,7 +91,7 @@ def test_medians_take_the_middle_and_skip_nulls(spark, limit, n):
     assert got["c"] == 0.0
 
 
-@pytest.mark.parametrize("k", [0, 1, 150, 333, 599, 600, 700])
+@pytest.mark.parametrize("k", [0, 150, 333, 700])
 def test_first_k_is_exact_with_hot_ties(spark, limit, k):
     rows = list(enumerate(hot_values()))
     df = spark.createDataFrame(rows, "id bigint, v double").repartition(6)

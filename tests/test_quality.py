@@ -81,26 +81,28 @@ def test_messy_headers_map(spark):
     assert report_of(spark, GOOD, header=header)["ready_for_analysis"]
 
 
-@pytest.mark.parametrize("cell", ["not-a-number", "1d", "1f", "0x1p3", "1,000", "inf", "1e400", "--5"])
-def test_what_is_no_number_is_invalid(spark, cell):
-    report = report_of(spark, f'708746,916,103916,30-34,M,15,"{cell}",1,1.43,2,1')
-    assert report["invalid_numeric_values"]["impressions"] == 1
+def test_what_is_no_number_is_invalid(spark):
+    cells = ["not-a-number", "1d", "1f", "0x1p3", "1,000", "inf", "1e400", "--5"]
+    report = report_of(spark, *[f'708746,916,103916,30-34,M,15,"{c}",1,1.43,2,1' for c in cells])
+    assert report["invalid_numeric_values"]["impressions"] == len(cells)
     assert report["missing_values_by_column"]["impressions"] == 0
     assert not report["ready_for_analysis"]
 
 
-@pytest.mark.parametrize("cell", ["NA", "N/A", "null", "NaN", "nan", "None", "#N/A", "<NA>", "", "   ", '""'])
-def test_no_value_words_are_missing_not_invalid(spark, cell):
-    report = report_of(spark, f"708746,916,103916,30-34,M,15,{cell},1,1.43,2,1")
-    assert report["missing_values_by_column"]["impressions"] == 1
+def test_no_value_words_are_missing_not_invalid(spark):
+    cells = ["NA", "N/A", "null", "NaN", "nan", "None", "#N/A", "<NA>", "", "   ", '""']
+    report = report_of(
+        spark, *[f"{i},916,103916,30-34,M,15,{c},1,1.43,2,1" for i, c in enumerate(cells)]
+    )
+    assert report["missing_values_by_column"]["impressions"] == len(cells)
     assert report["invalid_numeric_values"]["impressions"] == 0
     assert report["warnings"] == ["Missing values were found in: impressions."]
 
 
-@pytest.mark.parametrize("cell", ["7350", " 7350 ", "7350.0", "+7350", "7.35e3", "007350"])
-def test_one_number_in_many_spellings_is_one_row(spark, cell):
-    report = report_of(spark, GOOD, GOOD.replace("7350", cell))
-    assert report["duplicate_count"] == 1 and report["row_count"] == 1
+def test_one_number_in_many_spellings_is_one_row(spark):
+    cells = ["7350", " 7350 ", "7350.0", "+7350", "7.35e3", "007350"]
+    report = report_of(spark, *[GOOD.replace("7350", c) for c in cells])
+    assert report["duplicate_count"] == len(cells) - 1 and report["row_count"] == 1
 
 
 def test_long_ids_stay_apart(spark):
