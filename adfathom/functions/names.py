@@ -25,6 +25,9 @@ LABELS = [
 ]
 DEFAULT_ORDER = ["916", "936", "1178"]
 
+# Up to this many names (some 50 bytes each) are sent to every executor.
+BROADCAST_NAMES = 500_000
+
 
 def _named(position: Column, id_text: Column) -> Column:
     """Label number `position` (from 0, wrapping around) followed by the id."""
@@ -58,19 +61,30 @@ def campaign_names(df: DataFrame) -> DataFrame:
     """One row per campaign of `df`: campaign_id, its place in id order from 1, campaign_name."""
     ids = df.select("campaign_id").dropna().groupBy("campaign_id").agg(F.lit(1).alias("one"))
     placed = running_totals(ids, "campaign_id", ["one"])
+    place = F.col("run_one").cast("bigint")
     return placed.select(
         "campaign_id",
-        F.col("run_one").alias("place"),
-        _named(F.col("run_one") - 1, F.col("campaign_id").cast("string")).alias("campaign_name"),
+        place.alias("place"),
+        _named(place - 1, F.col("campaign_id").cast("string")).alias("campaign_name"),
     )
 
 
 def with_campaign_name(rows: DataFrame, names: DataFrame) -> DataFrame:
     """Add campaign_name to rows keyed by campaign_id; a row without a campaign reads N/A.
 
-    No broadcast is forced: how many campaigns there are depends on the data, so the size
-    known at run time decides how the two sides meet.
+    No broadcast is forced, as both sides may be as long as the list of campaigns.
     """
     joined = rows.join(names.select("campaign_id", "campaign_name"), "campaign_id", "left")
     named = F.coalesce("campaign_name", F.lit(MISSING)).alias("campaign_name")
     return joined.select(*rows.columns, named)
+
+
+def with_campaign_name_per_ad(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """The same for a table of ads, whose rows should stay where they are.
+
+    The names are counted first and broadcast up to `BROADCAST_NAMES` rows. Beyond that both
+    sides are shuffled, and the adaptive skew join splits a campaign holding most of the ads.
+    """
+    if names.count() <= BROADCAST_NAMES:
+        names = F.broadcast(names)
+    return with_campaign_name(rows, names)

@@ -13,6 +13,7 @@ from adfathom.functions.text import MISSING, finite, plain_money, whole_percent
 from adfathom.operators.insights import lines
 from adfathom.operators.ordered import exact_medians
 from adfathom.schema import DEFAULT_ASSUMPTIONS, Assumptions
+from adfathom.staging import stage
 
 INCREASE = "Increase budget carefully"
 CONTINUE = "Continue"
@@ -266,15 +267,19 @@ def advice_cube(scored: DataFrame, request: Request, baseline: Baseline) -> Data
     )
 
 
-def _profit(a: Assumptions, rows: int) -> Column:
-    """Summed profit of a group of cube rows."""
-    p = F.sum("purchases").cast("double")
+def _profit(a: Assumptions, rows: int, kept: Column | None = None) -> Column:
+    """Summed profit of a group of cube rows, or of those of them that satisfy `kept`."""
+
+    def part(column: str) -> Column:
+        return F.col(column) if kept is None else F.when(kept, F.col(column))
+
+    p = F.sum(part("purchases")).cast("double")
     share = F.lit(a.fixed_campaign_operating_cost / max(rows, 1))
     return (
         p * F.lit(a.average_order_value)
-        - money_sum("spend")
+        - money_sum(part("spend"))
         - p * F.lit(a.variable_cost)
-        - F.sum("n").cast("double") * share
+        - F.sum(part("n")).cast("double") * share
     )
 
 
@@ -313,88 +318,64 @@ def inefficient_spend(cube: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc("spend"), "campaign_id")
 
 
-def _summary(cube: DataFrame, names: DataFrame, request: Request, baseline: Baseline) -> DataFrame:
-    """All parts of the executive summary as one row, with campaign names beside the ids."""
-    a, filters = request.assumptions, request.filters
-
-    def item(name: str, value: Column, number: Column | None = None) -> list[Column]:
-        return [
-            F.lit(name).alias("item"),
-            value.cast("string").alias("value"),
-            (F.lit(None) if number is None else number).cast("double").alias("number"),
-        ]
-
-    def top(key: str, rows: DataFrame, order: Column, name: str) -> DataFrame:
-        return rows.agg(*item(name, F.min_by(F.col(key), order)))
+def _summary(cube: DataFrame, request: Request, baseline: Baseline) -> DataFrame:
+    """All parts of the executive summary as one row, with campaign names beside the ids.
 
+    The cube is grouped by campaign, by age, by interest and as a whole in one pass; a row of
+    the result belongs to the grouping whose key is set, and null keys belong to none.
+    """
+    a, kept = request.assumptions, request.filters.condition()
+    keys = ["campaign_id", "age", "interest"]
     wasted = F.when(F.col("recommendation").isin(INEFFICIENT), F.col("spend"))
-    campaigns = (
-        cube.filter(F.col("campaign_id").isNotNull())
-        .groupBy("campaign_id")
-        .agg(
-            _profit(a, baseline.rows).alias("profit"),
-            F.try_divide(money_sum("spend"), F.sum("purchases").cast("double")).alias("cac"),
-            money_sum(wasted).alias("wasted"),
-        )
+    counts = [
+        F.sum(F.when((F.col("label") == label) & F.col("kept"), F.col("n"))).alias(count_column(label))
+        for label in LABELS
+    ]
+    # Filters and labels are read before grouping, which nulls the keys of other groupings.
+    marked = cube.withColumns({"kept": kept, "label": F.col("recommendation"), "wasted": wasted})
+    groups = marked.groupingSets(
+        [[F.col(k)] for k in keys] + [[]], *[F.col(k) for k in keys]
+    ).agg(
+        F.grouping_id(*keys).alias("grouping"),
+        _profit(a, baseline.rows).alias("profit"),
+        F.try_divide(money_sum("spend"), F.sum("purchases").cast("double")).alias("cac"),
+        money_sum("wasted").alias("wasted"),
+        _profit(a, baseline.rows, F.col("kept")).alias("profit_kept"),
+        *counts,
     )
-    picked = with_campaign_name(campaigns, names).agg(
+    groups = with_campaign_name(groups, campaign_names(cube))
+
+    def first(order: Column, *shown: str) -> Column:
+        return F.min_by(F.struct(*shown), order)
+
+    def ranked(key: str, value: Column) -> Column:
+        present = F.col(key).isNotNull() & value.isNotNull()
+        return F.when(present, F.struct(value, F.col(key)))
+
+    everything = F.col("grouping") == 7  # no key is grouped by
+    campaign = ("campaign_id", "campaign_name")
+    picked = groups.agg(
+        first(ranked("campaign_id", -F.col("profit")), *campaign).alias("best"),
+        first(ranked("campaign_id", F.col("cac")), *campaign).alias("low"),
+        first(ranked("campaign_id", -F.col("wasted")), *campaign).alias("waste"),
+        first(ranked("age", -F.col("profit")), "age").alias("age"),
+        first(ranked("interest", -F.col("profit")), "interest").alias("interest"),
         *[
-            F.min_by(F.struct("campaign_id", "campaign_name"), order).alias(name)
-            for name, order in {
-                "best": F.struct(-F.col("profit"), F.col("campaign_id")),
-                "low": F.when(F.col("cac").isNotNull(), F.struct("cac", "campaign_id")),
-                "waste": F.when(
-                    F.col("wasted").isNotNull(), F.struct(-F.col("wasted"), F.col("campaign_id"))
-                ),
-            }.items()
-        ]
-    )
-    found = {
-        "best_campaign_by_profit": F.col("best.campaign_id"),
-        "best_campaign_name": F.col("best.campaign_name"),
-        "lowest_cac_campaign": F.col("low.campaign_id"),
-        "lowest_cac_name": F.col("low.campaign_name"),
-        "largest_inefficient_spend_area": F.col("waste.campaign_name"),
-    }
-    from_campaigns = picked.select(
-        F.inline(F.array(*[F.struct(*item(name, value)) for name, value in found.items()]))
-    )
-
-    def best_group(key: str, name: str) -> DataFrame:
-        groups = cube.filter(F.col(key).isNotNull()).groupBy(key).agg(
-            _profit(a, baseline.rows).alias("profit")
-        )
-        return top(key, groups, F.struct(-F.col("profit"), F.col(key)), name)
-
-    kept = cube.filter(filters.condition())
-    selected = kept.agg(
-        *item(
-            "estimated_profit_selected",
-            F.lit(None),
-            F.coalesce(_profit(a, baseline.rows), F.lit(0.0)),
-        )
-    )
-    counts = recommendation_counts(cube, filters).select(
-        F.col("recommendation").alias("item"),
-        F.lit(None).cast("string").alias("value"),
-        F.col("n").cast("double").alias("number"),
-    )
-    rows = (
-        from_campaigns.unionByName(best_group("age", "best_age_group"))
-        .unionByName(best_group("interest", "best_interest_group"))
-        .unionByName(selected)
-        .unionByName(counts)
-    )
-    texts = [*found, "best_age_group", "best_interest_group"]
-    return rows.agg(
-        *[F.max(F.when(F.col("item") == t, F.col("value"))).alias(t) for t in texts],
-        *[
-            F.max(F.when(F.col("item") == label, F.col("number"))).cast("bigint").alias(count_column(label))
-            for label in LABELS
+            F.coalesce(F.max(F.when(everything, F.col(c))), F.lit(0)).alias(c)
+            for c in map(count_column, LABELS)
         ],
-        F.max(F.when(F.col("item") == "estimated_profit_selected", F.col("number"))).alias(
-            "estimated_profit_selected"
-        ),
+        F.coalesce(F.max(F.when(everything, F.col("profit_kept"))), F.lit(0.0)).alias("profit_kept"),
+    )
+    return picked.select(
+        F.col("best.campaign_id").cast("string").alias("best_campaign_by_profit"),
+        F.col("best.campaign_name").alias("best_campaign_name"),
+        F.col("low.campaign_id").cast("string").alias("lowest_cac_campaign"),
+        F.col("low.campaign_name").alias("lowest_cac_name"),
+        F.col("age.age").alias("best_age_group"),
+        F.col("interest.interest").cast("string").alias("best_interest_group"),
+        F.col("waste.campaign_name").alias("largest_inefficient_spend_area"),
+        *map(count_column, LABELS),
+        F.col("profit_kept").alias("estimated_profit_selected"),
         F.lit(MAIN_LIMITATION).alias("main_limitation"),
         F.lit(NEXT_ACTION).alias("recommended_next_action"),
     )
@@ -411,17 +392,22 @@ def executive_summary(scored: DataFrame, request: Request, baseline: Baseline) -
     "Best" looks at the whole table; counts and selected profit at the filtered ads. A null
     key never wins, and equal values go to the smaller key.
     """
-    summary = _summary(
-        advice_cube(scored, request, baseline), campaign_names(scored), request, baseline
-    )
-    return summary.drop("best_campaign_name", "lowest_cac_name")
+    cube = stage(advice_cube(scored, request, baseline), "advice-cube")
+    return summary_from(cube, request, baseline)
+
+
+def summary_from(cube: DataFrame, request: Request, baseline: Baseline) -> DataFrame:
+    return _summary(cube, request, baseline).drop("best_campaign_name", "lowest_cac_name")
 
 
 def findings(scored: DataFrame, request: Request, baseline: Baseline) -> DataFrame:
     """Up to eight sentences as (line, text); one whose value does not exist is left out."""
-    summary = _summary(
-        advice_cube(scored, request, baseline), campaign_names(scored), request, baseline
-    )
+    cube = stage(advice_cube(scored, request, baseline), "advice-cube")
+    return findings_from(cube, request, baseline)
+
+
+def findings_from(cube: DataFrame, request: Request, baseline: Baseline) -> DataFrame:
+    summary = _summary(cube, request, baseline)
 
     def said(*parts: Column | str) -> Column:
         return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])

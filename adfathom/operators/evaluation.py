@@ -76,7 +76,8 @@ def ranking_metrics(df: DataFrame, score: str = "conversion_probability", label:
     )
     return ranked.agg(
         F.try_divide(area, pairs).alias("roc_auc"),
-        F.coalesce(F.sum(step), F.lit(0.0)).alias("average_precision"),
+        # Rounding in the sum must not lift a perfect ranking above one.
+        F.least(F.coalesce(F.sum(step), F.lit(0.0)), F.lit(1.0)).alias("average_precision"),
     )
 
 

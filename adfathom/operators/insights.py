@@ -15,6 +15,7 @@ from adfathom.operators.rollups import (
     sensitivity,
 )
 from adfathom.schema import Assumptions
+from adfathom.staging import stage
 
 # Fixed value: the sentence every set of observations opens with.
 OPENING = "High engagement does not automatically mean high business value."
@@ -95,7 +96,7 @@ def campaign_insights(df: DataFrame, a: Assumptions) -> DataFrame:
 
 
 def audience_insights(df: DataFrame, a: Assumptions) -> DataFrame:
-    cube = segment_cube(df)
+    cube = stage(segment_cube(df), "segment-cube")
 
     def top(view: str, metric: str) -> DataFrame:
         return audience(cube, view, a).agg(

@@ -15,6 +15,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from adfathom.staging import stage
+
 # Up to this many rows one task orders them directly; a count is checked first.
 ONE_TASK_ROWS = 1_000_000
 MAX_RANGES = 10_000
@@ -61,10 +63,36 @@ def running_totals(
     """Add ``run_<c>``, the inclusive running sum of each column in `totals`, and ``total_<c>``.
 
     `df` holds one row per value of `order`. Each column named in `following` also gets
-    ``next_<c>``, its value in the next row of the order (null in the last row).
+    ``next_<c>``, its value in the next row of the order (null in the last row). `df` is staged
+    first, as it is needed more than once.
     """
-    fitted = fitted or fit_ranges(df, order)
+    df = stage(df, "ordered")
     following = following or []
+    if fitted is None and df.count() <= ONE_TASK_ROWS:
+        return _totals_in_one_task(df, order, totals, descending, following)
+    return _totals_by_range(df, order, totals, descending, following, fitted or fit_ranges(df, order))
+
+
+def _totals_in_one_task(
+    df: DataFrame, order: str, totals: list[str], descending: bool, following: list[str]
+) -> DataFrame:
+    whole = Window.orderBy(F.desc(order) if descending else F.asc(order))
+    upto = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    new = {f"run_{c}": F.sum(c).over(upto) for c in totals}
+    new |= {f"total_{c}": F.sum(c).over(every) for c in totals}
+    new |= {f"next_{c}": F.lead(c).over(whole) for c in following}
+    return df.withColumns(new)
+
+
+def _totals_by_range(
+    df: DataFrame,
+    order: str,
+    totals: list[str],
+    descending: bool,
+    following: list[str],
+    fitted: Bucketizer,
+) -> DataFrame:
     ranged = with_range(df, order, fitted)
     direction = F.desc if descending else F.asc
     first_of = F.max_by if descending else F.min_by
@@ -72,12 +100,15 @@ def running_totals(
     summary = [F.sum(c).alias(f"_all_{c}") for c in totals]
     if following:
         summary.append(first_of(F.struct(*following), F.col(order)).alias("_first"))
-    across = Window.orderBy(direction("_range"))
-    # One row per range, at most MAX_RANGES + 1 of them.
+    # One row per range, at most MAX_RANGES + 1 of them: small enough to order and to broadcast.
     per_range = ranged.groupBy("_range").agg(*summary)
+    across = Window.orderBy(direction("_range"))
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = [F.coalesce(F.sum(f"_all_{c}").over(earlier), F.lit(0)).alias(f"_off_{c}") for c in totals]
-    offsets += [F.sum(f"_all_{c}").over(Window.partitionBy()).alias(f"total_{c}") for c in totals]
+    every = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offsets = []
+    for c in totals:
+        offsets.append(F.coalesce(F.sum(f"_all_{c}").over(earlier), F.lit(0)).alias(f"_off_{c}"))
+        offsets.append(F.sum(f"_all_{c}").over(every).alias(f"total_{c}"))
     if following:
         offsets.append(F.lead("_first").over(across).alias("_next_first"))
     per_range = per_range.select("_range", *offsets)

@@ -14,7 +14,8 @@ from adfathom.functions.metrics import (
     zero_when_empty,
 )
 from adfathom.functions.names import campaign_names, with_campaign_name
-from adfathom.schema import DIMENSIONS, Assumptions
+from adfathom.schema import CANONICAL_SCHEMA, DIMENSIONS, Assumptions
+from adfathom.staging import stage
 
 # How many groups a listing shows.
 GROUP_LIMIT = 20
@@ -102,8 +103,12 @@ def campaign_rollup(df: DataFrame, a: Assumptions) -> DataFrame:
 
 
 def named_campaigns(df: DataFrame, a: Assumptions) -> DataFrame:
-    """The campaign rows with display names, in no particular order."""
-    rows = with_campaign_name(campaign_sums(df, a), campaign_names(df))
+    """The campaign rows with display names, in no particular order.
+
+    The sums are staged, so names and summary come from one read of the table.
+    """
+    sums = stage(group_sums(df, ["campaign_id"]), "campaign-sums")
+    rows = with_campaign_name(with_summary(sums, a), campaign_names(sums))
     return rows.select("campaign_id", "campaign_name", *SUMMARY_COLUMNS)
 
 
@@ -112,13 +117,14 @@ def segment_cube(df: DataFrame) -> DataFrame:
     return group_sums(df, DIMENSIONS)
 
 
-def _labelled(rows: DataFrame, view: str, keys: list[str], df: DataFrame) -> DataFrame:
+def _labelled(rows: DataFrame, view: str, keys: list[str], sums: DataFrame) -> DataFrame:
     """Add group_type and group_value, the key values joined by `` / ``."""
     parts = [F.coalesce(F.col(k).cast("string"), F.lit("N/A")) for k in keys if k != "campaign_id"]
     if "campaign_id" in keys:
-        rows = with_campaign_name(rows, campaign_names(df))
+        rows = with_campaign_name(rows, campaign_names(sums))
         parts.insert(0, F.col("campaign_name"))
-    columns = [F.col(d) if d in keys else F.lit(None).cast(df.schema[d].dataType).alias(d) for d in DIMENSIONS]
+    types = {d: CANONICAL_SCHEMA[d].dataType for d in DIMENSIONS}
+    columns = [F.col(d) if d in keys else F.lit(None).cast(types[d]).alias(d) for d in DIMENSIONS]
     return rows.select(
         F.lit(view).alias("group_type"),
         F.concat_ws(" / ", *parts).alias("group_value"),
@@ -130,8 +136,11 @@ def _labelled(rows: DataFrame, view: str, keys: list[str], df: DataFrame) -> Dat
 def audience(df: DataFrame, view: str, a: Assumptions) -> DataFrame:
     """One audience view, by spend, limited where the view is a top list."""
     keys, limit = AUDIENCE_VIEWS[view]
-    rows = by_spend(with_summary(group_sums(df, keys), a), keys, limit)
-    labelled = _labelled(rows, view, keys, df)
+    sums = group_sums(df, keys)
+    if "campaign_id" in keys:
+        sums = stage(sums, f"{view}-sums")  # the names need the campaigns as well
+    rows = by_spend(with_summary(sums, a), keys, limit)
+    labelled = _labelled(rows, view, keys, sums)
     return by_spend(labelled, keys).select("group_type", "group_value", *DIMENSIONS, *SUMMARY_COLUMNS)
 
 
@@ -212,7 +221,7 @@ def top_interests_by_purchases(df: DataFrame, a: Assumptions, limit: int = 10) -
 def audience_kpis(df: DataFrame, a: Assumptions) -> DataFrame:
     """How many groups the age, gender and interest views list, and the most purchases of a
     listed interest."""
-    cube = segment_cube(df)  # one shuffle of the table, shared by the three views
+    cube = stage(segment_cube(df), "segment-cube")
     views = [
         audience(cube, view, a).select("group_type", "purchases")
         for view in ("age", "gender", "interest")

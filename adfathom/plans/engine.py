@@ -27,42 +27,42 @@ class Workspace:
     # -- analytics
 
     @cached_property
-    def _table(self) -> DataFrame:
-        return self.datasets.active()
+    def _cube(self) -> DataFrame:
+        """The active table summed up by campaign, age, gender and interest, staged once.
+
+        Every analytics question is a rollup of it, so the ads are read once per dataset.
+        """
+        return stage(rollups.segment_cube(self.datasets.active()), "segment-cube")
 
     def refresh(self) -> None:
         """Look the active dataset up again after storing another one."""
-        self.__dict__.pop("_table", None)
+        self.__dict__.pop("_cube", None)
 
     def overview(self, a: Assumptions = DEFAULT_ASSUMPTIONS) -> dict[str, DataFrame]:
-        table = self._table
         return {
-            "totals": rollups.overview_totals(table, a),
-            "funnel": rollups.funnel_stages(table),
-            "campaigns": rollups.campaign_rollup(table, a),
-            "observations": insights.overview_insights(table, a),
+            "totals": rollups.overview_totals(self._cube, a),
+            "funnel": rollups.funnel_stages(self._cube),
+            "campaigns": rollups.campaign_rollup(self._cube, a),
+            "observations": insights.overview_insights(self._cube, a),
         }
 
     def campaigns(self, a: Assumptions = DEFAULT_ASSUMPTIONS) -> dict[str, DataFrame]:
-        table = self._table
         return {
-            "campaigns": rollups.campaign_rollup(table, a),
-            "observations": insights.campaign_insights(table, a),
+            "campaigns": rollups.campaign_rollup(self._cube, a),
+            "observations": insights.campaign_insights(self._cube, a),
         }
 
     def audiences(self, a: Assumptions = DEFAULT_ASSUMPTIONS) -> dict[str, DataFrame]:
-        table = self._table
-        views = {f"by_{view}": rollups.audience(table, view, a) for view in rollups.AUDIENCE_VIEWS}
+        views = {f"by_{v}": rollups.audience(self._cube, v, a) for v in rollups.AUDIENCE_VIEWS}
         return views | {
-            "high_spend_low_conversion": rollups.high_spend_low_conversion(table, a),
-            "observations": insights.audience_insights(table, a),
+            "high_spend_low_conversion": rollups.high_spend_low_conversion(self._cube, a),
+            "observations": insights.audience_insights(self._cube, a),
         }
 
     def sensitivity(self, a: Assumptions = DEFAULT_ASSUMPTIONS) -> dict[str, DataFrame]:
-        table = self._table
         return {
-            "scenarios": rollups.sensitivity(table, a),
-            "observations": insights.sensitivity_insights(table, a),
+            "scenarios": rollups.sensitivity(self._cube, a),
+            "observations": insights.sensitivity_insights(self._cube, a),
         }
 
     # -- model
@@ -108,10 +108,11 @@ class Workspace:
         request = self._request(a, threshold, filters)
         scored = stage(training.score(self.models.load(), self.datasets.current()), "scored")
         baseline = advice.segment_baseline(scored)
+        cube = stage(advice.advice_cube(scored, request, baseline), "advice-cube")
         return {
             "segments": advice.segments(scored, request, baseline),
-            "executive_summary": advice.executive_summary(scored, request, baseline),
-            "findings": advice.findings(scored, request, baseline),
+            "executive_summary": advice.summary_from(cube, request, baseline),
+            "findings": advice.findings_from(cube, request, baseline),
             "report": reports.executive_report(scored, request, baseline),
             "export": reports.recommendations(scored, request, baseline),
         }

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adfathom.functions.metrics import cac, cpc, ctr, measure_sums, purchase_conversion_rate
-from adfathom.functions.names import campaign_names, with_campaign_name
+from adfathom.functions.names import campaign_names, with_campaign_name, with_campaign_name_per_ad
 from adfathom.functions.text import plain_money, report_ratio, rounded, whole_percent
 from adfathom.operators import advice
 from adfathom.operators.advice import Baseline, Request
 from adfathom.schema import Assumptions
+from adfathom.staging import stage
 
 # Texts printed under the executive report.
 LIMITATIONS = [
@@ -27,8 +28,8 @@ def campaign_summary(df: DataFrame, a: Assumptions) -> DataFrame:
     The whole fixed cost is charged to every campaign.
     """
     kept = df.filter(F.col("campaign_id").isNotNull())
-    rows = kept.groupBy("campaign_id").agg(*measure_sums())
-    rows = with_campaign_name(rows, campaign_names(kept))
+    sums = stage(kept.groupBy("campaign_id").agg(*measure_sums()), "campaign-sums")
+    rows = with_campaign_name(sums, campaign_names(sums))
     p, spend = F.col("purchases"), F.col("spend")
     revenue = p * F.lit(a.average_order_value)
     profit = revenue - spend - p * F.lit(a.variable_cost) - F.lit(a.fixed_campaign_operating_cost)
@@ -53,7 +54,7 @@ def campaign_summary(df: DataFrame, a: Assumptions) -> DataFrame:
 def recommendations(scored: DataFrame, request: Request, baseline: Baseline) -> DataFrame:
     """Twenty columns per listed ad."""
     rows = advice.segments(scored, request, baseline)
-    rows = with_campaign_name(rows, campaign_names(rows))
+    rows = with_campaign_name_per_ad(rows, campaign_names(rows))
     shown: dict[str, Column] = {
         "conversion_probability": rounded(F.col("conversion_probability"), 4),
         "estimated_revenue": rounded(F.col("estimated_revenue"), 2),
@@ -108,7 +109,7 @@ def executive_report(scored: DataFrame, request: Request, baseline: Baseline) ->
         ],
     )
     title = "Recommendation Distribution"
-    cube = advice.advice_cube(scored, request, baseline)
+    cube = stage(advice.advice_cube(scored, request, baseline), "advice-cube")
     counts = advice.recommendation_counts(cube, request.filters)
     by_label = counts.select(
         *_entry(2, title, F.col("label_order"), F.col("recommendation"), F.col("n"))
@@ -116,9 +117,9 @@ def executive_report(scored: DataFrame, request: Request, baseline: Baseline) ->
     total = counts.agg(F.sum("n").alias("n")).select(
         *_entry(2, title, F.lit(6), F.lit("Total segments analysed"), F.col("n"))
     )
-    listed = advice.segments(scored, request, baseline)
-    top = advice.top_segments(listed)
-    top = with_campaign_name(top, campaign_names(listed))
+    names = campaign_names(cube.filter(request.filters.condition()))
+    top = advice.top_segments(advice.segments(scored, request, baseline))
+    top = with_campaign_name(top, names)
     # Five rows at most: placed by one small aggregate, not by a window over the table.
     place = F.sort_array(
         F.collect_list(
@@ -157,7 +158,7 @@ def executive_report(scored: DataFrame, request: Request, baseline: Baseline) ->
             details,
         )
     )
-    found = advice.findings(scored, request, baseline).select(
+    found = advice.findings_from(cube, request, baseline).select(
         *_entry(
             4,
             "Main Findings (Generated from Current Dataset)",

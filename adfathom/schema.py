@@ -41,7 +41,7 @@ MEASURES = ["impressions", "clicks", "leads", "purchases", "spend"]
 DIMENSIONS = ["campaign_id", "age", "gender", "interest"]
 
 # Money is summed as a decimal, so a total does not depend on partition order.
-MONEY = "decimal(18,6)"
+MONEY = "decimal(28,6)"
 
 
 @dataclass(frozen=True)
