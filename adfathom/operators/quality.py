@@ -14,7 +14,8 @@ from adfathom.schema import CANONICAL_SCHEMA, COLUMNS, INTEGER_COLUMNS, NUMERIC_
 
 # What counts as a number: sign, digits with an optional point, optional exponent.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-WHOLE_NUMBER = r"^[+-]?\d+$"
+# The characters trimmed off a cell, as a SQL literal.
+WHITE_SPACE = r"' \t\n\r\u000b\u000c'"
 # Whole doubles below this are exact, so their text needs no decimals.
 EXACT_DOUBLE = 1e15
 
@@ -38,30 +39,33 @@ PASSED = "Dataset passed validation and is ready for analysis."
 
 
 def number(cell: str) -> Column:
-    """The finite double the text column `cell` spells, else null. The pattern comes first: a
-    plain cast would also take spellings such as 1d.
+    """The finite double the text column `cell` spells, else null.
+
+    Whole numbers, the usual case, need no pattern. Other text is matched first, as a plain cast
+    would also take spellings such as 1d.
     """
     value = f"try_cast({cell} AS DOUBLE)"
     return F.expr(
-        f"CASE WHEN {cell} RLIKE r'{NUMBER}' AND abs({value}) < DOUBLE('Infinity') THEN {value} END"
+        f"""coalesce(CAST(try_cast({cell} AS BIGINT) AS DOUBLE),
+                     CASE WHEN {cell} RLIKE r'{NUMBER}' AND abs({value}) < DOUBLE('Infinity')
+                          THEN {value} END)"""
     )
 
 
 def whole(cell: str) -> Column:
     """The long the text column `cell` spells without passing through a double, else null."""
-    return F.expr(f"CASE WHEN {cell} RLIKE r'{WHOLE_NUMBER}' THEN try_cast({cell} AS BIGINT) END")
+    return F.expr(f"try_cast({cell} AS BIGINT)")
 
 
 def _one_spelling(c: str) -> Column:
     """The one text of a number; other text as it is. Whole numbers lose sign, zeros, decimals."""
-    value, bare = f"value_{c}", f"bare_{c}"
+    value = f"value_{c}"
     return F.expr(
-        f"""CASE WHEN {value} IS NULL THEN {c}
-                 WHEN abs({value}) < {EXACT_DOUBLE!r}D AND {value} = floor({value})
-                 THEN CAST(CAST({value} AS BIGINT) AS STRING)
-                 WHEN {bare} RLIKE r'{WHOLE_NUMBER}'
-                 THEN coalesce(CAST(try_cast({bare} AS BIGINT) AS STRING), CAST({value} AS STRING))
-                 ELSE CAST({value} AS STRING) END"""
+        f"""coalesce(CAST(whole_{c} AS STRING),
+                     CASE WHEN abs({value}) < {EXACT_DOUBLE!r}D AND {value} = floor({value})
+                          THEN CAST(CAST({value} AS BIGINT) AS STRING) END,
+                     CAST({value} AS STRING),
+                     CASE WHEN bare_{c} IS NOT NULL THEN {c} END)"""
     )
 
 
@@ -71,14 +75,14 @@ def normalised(text_rows: DataFrame) -> DataFrame:
     One spelling means that 1, 1.0 and `` 1`` are the same cell; text that is no number stays as
     it is. Each step is a projection of its own, so no cell is parsed twice.
     """
-    filled = text_rows.selectExpr(
-        *[f"CASE WHEN NOT {c} RLIKE r'^\\s*$' THEN {c} END AS {c}" for c in COLUMNS]
-    )
-    bare = {(c if c in TEXT_COLUMNS else f"bare_{c}"): c for c in COLUMNS}
-    stripped = filled.withColumns(
-        {name: F.expr(f"regexp_replace({c}, r'^\\s+|\\s+$', '')") for name, c in bare.items()}
+    bare = text_rows.withColumns(
+        {
+            (c if c in TEXT_COLUMNS else f"bare_{c}"): F.expr(f"nullif(btrim({c}, {WHITE_SPACE}), '')")
+            for c in COLUMNS
+        }
     )
-    parsed = stripped.withColumns({f"value_{c}": number(f"bare_{c}") for c in NUMERIC_COLUMNS})
+    wholes = bare.withColumns({f"whole_{c}": whole(f"bare_{c}") for c in NUMERIC_COLUMNS})
+    parsed = wholes.withColumns({f"value_{c}": number(f"bare_{c}") for c in NUMERIC_COLUMNS})
     return parsed.select(
         *[F.col(c) if c in TEXT_COLUMNS else _one_spelling(c).alias(c) for c in COLUMNS]
     )

@@ -233,7 +233,7 @@ def train_and_compare(
     numbered = df if "_row" in df.columns else df.withColumn("_row", F.monotonically_increasing_id())
     # Written once: the split, both fits and all scoring read the same rows and row numbers.
     table, description = prepare_model_data(stage(numbered, "training-rows"), seed)
-    table = stage(table, "training-split")
+    table = stage(table, "training-split", spread=True)
     train, test = table.filter(F.col("split") == "train"), table.filter(F.col("split") == "test")
     parts = description["class_distribution"]
     counts = {int(label): n for label, n in parts["train"].items()}

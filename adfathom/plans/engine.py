@@ -106,7 +106,7 @@ class Workspace:
     ) -> dict[str, DataFrame]:
         """Scores the current table once; the parts share the written scores."""
         request = self._request(a, threshold, filters)
-        scored = stage(training.score(self.models.load(), self.datasets.current()), "scored")
+        scored = stage(training.score(self.models.load(), self.datasets.current()), "scored", spread=True)
         baseline = advice.segment_baseline(scored)
         cube = stage(advice.advice_cube(scored, request, baseline), "advice-cube")
         return {

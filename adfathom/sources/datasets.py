@@ -69,7 +69,7 @@ def _validate(spark: SparkSession, raw: RawTable) -> Validation:
                 None, quality.structural_report(spark, warnings, row_count(raw), width)
             )
         distinct = quality.distinct_rows(quality.normalised(canonical_text(raw)))
-        distinct = stage(distinct, "distinct-rows")
+        distinct = stage(distinct, "distinct-rows", spread=True)
         report = spark.createDataFrame(
             quality.quality_report(distinct).collect(), quality.REPORT_SCHEMA
         )

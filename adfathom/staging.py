@@ -31,8 +31,24 @@ def staging_path(spark: SparkSession, label: str) -> str | None:
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` and return a scan of it; without a shared folder `df` stays lazy."""
+def stage(df: DataFrame, label: str, *, spread: bool = False) -> DataFrame:
+    """Write `df` and return a scan of it; without a shared folder `df` stays lazy.
+
+    `spread` is for tables of ads: one that came out in fewer parts than the session has cores
+    is written again in as many, so later passes use all cores. A large table has more parts
+    than that anyway and is written once.
+    """
+    spark = df.sparkSession
+    written = _write(df, label)
+    if not spread or written is df:
+        return written
+    cores = spark.sparkContext.defaultParallelism
+    if written.rdd.getNumPartitions() >= cores:
+        return written
+    return _write(written.repartition(cores), label)
+
+
+def _write(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = staging_path(spark, label)
     if path is None:

@@ -119,7 +119,7 @@ def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir, "ads")
     if key not in _staged:
-        _staged[key] = stage(ads_view(spark, sf_dir), "ads")
+        _staged[key] = stage(ads_view(spark, sf_dir), "ads", spread=True)
     return _staged[key]
 
 

@@ -119,6 +119,12 @@ def test_copies_are_removed_and_do_not_block(spark):
     assert result.table.count() == 1
 
 
+def test_only_white_space_is_trimmed(spark):
+    cells = ["\tfern\x0b", "\x0c fern ", "fern"]
+    result = validate_csv_text(spark, text(*[GOOD.replace("30-34", c) for c in cells]))
+    assert [r["age"] for r in result.table.collect()] == ["fern"]
+
+
 def test_each_range_rule_counts_once(spark):
     negative = report_of(spark, GOOD.replace("1.43", "-1.43"))
     assert negative["negative_values"]["spend"] == 1
