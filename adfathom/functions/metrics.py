@@ -24,36 +24,38 @@ SUMMARY_COLUMNS = [
 ]
 
 
-def _column(value: Column | str) -> Column:
-    return F.col(value) if isinstance(value, str) else value
+def _double(value: float) -> str:
+    return f"CAST('{value!r}' AS DOUBLE)"
 
 
-def safe_divide(numerator: Column | str, denominator: Column | str) -> Column:
-    """A double quotient; null when the denominator is zero or either side is null."""
-    return F.try_divide(_column(numerator).cast("double"), _column(denominator).cast("double"))
+def safe_divide(numerator: str, denominator: str) -> Column:
+    """A double quotient of two SQL expressions; null when the denominator is zero or either
+    side is null.
+    """
+    return F.expr(f"try_divide(CAST({numerator} AS DOUBLE), CAST({denominator} AS DOUBLE))")
 
 
-def ctr(clicks="clicks", impressions="impressions") -> Column:
+def ctr(clicks: str = "clicks", impressions: str = "impressions") -> Column:
     return safe_divide(clicks, impressions)
 
 
-def cpc(spend="spend", clicks="clicks") -> Column:
+def cpc(spend: str = "spend", clicks: str = "clicks") -> Column:
     return safe_divide(spend, clicks)
 
 
-def lead_conversion_rate(leads="leads", clicks="clicks") -> Column:
+def lead_conversion_rate(leads: str = "leads", clicks: str = "clicks") -> Column:
     return safe_divide(leads, clicks)
 
 
-def purchase_conversion_rate(purchases="purchases", clicks="clicks") -> Column:
+def purchase_conversion_rate(purchases: str = "purchases", clicks: str = "clicks") -> Column:
     return safe_divide(purchases, clicks)
 
 
-def cost_per_lead(spend="spend", leads="leads") -> Column:
+def cost_per_lead(spend: str = "spend", leads: str = "leads") -> Column:
     return safe_divide(spend, leads)
 
 
-def cac(spend="spend", purchases="purchases") -> Column:
+def cac(spend: str = "spend", purchases: str = "purchases") -> Column:
     return safe_divide(spend, purchases)
 
 
@@ -69,37 +71,41 @@ def ratios() -> dict[str, Column]:
 
 
 def financials(
-    a: Assumptions, purchases="purchases", spend="spend", order_value: Column | None = None
+    a: Assumptions,
+    purchases: str = "purchases",
+    spend: str = "spend",
+    order_value: str | None = None,
 ) -> dict[str, Column]:
     """Revenue, costs, profit, ROAS and ROMI, with the whole fixed cost charged to the row.
 
-    `order_value` replaces the assumed average order value, for scenario rows.
+    `order_value` names a column that replaces the assumed average order value, for scenario
+    rows.
     """
-    p = _column(purchases).cast("double")
-    s = _column(spend).cast("double")
-    revenue = p * (F.lit(a.average_order_value) if order_value is None else order_value)
-    variable = p * F.lit(a.variable_cost)
-    total = s + variable + F.lit(a.fixed_campaign_operating_cost)
-    profit = revenue - total
+    p, s = f"CAST({purchases} AS DOUBLE)", f"CAST({spend} AS DOUBLE)"
+    revenue = f"({p} * {order_value or _double(a.average_order_value)})"
+    variable = f"({p} * {_double(a.variable_cost)})"
+    total = f"({s} + {variable} + {_double(a.fixed_campaign_operating_cost)})"
+    profit = f"({revenue} - {total})"
     return {
-        "estimated_revenue": revenue,
-        "estimated_variable_cost": variable,
-        "estimated_total_cost": total,
-        "estimated_profit": profit,
-        "estimated_roas": F.try_divide(revenue, s),
-        "estimated_romi": F.try_divide(profit, total),
+        "estimated_revenue": F.expr(revenue),
+        "estimated_variable_cost": F.expr(variable),
+        "estimated_total_cost": F.expr(total),
+        "estimated_profit": F.expr(profit),
+        "estimated_roas": F.expr(f"try_divide({revenue}, {s})"),
+        "estimated_romi": F.expr(f"try_divide({profit}, {total})"),
     }
 
 
 def money_sum(value: Column | str) -> Column:
     """An order-independent sum of a money column, returned as a double."""
-    return F.sum(_column(value).cast(MONEY)).cast("double")
+    if isinstance(value, str):
+        return F.expr(f"CAST(sum(CAST({value} AS {MONEY})) AS DOUBLE)")
+    return F.sum(value.cast(MONEY)).cast("double")
 
 
 def measure_sums() -> list[Column]:
-    return [
-        (money_sum(m) if m == "spend" else F.sum(m).cast("double")).alias(m) for m in MEASURES
-    ]
+    plain = [F.expr(f"CAST(sum({m}) AS DOUBLE) AS {m}") for m in MEASURES if m != "spend"]
+    return [*plain, money_sum("spend").alias("spend")]
 
 
 def zero_when_empty(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from adfathom.functions.metrics import financials, money_sum
 from adfathom.functions.text import grouped_money
 from adfathom.operators.rollups import (
-    audience,
+    audience_rows,
     high_spend_low_conversion,
     named_campaigns,
     segment_cube,
@@ -99,7 +99,7 @@ def audience_insights(df: DataFrame, a: Assumptions) -> DataFrame:
     cube = stage(segment_cube(df), "segment-cube")
 
     def top(view: str, metric: str) -> DataFrame:
-        return audience(cube, view, a).agg(
+        return audience_rows(cube, view, a).agg(
             F.lit(view).alias("item"), best(metric, view, "group_value").alias("value")
         )
 

@@ -119,29 +119,32 @@ def segment_cube(df: DataFrame) -> DataFrame:
 
 def _labelled(rows: DataFrame, view: str, keys: list[str], sums: DataFrame) -> DataFrame:
     """Add group_type and group_value, the key values joined by `` / ``."""
-    parts = [F.coalesce(F.col(k).cast("string"), F.lit("N/A")) for k in keys if k != "campaign_id"]
+    parts = [F.expr(f"coalesce(CAST({k} AS STRING), 'N/A')") for k in keys if k != "campaign_id"]
     if "campaign_id" in keys:
         rows = with_campaign_name(rows, campaign_names(sums))
         parts.insert(0, F.col("campaign_name"))
-    types = {d: CANONICAL_SCHEMA[d].dataType for d in DIMENSIONS}
-    columns = [F.col(d) if d in keys else F.lit(None).cast(types[d]).alias(d) for d in DIMENSIONS]
-    return rows.select(
-        F.lit(view).alias("group_type"),
-        F.concat_ws(" / ", *parts).alias("group_value"),
-        *columns,
-        *[c for c in rows.columns if c not in DIMENSIONS and c != "campaign_name"],
-    )
+    added = {"group_type": F.lit(view), "group_value": F.concat_ws(" / ", *parts)}
+    for d in DIMENSIONS:
+        if d not in keys:
+            added[d] = F.expr(f"CAST(NULL AS {CANONICAL_SCHEMA[d].dataType.simpleString()})")
+    return rows.withColumns(added)
 
 
-def audience(df: DataFrame, view: str, a: Assumptions) -> DataFrame:
-    """One audience view, by spend, limited where the view is a top list."""
+def audience_rows(df: DataFrame, view: str, a: Assumptions) -> DataFrame:
+    """The rows of one audience view, cut to the top by spend where the view is a top list."""
     keys, limit = AUDIENCE_VIEWS[view]
     sums = group_sums(df, keys)
     if "campaign_id" in keys:
         sums = stage(sums, f"{view}-sums")  # the names need the campaigns as well
-    rows = by_spend(with_summary(sums, a), keys, limit)
+    rows = with_summary(sums, a)
+    rows = by_spend(rows, keys, limit) if limit else rows
     labelled = _labelled(rows, view, keys, sums)
-    return by_spend(labelled, keys).select("group_type", "group_value", *DIMENSIONS, *SUMMARY_COLUMNS)
+    return labelled.select("group_type", "group_value", *DIMENSIONS, *SUMMARY_COLUMNS)
+
+
+def audience(df: DataFrame, view: str, a: Assumptions) -> DataFrame:
+    """One audience view, highest spend first."""
+    return by_spend(audience_rows(df, view, a), AUDIENCE_VIEWS[view][0])
 
 
 def audience_all_sets(df: DataFrame, a: Assumptions) -> DataFrame:
@@ -171,7 +174,7 @@ def high_spend_low_conversion(df: DataFrame, a: Assumptions) -> DataFrame:
 
     Everything here works on the at most 20 rows of that list.
     """
-    rows = audience(df, "campaign_age", a)
+    rows = audience_rows(df, "campaign_age", a)
     rate = F.coalesce("purchase_conversion_rate", F.lit(0.0))
     listed = rows.agg(
         F.collect_list(F.struct(*rows.columns)).alias("listed"),
@@ -200,7 +203,7 @@ def sensitivity(df: DataFrame, a: Assumptions) -> DataFrame:
     """The financials of the totals under each order-value scenario, at most six rows."""
     values = F.array(*[F.lit(float(v)) for v in scenario_values(a.average_order_value)])
     rows = totals(df).withColumn("average_order_value", F.explode(values))
-    estimates = financials(a, order_value=F.col("average_order_value"))
+    estimates = financials(a, order_value="average_order_value")
     shown = ["estimated_revenue", "estimated_profit", "estimated_roas", "estimated_romi"]
     return rows.select(
         "average_order_value", *[estimates[name].alias(name) for name in shown]
@@ -214,7 +217,7 @@ def top_segments_by_profit(rows: DataFrame, limit: int = 15) -> DataFrame:
 
 def top_interests_by_purchases(df: DataFrame, a: Assumptions, limit: int = 10) -> DataFrame:
     """Chart feed: the interests with most purchases among those listed by spend."""
-    listed = audience(df, "interest", a)
+    listed = audience_rows(df, "interest", a)
     return listed.orderBy(F.desc("purchases"), F.desc("spend"), "interest").limit(limit)
 
 
@@ -223,7 +226,7 @@ def audience_kpis(df: DataFrame, a: Assumptions) -> DataFrame:
     listed interest."""
     cube = stage(segment_cube(df), "segment-cube")
     views = [
-        audience(cube, view, a).select("group_type", "purchases")
+        audience_rows(cube, view, a).select("group_type", "purchases")
         for view in ("age", "gender", "interest")
     ]
     rows = views[0].unionByName(views[1]).unionByName(views[2])

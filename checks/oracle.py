@@ -77,7 +77,7 @@ FROM totals, (SELECT UNNEST([37.5::DOUBLE, 56.25, 75, 93.75, 112.5, 150]) AS ave
 SELECT ad_id, campaign_id, ad_set_id,
        CASE WHEN TRIM(age) = '' THEN NULL ELSE TRIM(age) END AS age, gender, interest, impressions,
        CASE WHEN clicks LIKE '%.0' THEN SUBSTRING(clicks, 1, LENGTH(clicks) - 2) ELSE clicks END AS clicks,
-       CASE WHEN TRY_CAST(spend AS DOUBLE) IS NULL THEN spend ELSE CAST(CAST(spend AS DOUBLE) AS VARCHAR) END AS spend,
+       CASE WHEN TRY_CAST(spend AS DOUBLE) IS NULL THEN spend ELSE CAST(CAST(spend AS DOUBLE) + 0 AS VARCHAR) END AS spend,  -- + 0: minus zero is zero
        leads, purchases
 FROM raw""",
     "uniq": """SELECT ad_id, campaign_id, ad_set_id, age, gender, interest, impressions, clicks, spend, leads,
