@@ -120,6 +120,10 @@ class DatasetStore:
         """Gate and store a CSV file; anything but a .csv name is refused."""
         if not path.lower().endswith(".csv"):
             raise ValidationFailed("Only CSV files can be uploaded.")
+        return self.store_path(path)
+
+    def store_path(self, path: str) -> Validation:
+        """Gate and store CSV data of any name, such as a folder of files sharing one header."""
         return self._store(validate_csv_path(self.spark, path))
 
     def store_text(self, content: str | bytes) -> Validation:

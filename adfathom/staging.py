@@ -6,22 +6,24 @@ survives lost executors, cuts lineage, and lets later scans prune columns and pu
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="adfathom-")
+
+
 def staging_root(spark: SparkSession) -> str | None:
     """The shared folder, or None when a cluster names none; local sessions get their own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
-        return None
-    folder = tempfile.mkdtemp(prefix="adfathom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder() if spark.sparkContext.master.startswith("local") else None
 
 
 def staging_path(spark: SparkSession, label: str) -> str | None:

@@ -30,3 +30,26 @@ def test_only_fitted_models_lack_sql():
 @pytest.mark.parametrize("name", sorted(entry_point.oracle_sql()))
 def test_query_equals_sql(spark, db, name):
     assert difference(spark, db, name, FOLDER) is None
+
+
+@pytest.mark.parametrize(
+    "name", ["campaign_view", "executive_report", "high_spend_low_conversion", "threshold_sweep", "report_recommendations"]
+)
+def test_plans_have_no_cross_join_and_no_python(spark, name):
+    df = entry_point.queries()[name](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for step in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas"):
+        assert step not in plan
+
+
+@pytest.mark.parametrize("name", ["recommendations", "recommendation_reason", "segment_metrics", "predictions"])
+def test_row_level_plans_do_not_shuffle(spark, name):
+    df = entry_point.queries()[name](spark, FOLDER)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scans_read_only_the_columns_they_need(spark):
+    df = entry_point.queries()["filter_options"](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("ReadSchema") :]
+    assert "campaign_id" in scan and "spend" not in scan and "clicks" not in scan
