@@ -25,6 +25,9 @@ LABELS = [
 ]
 DEFAULT_ORDER = ["916", "936", "1178"]
 
+# A number in any spelling.
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
 # Up to this many names (some 50 bytes each) are sent to every executor.
 BROADCAST_NAMES = 500_000
 
@@ -37,17 +40,22 @@ def _named(position: Column, id_text: Column) -> Column:
     return F.concat(label, F.lit(" ("), id_text, F.lit(")"))
 
 
-def normalized_id(value: Column) -> Column:
+def normalized_id(column: str) -> Column:
     """Whole numbers lose their decimals (``916.0`` is ``916``); other text is trimmed."""
-    text = F.trim(value.cast("string"))
-    number = F.try_to_number(text, F.lit("S999999999999999999.999999")).cast("decimal(38,6)")
-    whole = F.when(number == F.floor(number), F.floor(number).cast("string"))
-    return F.coalesce(whole, text)
+    text = f"btrim(CAST({column} AS STRING))"
+    value = f"try_cast({text} AS DOUBLE)"
+    return F.expr(
+        f"""coalesce(CAST(try_cast({text} AS BIGINT) AS STRING),
+                     CASE WHEN {text} RLIKE r'{NUMBER}' AND {value} = floor({value})
+                               AND abs({value}) < 1e15D
+                          THEN CAST(CAST({value} AS BIGINT) AS STRING) END,
+                     {text})"""
+    )
 
 
-def default_name(value: Column) -> Column:
+def default_name(column: str) -> Column:
     """The name of an id when no list of ids is given: known ids by place, others by value."""
-    text = normalized_id(value)
+    text = normalized_id(column)
     place = F.array_position(F.array(*[F.lit(x) for x in DEFAULT_ORDER]), text)
     number = F.abs(text.try_cast("bigint"))
     characters = F.aggregate(

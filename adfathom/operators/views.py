@@ -69,7 +69,7 @@ def recommendation_view(
     ascending: bool = False,
 ) -> DataFrame:
     """Advice rows matching a text search, in any order; a null sorts as zero."""
-    rows = advice.withColumn("campaign_name", default_name(F.col("campaign_id")))
+    rows = advice.withColumn("campaign_name", default_name("campaign_id"))
     if search:
         query = search.lower()
         searched = ["campaign_name", "age", "gender", "recommendation"]

@@ -187,8 +187,8 @@ def campaign_default_names(spark, sf_dir):
     return rows.select(
         "campaign_id",
         "ad_set_id",
-        default_name(F.col("campaign_id")).alias("campaign_name"),
-        default_name(F.col("ad_set_id")).alias("ad_set_name"),
+        default_name("campaign_id").alias("campaign_name"),
+        default_name("ad_set_id").alias("ad_set_name"),
     )
 
 

@@ -88,9 +88,9 @@ def test_not_finite_becomes_null(spark):
 
 def test_default_names(spark):
     rows = spark.createDataFrame(
-        [("916",), ("936",), ("1178",), ("916.0",), (" 936 ",), ("25",), ("ab",), (None,)], "id string"
+        [("916",), ("936",), ("1178",), ("916.0",), (" 936 ",), ("25",), ("ab",), ("1e3",), ("1d",), (None,)], "id string"
     )
-    got = [r[0] for r in rows.select(default_name(F.col("id"))).collect()]
+    got = [r[0] for r in rows.select(default_name("id")).collect()]
     assert got == [
         "Campaign One (916)",
         "Campaign Two (936)",
@@ -99,6 +99,8 @@ def test_default_names(spark):
         "Campaign Two (936)",
         "Campaign Two (25)",
         "Campaign Four (ab)",  # 97 + 98 = 195, which leaves 3 of 12
+        "Campaign Five (1000)",
+        "Campaign Six (1d)",  # 49 + 100 = 149, which leaves 5 of 12
         "N/A",
     ]
 
