@@ -35,8 +35,7 @@ MISS = 1e-6
 _rng = np.random.default_rng(7)
 _FACTORS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SETS = "node long, size int, members binary"
-SIGNED = "node long, size int, signature binary, bands array<long>"
+SIGNED = "doc_id long, node long, size int, signature binary, bands array<long>"
 
 
 def least_matches(compared: int, percent: int, miss: float = MISS) -> int:
@@ -72,15 +71,21 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, list[np.nd
         yield row, sets
 
 
-def signature(members: np.ndarray) -> np.ndarray:
-    """The smallest value of each hash function over the set."""
-    least = np.full(len(_FACTORS), np.uint64(0xFFFFFFFFFFFFFFFF))
-    for at in range(0, len(members), 1024):
-        part = members[at : at + 1024]
-        for j, factor in enumerate(_FACTORS):
-            low = (part * factor).min()
-            if low < least[j]:
-                least[j] = low
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """The smallest value of each hash function over each set; an empty set has the largest values."""
+    least = np.full((len(sets), len(_FACTORS)), np.uint64(0xFFFFFFFFFFFFFFFF))
+    filled = [i for i, s in enumerate(sets) if len(s)]
+    at = 0
+    while at < len(filled):
+        upto, size = at, 0
+        while upto < len(filled) and (upto == at or size + len(sets[filled[upto]]) <= 1 << 15):
+            size += len(sets[filled[upto]])
+            upto += 1
+        part = [sets[i] for i in filled[at:upto]]
+        flat, starts = np.concatenate(part), np.cumsum([0, *map(len, part[:-1])])
+        low = np.stack([np.minimum.reduceat(flat * factor, starts) for factor in _FACTORS], axis=1)
+        least[filled[at:upto]] = low
+        at = upto
     return least
 
 
@@ -91,41 +96,45 @@ def set_key(members: np.ndarray) -> int:
     return int(texts.signed(texts.Prefix(members, texts.WORD_BASE).of(np.array([0]), np.array([len(members)])))[0])
 
 
-def _sets_of(words: int) -> Callable:
+def _signed(words: int) -> Callable:
+    """(doc_id, text) rows to the name, size, signature and band keys of their sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
             for row, sets in shingle_sets(batch.column(1), words):
+                least = signatures(sets)
+                short = (least[:, :SIGNATURE] >> np.uint64(32)).astype(np.uint32)
+                grid = least.reshape(len(sets) * BANDS, ROWS)
+                keys = np.tile(np.arange(BANDS, dtype=np.uint64), len(sets))
+                for j in range(ROWS):
+                    keys = texts.mixed(keys * np.uint64(texts.BASE) + grid[:, j])
+                ends = np.arange(0, len(keys) + 1, BANDS, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(row, len(sets)),
+                        batch.column(0).slice(row, len(sets)),
                         pa.array([set_key(s) for s in sets], pa.int64()),
                         pa.array([len(s) for s in sets], pa.int32()),
-                        pa.array([s.tobytes() for s in sets], pa.binary()),
+                        pa.array([s.tobytes() for s in short], pa.binary()),
+                        pa.ListArray.from_arrays(ends, pa.array(texts.signed(keys))),
                     ],
-                    ["doc_id", "node", "size", "members"],
+                    ["doc_id", "node", "size", "signature", "bands"],
                 )
 
     return run
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            signs = [signature(np.frombuffer(m, np.uint64)) for m in part.column(2).to_pylist()]
-            short = [(s[:SIGNATURE] >> np.uint64(32)).astype(np.uint32).tobytes() for s in signs]
-            grid = np.array(signs, np.uint64).reshape(len(signs) * BANDS, ROWS)
-            keys = np.tile(np.arange(BANDS, dtype=np.uint64), len(signs))
-            for j in range(ROWS):
-                keys = texts.mixed(keys * np.uint64(texts.BASE) + grid[:, j])
-            bands = pa.ListArray.from_arrays(
-                np.arange(0, len(keys) + 1, BANDS, dtype=np.int32), pa.array(texts.signed(keys))
-            )
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(short, pa.binary()), bands],
-                ["node", "size", "signature", "bands"],
-            )
+def _sets(words: int) -> Callable:
+    """(node, text) rows to (node, full set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, sets in shingle_sets(batch.column(1), words):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    ["node", "members"],
+                )
+
+    return run
 
 
 def _plausible(percent: int) -> Callable:
@@ -163,7 +172,7 @@ def _verified(percent: int) -> Callable:
     return run
 
 
-def components(nodes: DataFrame, links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """(node, group): the smallest node that links reach from each node that has a link.
 
     Each round every node takes the smallest group among its neighbours and itself, then jumps to
@@ -200,56 +209,68 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     row; equal rows give equal rows. A row without doc_id keeps a null component_id and lends it to no one.
     """
     scratch = Scratch(docs.sparkSession, "near-dups")
-    columns = docs.select(F.col("doc_id").cast("long"), "text")
-    sets = scratch.keep(columns.mapInArrow(_sets_of(words), "doc_id long, node long, size int, members binary"), "sets")
-    owner = sets.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"))
-    distinct = sets.where("size > 0").select("node", "size", "members")
-    heads = sets.where("size > 0 AND doc_id IS NOT NULL").select("doc_id", "node", "size", "members")
-    owner = scratch.keep(owner, "owner")
-    first = heads.join(owner.withColumnRenamed("first_doc", "doc_id"), ["node", "doc_id"]).select("node", "size", "members")
-    # rows without an id, and repeated rows of the first id, leave copies that agree in everything
-    unnamed = distinct.join(owner.where("first_doc IS NULL").select("node"), "node", "left_semi")
-    signed = scratch.keep(first.union(unnamed).mapInArrow(_sign, SIGNED), "signed")
-
-    in_band = scratch.keep(signed.select(F.explode("bands").alias("band"), "node").distinct(), "bands")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = scratch.keep(source.mapInArrow(_signed(words), SIGNED), "rows")
+    nodes = rows.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.min("size").alias("size"))
+    nodes = scratch.keep(nodes, "nodes")
+    signed = rows.where("size > 0").select("node", "signature", "bands").dropDuplicates(["node"])
+    signed = scratch.keep(signed, "signed")
+
+    in_band = signed.select(F.explode("bands").alias("band"), "node")
     hubs = in_band.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
     shared = scratch.keep(in_band.join(hubs.select("band", "hub"), "band"), "shared")
-    scratch.drop("bands")
-    signs = signed.select("node", "signature").dropDuplicates(["node"])
-    members = first.union(unnamed).select("node", "members").dropDuplicates(["node"])
+    signs = signed.select("node", "signature")
 
     def judged(pairs: DataFrame, name: str) -> DataFrame:
         near = pairs.join(signs.toDF("a", "left"), "a").join(signs.toDF("b", "right"), "b")
-        near = scratch.keep(near.select("a", "b", "left", "right").mapInArrow(_plausible(percent), "a long, b long"), name)
+        near = near.select("a", "b", "left", "right").mapInArrow(_plausible(percent), "a long, b long")
+        near = scratch.keep(near, name)
+        needed = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+        bodies = source.join(needed.select(F.col("first_doc").alias("doc_id"), "node"), "doc_id")
+        # rows that repeat a doc_id with another text give the sets of other nodes, which meet no pair
+        members = bodies.select("node", "text").mapInArrow(_sets(words), "node long, members binary")
+        members = scratch.keep(members.dropDuplicates(["node"]), f"{name}-sets")
         full = near.join(members.toDF("a", "left"), "a").join(members.toDF("b", "right"), "b")
-        return scratch.keep(
-            full.select("a", "b", "left", "right").mapInArrow(_verified(percent), "a long, b long"), f"{name}-links"
-        )
+        full = full.select("a", "b", "left", "right").mapInArrow(_verified(percent), "a long, b long")
+        links = scratch.keep(full, f"{name}-links")
+        scratch.drop(f"{name}-sets")
+        return links
 
     stars = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = judged(stars, "stars")
-    grouped = components(signed, links, scratch, "round1")
+    grouped = components(links, scratch, "round1")
 
-    placed = shared.join(grouped, "node", "left").select(
-        "band", "node", "hub", F.coalesce("group", "node").alias("group")
-    )
+    placed = shared.join(grouped, "node", "left").withColumn("group", F.coalesce("group", "node"))
     mixed = placed.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
-    placed = placed.join(mixed.select("band"), "band", "left_semi").join(signed.select("node", "size").distinct(), "node")
+    placed = placed.join(mixed.select("band"), "band", "left_semi").join(nodes.select("node", "size"), "node")
     left = placed.select("band", "hub", F.col("node").alias("a"), F.col("group").alias("ga"), F.col("size").alias("sa"))
     right = placed.select("band", F.col("node").alias("b"), F.col("group").alias("gb"), F.col("size").alias("sb"))
     close = (F.least("sa", "sb") * 100 >= F.greatest("sa", "sb") * percent) & (F.col("ga") < F.col("gb"))
     rest = left.join(right, "band").where(close & (F.col("a") != F.col("hub")) & (F.col("b") != F.col("hub")))
     more = judged(rest.select("a", "b").distinct(), "rest")
-    grouped = components(signed, links.union(more), scratch, "round2")
+    grouped = components(links.union(more), scratch, "round2")
 
-    named = owner.join(grouped, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    named = nodes.join(grouped, "node", "left").withColumn("group", F.coalesce("group", "node"))
     lowest = named.groupBy("group").agg(F.min("first_doc").alias("component_id"))
-    named = scratch.keep(named.join(lowest, "group").select("node", "component_id"), "named")
-    result = sets.select("doc_id", "node", "size").join(named, "node", "left").select(
+    named = named.join(lowest, "group").select("node", "component_id")
+    result = rows.select("doc_id", "node", "size").join(named, "node", "left").select(
         "doc_id",
         F.col("size").cast("long").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
     result = scratch.keep(result, "result")
-    scratch.drop("sets", "signed", "shared")
+    scratch.drop("rows", "signed", "shared")
     return result
+
+
+def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without those that are near-duplicates of one with a smaller doc_id.
+
+    All columns stay. Rows without a doc_id stay; of rows that repeat a doc_id, one stays.
+    """
+    found = near_duplicates(docs, words, percent)
+    lost = found.where("doc_id > component_id").select(F.col("doc_id").alias("_id")).distinct()
+    again = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
+    same = docs["doc_id"].cast("long") == F.col("_id")
+    kept = docs.join(lost.union(again), same, "left_anti")
+    return kept.union(docs.join(again.join(lost, "_id", "left_anti"), same, "left_semi").dropDuplicates(["doc_id"]))

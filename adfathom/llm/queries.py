@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Where Python workers of a local session find this package; an installed one is found anyway.
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -34,7 +40,50 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("spans").alias("n_spans"))
 
 
+def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every whole text and a digest of the text that they decode to."""
+    import public_tokenizers
+
+    from adfathom.llm.pieces import decode_documents, digests, encode_documents
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    rows = decode_documents(encode_documents(docs, path), path)
+    rows = rows.withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256))
+    rows = rows.withColumn("exact", F.col("decoded") == F.coalesce("text", F.lit("")))
+    return digests(rows.select("doc_id", "ids", "decoded_sha256", "exact"))
+
+
+def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    from adfathom.llm.chat import chat_digests, format_conversations
+    from adfathom.llm.shared import Scratch
+
+    said = "</s>[INST] ok [/INST]"
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
+    output = Scratch(spark, "chat").keep(format_conversations(rows.union(more)), "formatted")
+    return chat_digests(output)
+
+
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from adfathom.llm.languages import fit, identify, training_rows
+
+    docs = _table(spark, folder, "documents")
+    model = fit(training_rows(docs))
+    found = identify(docs.select("doc_id", "text"), model)
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentencepiece": op2_sentencepiece,
+    "op3_chat_format": op3_chat_format,
+    "op6_language_id": op6_language_id,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_substring_dedup": op10_substring_dedup,
@@ -77,7 +126,24 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed,
 FROM w LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+CHAT_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+pieces AS (
+  SELECT *, '<|turn|>' || regexp_replace(replace(role, '\', '\\'), '([<\[])(\||s>|/s>|INST\]|/INST\])', '\1\\\2', 'g')
+         || '<|text|>' || regexp_replace(replace(text, '\', '\\'), '([<\[])(\||s>|/s>|INST\]|/INST\])', '\1\\\2', 'g')
+         || '<|end|>' || chr(10) AS piece FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, piece)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, piece), '')) AS loss_sha256,
+       CAST(sum(length(piece)) AS BIGINT) AS formatted_chars
+FROM pieces GROUP BY conv_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op3_chat_format": CHAT_SQL,
     "op9_exact_top_k": TOP_K_SQL,
     "op10_substring_dedup": SUBSTRING_SQL,
 }
