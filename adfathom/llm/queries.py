@@ -70,6 +70,16 @@ def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat_digests(output)
 
 
+def op5_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
+    from adfathom.llm.quality import fit, score_quality, training_rows
+
+    docs = _table(spark, folder, "documents")
+    model = fit(training_rows(docs, _table(spark, folder, "labels")))
+    found = score_quality(docs.select("doc_id", "text"), model)
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     from adfathom.llm.languages import fit, identify, training_rows
 
@@ -83,6 +93,7 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_chat_format": op3_chat_format,
+    "op5_quality_crf": op5_quality_crf,
     "op6_language_id": op6_language_id,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_exact_top_k": op9_exact_top_k,
