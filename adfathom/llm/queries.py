@@ -40,6 +40,17 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("spans").alias("n_spans"))
 
 
+def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from adfathom.llm.shared import Scratch
+    from adfathom.llm.token_files import read_tokens, write_tokens
+
+    target = f"{Scratch(spark, 'tokens').folder}/files"
+    write_tokens(_table(spark, folder, "documents"), target, public_tokenizers.path("byte_bpe_50k.json"), end=2)
+    return read_tokens(spark, target, digest=True)
+
+
 def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every whole text and a digest of the text that they decode to."""
     import public_tokenizers
@@ -91,6 +102,7 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": op1_token_files,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_chat_format": op3_chat_format,
     "op5_quality_crf": op5_quality_crf,
