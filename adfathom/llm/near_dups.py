@@ -6,9 +6,9 @@
 3. A pair is judged batch by batch on its signatures: after n compared values with m matches the
    similarity has a Beta(m + 1, n - m + 1) posterior, and the pair is dropped as soon as the chance
    of reaching the threshold falls below MISS. What survives is verified on the full sets.
-4. Verified links form components. Only where a bucket still holds several components, nodes of
-   different components are paired and judged the same way, so no link between them is lost to the
-   choice of hubs.
+4. Verified links form components. Where a bucket still holds several components, its nodes are laid out
+   in tiles of bounded size; a tile judges its pairs of different components the same way and returns
+   a spanning set of the links, never all pairs. So no link is lost to the choice of hubs.
 
 A pair at similarity 0.8 shares no band with chance (1 - 0.8**8)**56 = 3.4e-5; the Bayesian test
 drops it with chance of about MISS.
@@ -31,6 +31,8 @@ BANDS, ROWS = 56, 8
 SIGNATURE = 128
 BATCH = 32
 MISS = 1e-6
+#: Nodes on either side of a tile, about.
+TILE = 256
 
 _rng = np.random.default_rng(7)
 _FACTORS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -156,22 +158,100 @@ def _plausible(percent: int) -> Callable:
     return run
 
 
+def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """True if two sorted sets are at least `percent` similar."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _verified(percent: int) -> Callable:
     """Keeps the pairs whose full sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for left, right in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (left, right))
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
+            sides = [[np.frombuffer(m, np.uint64) for m in batch.column(c).to_pylist()] for c in (2, 3)]
+            mask = pa.array([reaches(x, y, percent) for x, y in zip(*sides)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in (0, 1)], ["a", "b"])
 
     return run
 
 
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tiles of a partition that is sorted by tile, one at a time."""
+    held: list[pa.RecordBatch] = []
+    name = None
+    for batch in batches:
+        keys = [np.asarray(batch.column(c)) for c in range(3)]
+        change = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if lo == hi:
+                continue
+            this = tuple(int(k[lo]) for k in keys)
+            if held and this != name:
+                yield pa.Table.from_batches(held)
+                held = []
+            name = this
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _in_tiles(percent: int, exact: bool) -> Callable:
+    """Judges the pairs of a tile whose sides are in different components.
+
+    Without `exact`: the rows of nodes that the Bayesian test leaves with a partner. With it: links enough to
+    join what the full sets join, at most one less than there are components in the tile.
+    """
+    needed = [least_matches(n, percent) for n in range(BATCH, SIGNATURE + 1, BATCH)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in _tiles(batches):
+            one, block = tile["i"][0].as_py(), np.asarray(tile["block"])
+            two = tile["j"][0].as_py()
+            node, group, size = (np.asarray(tile[c]) for c in ("node", "group", "size"))
+            signs = np.frombuffer(b"".join(tile["signature"].to_pylist()), np.uint32).reshape(-1, SIGNATURE)
+            left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
+            apart = group[left][:, None] != group[right][None, :]
+            if one == two:
+                apart = np.triu(apart)
+            small = np.minimum(size[left][:, None], size[right][None, :])
+            large = np.maximum(size[left][:, None], size[right][None, :])
+            x, y = np.nonzero(apart & (small.astype(np.int64) * 100 >= large.astype(np.int64) * percent))
+            x, y = left[x], right[y]
+            matches = np.zeros(len(x), np.int64)
+            for step, least in enumerate(needed):
+                part = slice(step * BATCH, (step + 1) * BATCH)
+                matches = matches + (signs[x, part] == signs[y, part]).sum(axis=1)
+                stay = matches >= least
+                x, y, matches = x[stay], y[stay], matches[stay]
+            if not exact:
+                rows = pa.array(np.unique(np.concatenate([x, y])))
+                if len(rows):
+                    kept = tile.take(rows).combine_chunks()
+                    yield from kept.to_batches()
+                continue
+            sets = [np.frombuffer(m, np.uint64) for m in tile["members"].to_pylist()]
+            root = {g: g for g in group.tolist()}
+            links = []
+            for k in np.argsort(-matches, kind="stable").tolist():
+                a, b = int(x[k]), int(y[k])
+                ga, gb = int(group[a]), int(group[b])
+                while root[ga] != ga:
+                    ga = root[ga]
+                while root[gb] != gb:
+                    gb = root[gb]
+                if ga != gb and reaches(sets[a], sets[b], percent):
+                    root[max(ga, gb)] = min(ga, gb)
+                    links.append((int(node[a]), int(node[b])))
+            if links:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p[0] for p in links], pa.int64()), pa.array([p[1] for p in links], pa.int64())], ["a", "b"]
+                )
+
+    return run
+
+
 def components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """(node, group): the smallest node that links reach from each node that has a link.
 
@@ -213,7 +293,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rows = scratch.keep(source.mapInArrow(_signed(words), SIGNED), "rows")
     nodes = rows.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.min("size").alias("size"))
     nodes = scratch.keep(nodes, "nodes")
-    signed = rows.where("size > 0").select("node", "signature", "bands").dropDuplicates(["node"])
+    signed = rows.where("size > 0").select("node", "size", "signature", "bands").dropDuplicates(["node"])
     signed = scratch.keep(signed, "signed")
 
     in_band = signed.select(F.explode("bands").alias("band"), "node")
@@ -221,33 +301,43 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     shared = scratch.keep(in_band.join(hubs.select("band", "hub"), "band"), "shared")
     signs = signed.select("node", "signature")
 
-    def judged(pairs: DataFrame, name: str) -> DataFrame:
-        near = pairs.join(signs.toDF("a", "left"), "a").join(signs.toDF("b", "right"), "b")
-        near = near.select("a", "b", "left", "right").mapInArrow(_plausible(percent), "a long, b long")
-        near = scratch.keep(near, name)
-        needed = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
-        bodies = source.join(needed.select(F.col("first_doc").alias("doc_id"), "node"), "doc_id")
-        # rows that repeat a doc_id with another text give the sets of other nodes, which meet no pair
-        members = bodies.select("node", "text").mapInArrow(_sets(words), "node long, members binary")
-        members = scratch.keep(members.dropDuplicates(["node"]), f"{name}-sets")
-        full = near.join(members.toDF("a", "left"), "a").join(members.toDF("b", "right"), "b")
-        full = full.select("a", "b", "left", "right").mapInArrow(_verified(percent), "a long, b long")
-        links = scratch.keep(full, f"{name}-links")
-        scratch.drop(f"{name}-sets")
-        return links
+    def full_sets(needed: DataFrame, name: str) -> DataFrame:
+        """The sets of some nodes, made again from their texts."""
+        owners = needed.distinct().join(nodes, "node").select(F.col("first_doc").alias("doc_id"), "node")
+        # a row that repeats a doc_id with another text makes a set of another name
+        sets = source.join(owners, "doc_id").select("node", "text").mapInArrow(_sets(words), "node long, members binary")
+        return scratch.keep(sets.dropDuplicates(["node"]), name)
 
     stars = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = judged(stars, "stars")
+    near = stars.join(signs.toDF("a", "left"), "a").join(signs.toDF("b", "right"), "b")
+    near = near.select("a", "b", "left", "right").mapInArrow(_plausible(percent), "a long, b long")
+    near = scratch.keep(near, "stars")
+    members = full_sets(near.select(F.explode(F.array("a", "b")).alias("node")), "star-sets")
+    full = near.join(members.toDF("a", "left"), "a").join(members.toDF("b", "right"), "b")
+    links = full.select("a", "b", "left", "right").mapInArrow(_verified(percent), "a long, b long")
+    links = scratch.keep(links, "star-links")
     grouped = components(links, scratch, "round1")
 
     placed = shared.join(grouped, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    mixed = placed.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
-    placed = placed.join(mixed.select("band"), "band", "left_semi").join(nodes.select("node", "size"), "node")
-    left = placed.select("band", "hub", F.col("node").alias("a"), F.col("group").alias("ga"), F.col("size").alias("sa"))
-    right = placed.select("band", F.col("node").alias("b"), F.col("group").alias("gb"), F.col("size").alias("sb"))
-    close = (F.least("sa", "sb") * 100 >= F.greatest("sa", "sb") * percent) & (F.col("ga") < F.col("gb"))
-    rest = left.join(right, "band").where(close & (F.col("a") != F.col("hub")) & (F.col("b") != F.col("hub")))
-    more = judged(rest.select("a", "b").distinct(), "rest")
+    mixed = placed.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n"))
+    mixed = mixed.where("low < high").select("band", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
+    placed = placed.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    spread = placed.select("band", "block", "node", "group", other)
+    spread = spread.select(
+        "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "group"
+    )
+    spread = spread.join(signed.select("node", "size", "signature"), "node")
+    columns = ["band", "i", "j", "block", "node", "group", "size", "signature"]
+
+    def tiled(rows: DataFrame) -> DataFrame:
+        return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+    ordered = tiled(spread.select(*columns))
+    close = scratch.keep(ordered.mapInArrow(_in_tiles(percent, False), ordered.schema), "close")
+    members = full_sets(close.select("node"), "close-sets")
+    ordered = tiled(close.join(members, "node").select(*columns, "members"))
+    more = scratch.keep(ordered.mapInArrow(_in_tiles(percent, True), "a long, b long"), "close-links")
     grouped = components(links.union(more), scratch, "round2")
 
     named = nodes.join(grouped, "node", "left").withColumn("group", F.coalesce("group", "node"))
@@ -259,7 +349,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
     result = scratch.keep(result, "result")
-    scratch.drop("rows", "signed", "shared")
+    scratch.drop("rows", "signed", "shared", "star-sets", "close", "close-sets")
     return result
 
 
