@@ -141,11 +141,17 @@ def fit(rows: pa.Table, seed: int = 3) -> LanguageModel:
 
 
 def training_rows(docs: DataFrame, limit: int = TRAINING_TEXTS) -> pa.Table:
-    """At most `limit` labelled rows whose crc32 of doc_id is not 1 modulo 3."""
-    rows = docs.where(
-        F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    """At most `limit` labelled rows whose crc32 of doc_id is not 1 modulo 3.
+
+    The sample is chosen by a hash of doc_id before the texts are fetched.
+    """
+    usable = F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    rows = docs.select(F.col("doc_id").alias("_id"), "text", "lang").where(
+        usable & (F.crc32(F.col("_id").cast("string")) % 3 != 1)
     )
-    return rows.select("text", "lang").orderBy(F.xxhash64("text"), "text", "lang").limit(limit).toArrow()
+    picked = rows.select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(limit)
+    found = rows.join(F.broadcast(picked), "_id").groupBy("_id").agg(F.min(F.struct("text", "lang")).alias("row"))
+    return found.select("row.text", "row.lang").toArrow()
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
