@@ -25,6 +25,12 @@ def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    from adfathom.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op9_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     from adfathom.llm.topk import top_k
 
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_crf": op5_quality_crf,
     "op6_language_id": op6_language_id,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_decontaminate": op8_decontaminate,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_substring_dedup": op10_substring_dedup,
 }

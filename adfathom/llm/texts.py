@@ -83,11 +83,16 @@ def byte_prefix(data: np.ndarray) -> Prefix:
     return Prefix(data.astype(np.uint64) + np.uint64(1), BASE)
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and the number of words before each text (one more entry)."""
+def word_bounds(
+    data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and the number of words before each text (one more entry).
+
+    `apart` flags the byte values that separate words: white space, if nothing else is said.
+    """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~apart[data]
     fresh = np.zeros(len(data) + 1, bool)
     fresh[offsets] = True
     first = inside.copy()
