@@ -87,6 +87,13 @@ def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat_digests(output)
 
 
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from adfathom.llm.repeats import dedup_bytes
+
+    found = dedup_bytes(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op5_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
     from adfathom.llm.quality import fit, score_quality, training_rows
 
@@ -111,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_chat_format": op3_chat_format,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_quality_crf": op5_quality_crf,
     "op6_language_id": op6_language_id,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
