@@ -27,14 +27,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from adfathom.llm import texts
 
 SPACE = "▁"
 #: What an unknown character costs beyond the worst piece of a unigram model.
 UNKNOWN_PENALTY = 10.0
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 250_000
 #: Longest word that is searched together with others.
 LOCKSTEP = 48
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
@@ -451,29 +451,44 @@ def _small(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(row, len(offsets) - 1)
 
 
-def _encoder(path: str, text: int, names: list[str]) -> Callable:
+def _encoder(path: str, text: int, names: list[str], digest: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_model(path)
-        for batch in batches:
-            for part in _small(batch, text):
-                ids, bounds = encode_column(model, part.column(text))
-                lists = pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names)
+        try:
+            for batch in batches:
+                for part in _small(batch, text):
+                    ids, bounds = encode_column(model, part.column(text))
+                    columns = [pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(ids, pa.int32()))]
+                    if digest:
+                        raw, ends = memoryview(ids.astype("<u4")).cast("B"), (4 * bounds).tolist()
+                        columns.append(pa.array(np.diff(bounds).astype(np.int64)))
+                        columns.append(pa.array([zlib.crc32(raw[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*part.columns, *columns], names)
+        finally:
+            # a worker that waits for its next task holds no words
+            model.forget()
 
     return run
 
 
-def encode_documents(docs: DataFrame, path: str, column: str = "text", out: str = "ids") -> DataFrame:
+def encode_documents(
+    docs: DataFrame, path: str, column: str = "text", out: str = "ids", digest: bool = False
+) -> DataFrame:
     """All rows and columns of `docs` plus an array of ids; null and empty texts get an empty array.
 
-    Each text is encoded whole, by itself; nothing is shuffled, and repeated rows give equal rows. A column
-    named like `out` is refused.
+    Each text is encoded whole, by itself; nothing is shuffled, and repeated rows give equal rows. With `digest`,
+    n_ids and ids_crc32 (of the ids as little-endian unsigned 32-bit integers) are added. Columns
+    of these names may not be there already.
     """
-    if out in docs.columns:
-        raise ValueError(f"the documents already have a column {out}")
-    names = [*docs.columns, out]
-    run = _encoder(path, docs.columns.index(column), names)
-    return docs.mapInArrow(run, _schema(docs, out, ArrayType(IntegerType())))
+    added = [StructField(out, ArrayType(IntegerType()))]
+    if digest:
+        added += [StructField("n_ids", LongType()), StructField("ids_crc32", LongType())]
+    clash = {f.name for f in added} & set(docs.columns)
+    if clash:
+        raise ValueError(f"the documents already have {sorted(clash)}")
+    names = [*docs.columns, *(f.name for f in added)]
+    run = _encoder(path, docs.columns.index(column), names, digest)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))
 
 
 def decode_documents(rows: DataFrame, path: str, column: str = "ids", out: str = "decoded") -> DataFrame:
@@ -490,29 +505,4 @@ def decode_documents(rows: DataFrame, path: str, column: str = "ids", out: str =
                 raw = [t.decode("utf-8", "replace") for t in decode_column(model, part.column(at))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.string())], names)
 
-    return rows.mapInArrow(run, _schema(rows, out, StringType()))
-
-
-def _schema(rows: DataFrame, name: str, kind: DataType) -> StructType:
-    return StructType([*rows.schema.fields, StructField(name, kind)])
-
-
-def digests(rows: DataFrame, column: str = "ids") -> DataFrame:
-    """All other columns plus n_ids and ids_crc32 (over the ids as little-endian unsigned 32-bit integers)."""
-    at = rows.columns.index(column)
-    others = [i for i in range(len(rows.columns)) if i != at]
-    names = [rows.columns[i] for i in others]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [np.asarray(v.values, "<u4") if v.is_valid else np.zeros(0, "<u4") for v in batch.column(at)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(i) for i in others],
-                    pa.array([len(v) for v in lists], pa.int64()),
-                    pa.array([zlib.crc32(v.tobytes()) for v in lists], pa.int64()),
-                ],
-                [*names, "n_ids", "ids_crc32"],
-            )
-
-    return rows.mapInArrow(run, _schema(rows.drop(column), "n_ids", LongType()).add("ids_crc32", LongType()))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(out, StringType())]))

@@ -61,14 +61,14 @@ def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every whole text and a digest of the text that they decode to."""
     import public_tokenizers
 
-    from adfathom.llm.pieces import decode_documents, digests, encode_documents
+    from adfathom.llm.pieces import decode_documents, encode_documents
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    rows = decode_documents(encode_documents(docs, path), path)
+    rows = decode_documents(encode_documents(docs, path, digest=True), path)
     rows = rows.withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256))
     rows = rows.withColumn("exact", F.col("decoded") == F.coalesce("text", F.lit("")))
-    return digests(rows.select("doc_id", "ids", "decoded_sha256", "exact"))
+    return rows.select("doc_id", "n_ids", "ids_crc32", "decoded_sha256", "exact")
 
 
 def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:

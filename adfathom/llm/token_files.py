@@ -31,7 +31,7 @@ LANES = 2048
 MAGIC = b"TIDS"
 HEAD = struct.Struct("<4sIIIBI")  # magic, documents, distinct ids, blocks, digits, checksum of what the head lists
 BLOCK_HEAD = struct.Struct("<III")  # ids, bytes, checksum of the ids
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 250_000
 FRAMES = "part int, place long, ahead long, n_tokens long, frame binary"
 
 
@@ -224,6 +224,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int | None =
                     shut()
                     if blocks >= LANES - FRAME // BLOCK:
                         yield packed()
+        coder.forget()
         shut()
         if waiting:
             yield packed()
