@@ -154,25 +154,24 @@ def training_rows(docs: DataFrame, limit: int = TRAINING_TEXTS) -> pa.Table:
     return found.select("row.text", "row.lang").toArrow()
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All rows and columns of `docs` with lang_pred, score and accepted.
+def identify(docs: DataFrame, model: LanguageModel, prefix: str = "") -> DataFrame:
+    """All rows and columns of `docs` with lang_pred, score and accepted, each with `prefix` ahead.
 
     Texts that are null or have no letter are `und` with score 0 and not accepted; the others get the most
     probable language, accepted where its probability reaches the model's threshold. Repeated rows give
-    equal rows. The new columns may not be there already.
+    equal rows. Columns that already have these names are replaced.
     """
-    clash = {"lang_pred", "score", "accepted", "_letter"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"the documents already have {sorted(clash)}")
+    added = [StructField(prefix + f.name, f.dataType) for f in ADDED]
+    docs = docs.drop("_letter", *(f.name for f in added))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at, names = docs.columns.index("text"), [*docs.columns, "lang_pred", "score", "accepted"]
+    at, names = docs.columns.index("text"), [*docs.columns, *(f.name for f in added)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for row, data, offsets in texts.text_slices(batch.column(at)):
                 part = batch.slice(row, len(offsets) - 1)
-                known = np.asarray(part.column(len(names) - 3).to_numpy(zero_copy_only=False), bool)
+                known = np.asarray(part.column(len(part.columns) - 1).to_numpy(zero_copy_only=False), bool)
                 p = model.probabilities(data, offsets)
                 best = p.argmax(axis=1)
                 score = np.where(known, p[np.arange(len(p)), best], 0.0)
@@ -188,4 +187,4 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 )
 
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.withColumn("_letter", letter).mapInArrow(run, StructType([*docs.schema.fields, *ADDED]))
+    return docs.withColumn("_letter", letter).mapInArrow(run, StructType([*docs.schema.fields, *added]))

@@ -361,6 +361,7 @@ def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     found = near_duplicates(docs, words, percent)
     lost = found.where("doc_id > component_id").select(F.col("doc_id").alias("_id")).distinct()
     again = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
-    same = docs["doc_id"].cast("long") == F.col("_id")
-    kept = docs.join(lost.union(again), same, "left_anti")
-    return kept.union(docs.join(again.join(lost, "_id", "left_anti"), same, "left_semi").dropDuplicates(["doc_id"]))
+    number, out = docs["doc_id"].cast("long"), lost.union(again)
+    kept = docs.join(out, number == out["_id"], "left_anti")
+    again = again.join(lost, "_id", "left_anti")
+    return kept.union(docs.join(again, number == again["_id"], "left_semi").dropDuplicates(["doc_id"]))

@@ -478,23 +478,23 @@ def encode_documents(
 
     Each text is encoded whole, by itself; nothing is shuffled, and repeated rows give equal rows. With `digest`,
     n_ids and ids_crc32 (of the ids as little-endian unsigned 32-bit integers) are added. Columns
-    of these names may not be there already.
+    that already have these names are replaced.
     """
     added = [StructField(out, ArrayType(IntegerType()))]
     if digest:
         added += [StructField("n_ids", LongType()), StructField("ids_crc32", LongType())]
-    clash = {f.name for f in added} & set(docs.columns)
-    if clash:
-        raise ValueError(f"the documents already have {sorted(clash)}")
+    docs = docs.drop(*(f.name for f in added))
     names = [*docs.columns, *(f.name for f in added)]
     run = _encoder(path, docs.columns.index(column), names, digest)
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))
 
 
 def decode_documents(rows: DataFrame, path: str, column: str = "ids", out: str = "decoded") -> DataFrame:
-    """All rows and columns plus the text that the ids stand for; a null list gives the empty text."""
-    if out in rows.columns:
-        raise ValueError(f"the rows already have a column {out}")
+    """All rows and columns plus the text that the ids stand for; a null list gives the empty text.
+
+    A column that already has the name is replaced.
+    """
+    rows = rows.drop(out)
     at, names = rows.columns.index(column), [*rows.columns, out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

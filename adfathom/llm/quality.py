@@ -205,9 +205,9 @@ def score_quality(docs: DataFrame, model: QualityModel, out: str = "score") -> D
     """All rows and columns of `docs` with a score from 0 (bad) to 1 (good).
 
     Texts that are null or have no line score 0; repeated rows score alike; nothing but the text is looked at.
+    A column that already has the name is replaced.
     """
-    if out in docs.columns:
-        raise ValueError(f"the documents already have a column {out}")
+    docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at, names = docs.columns.index("text"), [*docs.columns, out]
 

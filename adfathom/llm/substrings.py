@@ -217,5 +217,5 @@ def dedup_texts(docs: DataFrame, size: int = SIZE) -> DataFrame:
     changed = copies.union(cut).dropDuplicates(["_doc"])
     joined = docs.join(changed, docs["doc_id"].cast("long") == changed["_doc"], "left")
     return joined.select(
-        *[F.coalesce("_text", docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns]
+        *[F.coalesce(changed["_text"], docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns]
     )
