@@ -422,7 +422,8 @@ def encode_column(model: PieceModel, column: pa.Array) -> tuple[np.ndarray, np.n
     counts = []
     front = model.prefix.replace(SPACE, " ")
     for text in column:
-        words = _stretch.findall(front + text) if text else []
+        # the sign that stands for a space in pieces is one in texts, too
+        words = _stretch.findall(front + text.replace(SPACE, " ")) if text else []
         counts.append(len(words))
         parts += [known.setdefault(w, len(known)) for w in words]
     model.learn([w.replace(" ", SPACE) for w in itertools.islice(known, before, None)])
