@@ -146,12 +146,19 @@ def _segments(size: int) -> Callable:
     return run
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, a few hundred at a time, so that little is held before it is handed on."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            yield batch.slice(at, 256)
+
+
 def _bytes_of(size: int) -> Callable:
     """(doc_id, text, segments wanted) rows to rows (key, doc_id, start, bytes); crowded anchors are dealt out."""
     gram = min(GRAM, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             key, doc, begin, body = [], [], [], []
             for i in range(batch.num_rows):
                 raw = (batch.column(1)[i].as_py() or "").encode()
@@ -263,7 +270,7 @@ def _compared(size: int) -> Callable:
 
 def _removed(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             lost, parts, kept = [], [], []
             for i in range(batch.num_rows):
                 raw = np.frombuffer((batch.column(1)[i].as_py() or "").encode(), np.uint8)
