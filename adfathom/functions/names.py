@@ -28,9 +28,6 @@ DEFAULT_ORDER = ["916", "936", "1178"]
 # A number in any spelling.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
-# Up to this many names (some 50 bytes each) are sent to every executor.
-BROADCAST_NAMES = 500_000
-
 
 def _named(position: Column, id_text: Column) -> Column:
     """Label number `position` (from 0, wrapping around) followed by the id."""
@@ -57,42 +54,45 @@ def default_name(column: str) -> Column:
     """The name of an id when no list of ids is given: known ids by place, others by value."""
     text = normalized_id(column)
     place = F.array_position(F.array(*[F.lit(x) for x in DEFAULT_ORDER]), text)
-    number = F.abs(text.try_cast("bigint"))
-    characters = F.aggregate(
-        F.transform(F.split(text, ""), F.ascii), F.lit(0), lambda total, code: total + code
-    )
-    position = F.when(place > 0, place - 1).otherwise(F.coalesce(number, characters.cast("bigint")))
+    position = F.when(place > 0, place - 1).otherwise(_place_by_value(text))
     return F.coalesce(_named(position, text), F.lit(MISSING))
 
 
+def _place_by_value(text: Column) -> Column:
+    """The number that an id is, else the sum of its characters' codes."""
+    codes = F.transform(F.split(text, ""), F.ascii)
+    return F.coalesce(F.abs(text.try_cast("bigint")), F.aggregate(codes, F.lit(0).cast("bigint"), lambda n, code: n + code))
+
+
+def unlisted_name(column: str) -> Column:
+    """The name of an id that is not in the list of ids at hand."""
+    text = normalized_id(column)
+    return _named(_place_by_value(text), text)
+
+
 def campaign_names(df: DataFrame) -> DataFrame:
-    """One row per campaign of `df`: campaign_id, its place in id order from 1, campaign_name."""
-    ids = df.select("campaign_id").dropna().groupBy("campaign_id").agg(F.lit(1).alias("one"))
-    placed = running_totals(ids, "campaign_id", ["one"])
+    """One row per campaign of `df`: campaign_id, its place in id order from 1, campaign_name.
+
+    Whole numbers come first, by value, then other ids as text; spellings of one id share a place.
+    """
+    ids = df.select("campaign_id").dropna().distinct().withColumn("_text", normalized_id("campaign_id"))
+    number = F.col("_text").try_cast("bigint")
+    key = F.struct(number.isNull().alias("t"), number.alias("n"), F.col("_text").alias("s"))
+    keys = ids.select(key.alias("_key")).distinct().withColumn("one", F.lit(1))
+    placed = running_totals(keys, "_key", ["one"]).select(F.col("_key.s").alias("_text"), "run_one")
     place = F.col("run_one").cast("bigint")
-    return placed.select(
-        "campaign_id",
-        place.alias("place"),
-        _named(place - 1, F.col("campaign_id").cast("string")).alias("campaign_name"),
+    return ids.join(placed, "_text").select(
+        "campaign_id", place.alias("place"), _named(place - 1, F.col("_text")).alias("campaign_name")
     )
 
 
 def with_campaign_name(rows: DataFrame, names: DataFrame) -> DataFrame:
     """Add campaign_name to rows keyed by campaign_id; a row without a campaign reads N/A.
 
-    No broadcast is forced, as both sides may be as long as the list of campaigns.
+    An id that `names` does not list is named by its value. No broadcast is forced: the adaptive plan
+    sends a short list of names to all tasks, and splits a campaign that holds most rows of a long one.
     """
     joined = rows.join(names.select("campaign_id", "campaign_name"), "campaign_id", "left")
-    named = F.coalesce("campaign_name", F.lit(MISSING)).alias("campaign_name")
+    named = F.coalesce("campaign_name", unlisted_name("campaign_id"), F.lit(MISSING)).alias("campaign_name")
     return joined.select(*rows.columns, named)
 
-
-def with_campaign_name_per_ad(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """The same for a table of ads, whose rows should stay where they are.
-
-    The names are counted first and broadcast up to `BROADCAST_NAMES` rows. Beyond that both
-    sides are shuffled, and the adaptive skew join splits a campaign holding most of the ads.
-    """
-    if names.count() <= BROADCAST_NAMES:
-        names = F.broadcast(names)
-    return with_campaign_name(rows, names)

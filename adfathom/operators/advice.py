@@ -120,12 +120,12 @@ def segment_baseline(df: DataFrame) -> Baseline:
         F.col("spend").alias("spend"),
         purchase_conversion_rate().alias("purchase_conversion_rate"),
     )
-    return Baseline(rows, **exact_medians(measured, measured.columns, rows))
+    return Baseline(rows, **exact_medians(measured, measured.columns))
 
 
 def segment_metrics(scored: DataFrame, a: Assumptions, rows: int) -> DataFrame:
     """Add the per-ad ratios and estimates; the fixed cost is shared out over all ads."""
-    with_count = scored.withColumn("actual_purchases", F.col("purchases").cast("int"))
+    with_count = scored.withColumn("actual_purchases", F.col("purchases").cast("bigint"))
     p = F.col("actual_purchases").cast("double")
     revenue = p * F.lit(a.average_order_value)
     share = a.fixed_campaign_operating_cost / max(rows, 1)

@@ -61,6 +61,8 @@ def _from_highest(df: DataFrame, score: str, label: str, **options) -> DataFrame
 def ranking_metrics(df: DataFrame, score: str = "conversion_probability", label: str = "converted") -> DataFrame:
     """ROC AUC (trapezoid, ties grouped) and average precision (step sum), as one row.
 
+    A row without a score ranks below every scored row.
+
     AUC is null when a class is absent; average precision is 0 without positives.
     """
     ranked = _from_highest(df, score, label)
@@ -124,11 +126,13 @@ def aligned_roc_curves(curves: dict[str, DataFrame]) -> DataFrame:
     """Several ROC curves side by side by point; a shorter one repeats its end, (1, 1)."""
     joined = None
     for name, curve in curves.items():
-        side = curve.select(
-            "point_idx", F.col("x").alias(f"{name}_fpr"), F.col("y").alias(f"{name}_tpr")
-        )
+        point = F.struct(F.col("x").alias("fpr"), F.col("y").alias("tpr"))
+        side = curve.select("point_idx", point.alias(name))
         joined = side if joined is None else joined.join(side, "point_idx", "full")
+    # only where a curve has no point any more; a rate that is null in a point stays null
     filled = [
-        F.coalesce(c, F.lit(1.0)).alias(c) for c in joined.columns if c != "point_idx"
+        F.when(F.col(name).isNull(), F.lit(1.0)).otherwise(F.col(name)[rate]).alias(f"{name}_{rate}")
+        for name in curves
+        for rate in ("fpr", "tpr")
     ]
     return joined.select("point_idx", *filled).orderBy("point_idx")

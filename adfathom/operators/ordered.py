@@ -1,54 +1,33 @@
 """Global order without a global sort task: running totals, ranks, exact quantiles, first k.
 
-An ordering that spans the whole table is cut into value ranges holding about equally many
-rows. The limits come from one approximate-quantile pass and are then plain literals, so every
-task, retry and job sees the same ranges. Exactness comes from counts per range: whatever the
-limits are, the totals of the earlier ranges plus the totals inside the own range are exact.
-A value shared by many rows is grouped before anything is ordered, so a hot value is one row.
+Every size has the same plan. The rows are dealt into consecutive ranges of the order by the order key
+itself, about `RANGE_ROWS` to a range, and written once with the number of their range, so every
+later job sees the same ranges. Exactness comes from sums per range: the totals of the earlier ranges
+plus the totals inside the own range. A value shared by many rows is grouped before anything
+is ordered, so a hot value is one row, and no range is larger than the others because of it.
+
+A null key is the lowest value: first in ascending and last in descending order.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adfathom.staging import stage
 
-# Up to this many rows one task orders them directly; a count is checked first.
-ONE_TASK_ROWS = 1_000_000
-MAX_RANGES = 10_000
-
-
-def range_count(df: DataFrame) -> int:
-    """A few ranges per shuffle partition: each is well under one task's usual share."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(2, min(4 * partitions, MAX_RANGES))
-
+#: Rows that one task orders. It sizes the plan and has no part in any result.
+RANGE_ROWS = 250_000
 
-def fit_ranges(df: DataFrame, order: str, ranges: int | None = None) -> Bucketizer:
-    """Range limits at evenly spaced approximate quantiles of the numeric column `order`."""
-    ranges = ranges or range_count(df)
-    values = df.select(F.col(order).cast("double").alias("_order")).dropna()
-    quantiles = values.approxQuantile(
-        "_order", [i / ranges for i in range(1, ranges)], 1.0 / (4 * ranges)
-    )
-    infinity = float("inf")
-    inner = sorted({q for q in quantiles if -infinity < q < infinity}) or [0.0]
-    return Bucketizer(
-        splits=[-infinity, *inner, infinity],
-        inputCol="_order",
-        outputCol="_range",
-        handleInvalid="keep",
-    )
 
-
-def with_range(df: DataFrame, order: str, fitted: Bucketizer) -> DataFrame:
-    """Add `_range`, which rises with `order`."""
-    ordered = df.withColumn("_order", F.col(order).cast("double"))
-    return fitted.transform(ordered).drop("_order")
+def in_ranges(df: DataFrame, order: str, descending: bool = False, range_rows: int | None = None) -> DataFrame:
+    """`df`, staged, with ``_range``: the number, from 0, of the consecutive part of the order a row is in."""
+    whole = stage(df, "ordered")
+    ranges = max(1, -(-whole.count() // (range_rows or RANGE_ROWS)))
+    direction = F.desc(order) if descending else F.asc(order)
+    return stage(whole.repartitionByRange(ranges, direction).withColumn("_range", F.spark_partition_id()), "ranges")
 
 
 def running_totals(
@@ -58,51 +37,25 @@ def running_totals(
     *,
     descending: bool = False,
     following: list[str] | None = None,
-    fitted: Bucketizer | None = None,
+    range_rows: int | None = None,
 ) -> DataFrame:
     """Add ``run_<c>``, the inclusive running sum of each column in `totals`, and ``total_<c>``.
 
     `df` holds one row per value of `order`. Each column named in `following` also gets
-    ``next_<c>``, its value in the next row of the order (null in the last row). `df` is staged
-    first, as it is needed more than once.
+    ``next_<c>``, its value in the next row of the order (null in the last row).
     """
-    df = stage(df, "ordered")
     following = following or []
-    if fitted is None and df.count() <= ONE_TASK_ROWS:
-        return _totals_in_one_task(df, order, totals, descending, following)
-    return _totals_by_range(df, order, totals, descending, following, fitted or fit_ranges(df, order))
-
-
-def _totals_in_one_task(
-    df: DataFrame, order: str, totals: list[str], descending: bool, following: list[str]
-) -> DataFrame:
-    whole = Window.orderBy(F.desc(order) if descending else F.asc(order))
-    upto = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    new = {f"run_{c}": F.sum(c).over(upto) for c in totals}
-    new |= {f"total_{c}": F.sum(c).over(every) for c in totals}
-    new |= {f"next_{c}": F.lead(c).over(whole) for c in following}
-    return df.withColumns(new)
-
-
-def _totals_by_range(
-    df: DataFrame,
-    order: str,
-    totals: list[str],
-    descending: bool,
-    following: list[str],
-    fitted: Bucketizer,
-) -> DataFrame:
-    ranged = with_range(df, order, fitted)
+    ranged = in_ranges(df, order, descending, range_rows)
     direction = F.desc if descending else F.asc
     first_of = F.max_by if descending else F.min_by
 
     summary = [F.sum(c).alias(f"_all_{c}") for c in totals]
     if following:
-        summary.append(first_of(F.struct(*following), F.col(order)).alias("_first"))
-    # One row per range, at most MAX_RANGES + 1 of them: small enough to order and to broadcast.
-    per_range = ranged.groupBy("_range").agg(*summary)
-    across = Window.orderBy(direction("_range"))
+        # min_by passes over null keys, so the key is wrapped
+        key = F.struct(F.col(order).isNotNull(), F.col(order))
+        summary.append(first_of(F.struct(*following), key).alias("_first"))
+    # One row per RANGE_ROWS rows: 10^11 values make 400,000 of them.
+    across = Window.orderBy("_range")
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     every = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = []
@@ -111,7 +64,7 @@ def _totals_by_range(
         offsets.append(F.sum(f"_all_{c}").over(every).alias(f"total_{c}"))
     if following:
         offsets.append(F.lead("_first").over(across).alias("_next_first"))
-    per_range = per_range.select("_range", *offsets)
+    per_range = ranged.groupBy("_range").agg(*summary).select("_range", *offsets)
 
     inside = Window.partitionBy("_range").orderBy(direction(order))
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -120,7 +73,7 @@ def _totals_by_range(
     if following:
         ahead = F.coalesce(F.lead(F.struct(*following)).over(inside), F.col("_next_first"))
         new |= {f"next_{c}": ahead[c] for c in following}
-    joined = ranged.join(F.broadcast(per_range), "_range")
+    joined = ranged.join(per_range, "_range")
     return joined.select(*df.columns, *[value.alias(name) for name, value in new.items()])
 
 
@@ -133,74 +86,83 @@ class Position:
     equal: int
 
 
-def value_at(df: DataFrame, order: str, k: int, rows: int | None = None) -> Position:
-    """The k-th smallest (from 1) value of the non-null numeric column `order`, exactly."""
-    values = df.select(F.col(order).alias("_v")).dropna()
-    rows = values.count() if rows is None else rows
-    if not 1 <= k <= rows:
-        raise ValueError(f"position {k} is not among {rows} ordered rows")
-    skipped = 0
-    if rows > ONE_TASK_ROWS:
-        fitted = fit_ranges(values, "_v")
-        ranged = with_range(values, "_v", fitted)
-        # At most MAX_RANGES + 1 rows reach the driver.
-        for part in ranged.groupBy("_range").count().orderBy("_range").collect():
-            if skipped + part["count"] >= k:
-                values = ranged.filter(F.col("_range") == part["_range"]).select("_v")
-                break
-            skipped += part["count"]
-    counts = values.groupBy("_v").agg(F.count("*").alias("n"))
-    upto = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = counts.withColumn("run", F.sum("n").over(upto)).filter(F.col("run") >= k - skipped)
-    hit = reached.agg(F.min_by(F.struct("_v", "n", "run"), "run").alias("hit")).head()["hit"]
-    return Position(hit["_v"], skipped + hit["run"] - hit["n"], hit["n"])
-
-
-def exact_medians(df: DataFrame, columns: list[str], rows: int | None = None) -> dict[str, float]:
-    """Medians over the non-null values (mean of the middle two); 0.0 where there are none."""
-    rows = df.count() if rows is None else rows
-    if rows <= ONE_TASK_ROWS:
-        found = df.agg(*[F.median(c).alias(c) for c in columns]).head()
-        return {c: float(found[c]) if found[c] is not None else 0.0 for c in columns}
-    present = df.agg(*[F.count(c).alias(c) for c in columns]).head()
-    medians = {}
-    for c in columns:
-        n = present[c]
-        if n == 0:
-            medians[c] = 0.0
-            continue
-        low = value_at(df, c, (n + 1) // 2, n)
-        upper = n // 2 + 1
-        high = low if low.before + low.equal >= upper else value_at(df, c, upper, n)
-        medians[c] = (float(low.value) + float(high.value)) / 2
-    return medians
+def value_at(df: DataFrame, order: str, k: int) -> Position:
+    """The k-th smallest (from 1) value of the non-null column `order`, exactly."""
+    counts = df.select(F.col(order).alias("_v")).dropna().groupBy("_v").agg(F.count("*").alias("n"))
+    reached = running_totals(counts, "_v", ["n"]).filter(F.col("run_n") >= k)
+    hit = reached.agg(F.min_by(F.struct("_v", "n", "run_n"), "run_n").alias("hit")).head()["hit"]
+    if hit is None or k < 1:
+        raise ValueError(f"position {k} is not among the ordered rows")
+    return Position(hit["_v"], hit["run_n"] - hit["n"], hit["n"])
 
 
-def first_k(df: DataFrame, k: int, keys: list[Column], rows: int | None = None) -> Column:
-    """A predicate true for exactly the first `k` rows of `df` in ascending order of `keys`.
+def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """Medians over the non-null values (mean of the middle two); 0.0 where there are none.
 
-    The keys are numeric and together tell any two rows apart. Only cut values are computed;
-    applying the predicate needs neither a sort nor a shuffle.
+    All columns are counted, ordered and read together, in one pass over `df`.
     """
-    rows = df.count() if rows is None else rows
-    if k <= 0:
-        return F.lit(False)
-    if k >= rows:
-        return F.lit(True)
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
+    counts = df.select(F.inline(cells)).dropna().groupBy("c", "v").agg(F.count("*").alias("n"))
+    counts = counts.select(F.struct("c", "v").alias("key"), "n")
+    placed = running_totals(counts, "key", ["n"]).select("key.c", "key.v", "n", "run_n")
+    placed = stage(placed, "median-order")
+    ends = {r["c"]: r for r in placed.groupBy("c").agg(F.max("run_n").alias("last"), F.sum("n").alias("n")).collect()}
+    middle = F.lit(False)
+    for c, end in ends.items():
+        first = end["last"] - end["n"]
+        for k in {first + (end["n"] + 1) // 2, first + end["n"] // 2 + 1}:
+            middle = middle | ((F.col("run_n") >= k) & (F.col("run_n") - F.col("n") < k))
+    found: dict[int, list[float]] = {}
+    for row in placed.filter(middle).collect():  # two rows a column at most
+        found.setdefault(row["c"], []).append(row["v"])
+    return {c: sum(found[i]) / len(found[i]) if i in found else 0.0 for i, c in enumerate(columns)}
+
+
+@dataclass(frozen=True)
+class Selection:
+    """The first k rows of an order: all rows of `sure`, and `count` of the `tied` rows, which agree in all keys."""
+
+    sure: Column
+    tied: Column
+    count: int
+    of: int
+
+    def total(self, value: Column) -> Column:
+        """The sum of `value` over the selection, if the tied rows share one value."""
+        share = F.lit(self.count) / F.lit(max(self.of, 1))
+        sure = F.coalesce(F.sum(F.when(self.sure, value)), F.lit(0))
+        return sure.cast("double") + F.coalesce(F.sum(F.when(self.tied, value)), F.lit(0)).cast("double") * share
+
+
+def select_first(df: DataFrame, k: int, keys: list[Column], rows: int) -> Selection:
+    """The first `k` of `rows` rows in ascending order of `keys`, as predicates.
+
+    Only cut values are computed; applying them needs neither a sort nor a shuffle. Keys are not null.
+    """
+    no, yes = F.lit(False), F.lit(True)
+    if k <= 0 or k >= rows:
+        return Selection(yes if k > 0 else no, no, 0, 0)
     cuts: list[tuple[Column, object]] = []
-    pool, left, size, whole = df, k, rows, False
+    pool, left, size = df, k, rows
     for key in keys:
-        cut = value_at(pool.select(key.alias("_key")), "_key", left, size)
+        cut = value_at(pool.select(key.alias("_key")), "_key", left)
         cuts.append((key, cut.value))
         left, size = left - cut.before, cut.equal
-        whole = left == size
-        if whole:
+        if left == size:
             break
         pool = pool.filter(key == F.lit(cut.value))
-    if not whole:
-        raise ValueError("the ordering keys do not tell all rows apart")
-    key, value = cuts.pop()
-    taken = key <= F.lit(value)
+    sure, tied = no, yes
     for key, value in reversed(cuts):
-        taken = (key < F.lit(value)) | ((key == F.lit(value)) & taken)
-    return taken
+        sure = (key < F.lit(value)) | ((key == F.lit(value)) & sure)
+        tied = (key == F.lit(value)) & tied
+    if left == size:
+        return Selection(sure | tied, no, 0, 0)
+    return Selection(sure, tied, left, size)
+
+
+def first_k(df: DataFrame, k: int, keys: list[Column], rows: int | None = None) -> Column:
+    """A predicate true for exactly the first `k` rows; the keys together tell any two rows apart."""
+    found = select_first(df, k, keys, df.count() if rows is None else rows)
+    if found.count:
+        raise ValueError("the ordering keys do not tell all rows apart")
+    return found.sure

@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adfathom.schema import CANONICAL_SCHEMA, COLUMNS, INTEGER_COLUMNS, NUMERIC_COLUMNS, TEXT_COLUMNS
+from adfathom.schema import CANONICAL_SCHEMA, COLUMNS, INTEGER_COLUMNS, MEASURES, NUMERIC_COLUMNS, TEXT_COLUMNS
 
 # What counts as a number: sign, digits with an optional point, optional exponent.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 # The characters trimmed off a cell, as a SQL literal.
 WHITE_SPACE = r"' \t\n\r\u000b\u000c'"
+# A measure of this size or more is no number that sums could hold.
+LARGEST_MEASURE = 1e12
 # Whole doubles below this are exact, so their text needs no decimals.
 EXACT_DOUBLE = 1e15
 
@@ -114,6 +116,8 @@ def _rules() -> dict[str, str]:
     """Every rule a row can break, by name, as a condition that is never null."""
     rules = {f"missing:{c}": f"{c} IS NULL" for c in COLUMNS}
     rules |= {f"invalid:{c}": f"{c} IS NOT NULL AND value_{c} IS NULL" for c in NUMERIC_COLUMNS}
+    for c in MEASURES:
+        rules[f"invalid:{c}"] += f" OR coalesce(abs(value_{c}) >= {LARGEST_MEASURE!r}D, false)"
     rules |= {f"negative:{c}": f"coalesce(value_{c} < 0, false)" for c in NUMERIC_COLUMNS}
     for larger, smaller in (("clicks", "impressions"), ("purchases", "leads")):
         rules[f"{larger}>{smaller}"] = f"coalesce(value_{larger} > value_{smaller}, false)"

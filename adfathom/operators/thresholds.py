@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from adfathom.functions.metrics import financials
 from adfathom.functions.text import fixed, grouped_money
 from adfathom.operators.evaluation import rates
-from adfathom.operators.ordered import first_k
+from adfathom.operators.ordered import Selection, select_first
 from adfathom.schema import MONEY, Assumptions
 
 # 0.05 to 0.95 in steps of 0.05, and the seed of the random baseline.
@@ -116,30 +116,32 @@ def strategy_comparison(
     """The recommended selection against four simple ones of the same size.
 
     Each "first k" selection becomes a predicate from its cut values, so all five are sums in
-    a single pass, however large k is. Ties are settled by `row_key`, then by a row hash.
+    a single pass, however large k is. Ties are settled by `row_key`, if the table has one, then by a
+    row hash; rows that agree in everything are interchangeable and taken by their number.
     """
     best = best or best_threshold(threshold_sweep(scored, a, score, label)).head()
     k = best["segments_selected"]
     rows = scored.count()
     row_hash = F.xxhash64(*[F.col(c) for c in sorted(scored.columns)])
-    ties = [F.col(row_key), row_hash]
+    named = [F.col(row_key)] if row_key in scored.columns else []
+    ties = [*named, row_hash]
     if random_key is None:
-        random_key = F.xxhash64(F.lit(RANDOM_SEED), F.col(row_key))
+        random_key = F.xxhash64(F.lit(RANDOM_SEED), *(named or [row_hash]))
     clicks, spend = F.col("clicks").cast("double"), F.col("spend").cast("double")
     cpc = F.coalesce(F.try_divide(spend, clicks), F.lit(float("inf")))
     chosen = [
-        F.col(score) >= F.lit(best["threshold"]),
-        F.lit(True),
-        first_k(scored, k, [random_key, *ties], rows),
-        first_k(scored, k, [-clicks, *ties], rows),
-        first_k(scored, k, [cpc, *ties], rows),
+        Selection(F.col(score) >= F.lit(best["threshold"]), F.lit(False), 0, 0),
+        Selection(F.lit(True), F.lit(False), 0, 0),
+        select_first(scored, k, [random_key, *ties], rows),
+        select_first(scored, k, [-clicks, *ties], rows),
+        select_first(scored, k, [cpc, *ties], rows),
     ]
     sums = []
     for i, taken in enumerate(chosen):
         sums += [
-            F.count_if(taken).alias(f"n{i}"),
-            F.sum(F.when(taken, F.col("purchases"))).cast("double").alias(f"p{i}"),
-            F.sum(F.when(taken, F.col("spend").cast(MONEY))).cast("double").alias(f"s{i}"),
+            (F.count_if(taken.sure) + F.lit(taken.count)).alias(f"n{i}"),
+            taken.total(F.col("purchases")).alias(f"p{i}"),
+            taken.total(F.col("spend").cast(MONEY)).alias(f"s{i}"),
         ]
     entries = [
         F.struct(

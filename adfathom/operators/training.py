@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +28,7 @@ from adfathom.operators.features import (
 from adfathom.operators.splits import SEED, TEST_SHARE, class_distribution, with_split
 from adfathom.schema import EngineError, NotFound
 from adfathom.sources.files import path_exists
-from adfathom.staging import stage
+from adfathom.staging import dealt, stage
 
 LOGISTIC = "LogisticRegression"
 FOREST = "RandomForest"
@@ -232,8 +232,8 @@ def train_and_compare(
     """
     numbered = df if "_row" in df.columns else df.withColumn("_row", F.monotonically_increasing_id())
     # Written once: the split, both fits and all scoring read the same rows and row numbers.
-    table, description = prepare_model_data(stage(numbered, "training-rows"), seed)
-    table = stage(table, "training-split", spread=True)
+    table, description = prepare_model_data(stage(dealt(numbered), "training-rows"), seed)
+    table = stage(table, "training-split")
     train, test = table.filter(F.col("split") == "train"), table.filter(F.col("split") == "test")
     parts = description["class_distribution"]
     counts = {int(label): n for label, n in parts["train"].items()}
@@ -277,32 +277,21 @@ def train_and_compare(
     return TrainingResult(results, metadata, table)
 
 
-def _attribute_names(scored: DataFrame) -> list[str]:
-    """Names of the model inputs, in vector order, from the column's metadata."""
-    attributes = scored.schema["model_input"].metadata["ml_attr"]["attrs"]
-    return [
-        a["name"] for a in sorted((a for kind in attributes.values() for a in kind), key=lambda a: a["idx"])
-    ]
-
-
-def simple_feature_name(name: str) -> str:
-    """The feature behind a model input: ``scaled_spend`` is spend, ``hot_age_30-34`` age_30-34."""
-    for prefix in ("scaled_", "hot_"):
-        if name.startswith(prefix):
-            return name[len(prefix) :]
-    return name
+def input_names(model: PipelineModel) -> list[str]:
+    """What each place of the model input stands for: the numbers, then each level of each category."""
+    index = next(s for s in model.stages if isinstance(s, StringIndexerModel))
+    levels = zip(CATEGORICAL_FEATURES, index.labelsArray, strict=True)
+    # the index keeps one more level, for values that training has not seen
+    return [*NUMERIC_FEATURES, *(f"{c}_{level}" for c, labels in levels for level in [*labels, "__unknown"])]
 
 
 def feature_importance(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Features by importance: coefficient size and sign, or impurity share without direction.
 
-    `df` only supplies column names and types; no row of it is read.
+    `df` only supplies the session; no row of it is read.
     """
     spark = df.sparkSession
-    shown = feature_table(df).limit(0)
-    for part in model.stages[:-1]:
-        shown = part.transform(shown)
-    names = [simple_feature_name(n) for n in _attribute_names(shown)]
+    names = input_names(model)
     fit = model.stages[-1]
     if hasattr(fit, "coefficients"):
         values = [(abs(float(c)), "positive" if c > 0 else "negative") for c in fit.coefficients.toArray()]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import DataFrame, SparkSession
 
 from adfathom.operators import advice, insights, rollups, thresholds, training
@@ -22,47 +20,54 @@ class Workspace:
         self.spark = spark
         root = folder.rstrip("/")
         self.datasets = DatasetStore(spark, f"{root}/data", default_csv or f"{root}/default.csv")
+        self._kept: tuple[str, DataFrame] | None = None
         self.models = training.ModelStore(spark, f"{root}/models")
 
     # -- analytics
 
-    @cached_property
+    @property
     def _cube(self) -> DataFrame:
-        """The active table summed up by campaign, age, gender and interest, staged once.
+        """The active table summed up by campaign, age, gender and interest, staged once a version.
 
-        Every analytics question is a rollup of it, so the ads are read once per dataset.
+        Every analytics question is a rollup of it, so the ads are read once per stored table. The default
+        file, which may change at any time, is read again for each question.
         """
-        return stage(rollups.segment_cube(self.datasets.active()), "segment-cube")
-
-    def refresh(self) -> None:
-        """Look the active dataset up again after storing another one."""
-        self.__dict__.pop("_cube", None)
+        version = self.datasets.version()
+        if version is None:
+            return stage(rollups.segment_cube(self.datasets.active()), "segment-cube")
+        if self._kept is None or self._kept[0] != version:
+            self._kept = version, stage(rollups.segment_cube(self.datasets.active()), "segment-cube")
+        return self._kept[1]
 
     def overview(self, a: Assumptions = DEFAULT_ASSUMPTIONS) -> dict[str, DataFrame]:
+        cube = self._cube
         return {
-            "totals": rollups.overview_totals(self._cube, a),
-            "funnel": rollups.funnel_stages(self._cube),
-            "campaigns": rollups.campaign_rollup(self._cube, a),
-            "observations": insights.overview_insights(self._cube, a),
+            "totals": rollups.overview_totals(cube, a),
+            "funnel": rollups.funnel_stages(cube),
+            "campaigns": rollups.campaign_rollup(cube, a),
+            "observations": insights.overview_insights(cube, a),
         }
 
     def campaigns(self, a: Assumptions = DEFAULT_ASSUMPTIONS) -> dict[str, DataFrame]:
+        cube = self._cube
         return {
-            "campaigns": rollups.campaign_rollup(self._cube, a),
-            "observations": insights.campaign_insights(self._cube, a),
+            "campaigns": rollups.campaign_rollup(cube, a),
+            "observations": insights.campaign_insights(cube, a),
         }
 
     def audiences(self, a: Assumptions = DEFAULT_ASSUMPTIONS) -> dict[str, DataFrame]:
-        views = {f"by_{v}": rollups.audience(self._cube, v, a) for v in rollups.AUDIENCE_VIEWS}
+        cube = self._cube
+        views = {f"by_{v}": rollups.audience(cube, v, a) for v in rollups.AUDIENCE_VIEWS}
         return views | {
-            "high_spend_low_conversion": rollups.high_spend_low_conversion(self._cube, a),
-            "observations": insights.audience_insights(self._cube, a),
+            "high_spend_low_conversion": rollups.high_spend_low_conversion(cube, a),
+            "observations": insights.audience_insights(cube, a),
         }
 
     def sensitivity(self, a: Assumptions = DEFAULT_ASSUMPTIONS) -> dict[str, DataFrame]:
+        cube = self._cube
         return {
-            "scenarios": rollups.sensitivity(self._cube, a),
-            "observations": insights.sensitivity_insights(self._cube, a),
+            "scenarios": rollups.sensitivity(cube, a),
+            "observations": insights.sensitivity_insights(cube, a),
         }
 
     # -- model
@@ -106,7 +111,7 @@ class Workspace:
     ) -> dict[str, DataFrame]:
         """Scores the current table once; the parts share the written scores."""
         request = self._request(a, threshold, filters)
-        scored = stage(training.score(self.models.load(), self.datasets.current()), "scored", spread=True)
+        scored = stage(training.score(self.models.load(), self.datasets.current()), "scored")
         baseline = advice.segment_baseline(scored)
         cube = stage(advice.advice_cube(scored, request, baseline), "advice-cube")
         return {

@@ -37,7 +37,7 @@ NA_WORDS = [
     "null",
 ]
 
-_SURPLUS = "_surplus"
+_RECORD = "_record"
 
 
 @dataclass(frozen=True)
@@ -73,7 +73,7 @@ def column_map(header: list[str]) -> tuple[dict[int, str], list[str], list[str]]
 
 
 def read_csv(spark: SparkSession, path: str, *, multi_line: bool = False) -> RawTable:
-    """Scan a CSV file or folder of CSV files that share one header.
+    """Scan a CSV file or folder of CSV files that share one header; other headers end the read.
 
     Blank lines are skipped, short rows are filled with nulls, and the words of `NA_WORDS`
     become null. `multi_line` allows line breaks inside quoted cells, at the price that a file
@@ -85,20 +85,23 @@ def read_csv(spark: SparkSession, path: str, *, multi_line: bool = False) -> Raw
     if first is None:
         return RawTable([], None)
     header = next(csv.reader([first["value"].lstrip("﻿")]))
-    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(header))]
-    schema = T.StructType([*fields, T.StructField(_SURPLUS, T.StringType())])
+    names = [f"c{i}" for i in range(len(header))]
+    # Spark compares each file's header with the schema; texts that repeat cannot be column names
+    plain = len({h.lower() for h in header}) == len(header) and all(header) and _RECORD not in header
+    schema = T.StructType([T.StructField(h, T.StringType()) for h in (header if plain else names)])
     rows = (
-        spark.read.schema(schema)
+        spark.read.schema(schema.add(_RECORD, T.StringType()))
         .option("header", True)
-        .option("enforceSchema", True)
+        .option("enforceSchema", not plain)
         .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", _RECORD)
+        .option("columnPruning", False)
         .option("escape", '"')
         .option("multiLine", multi_line)
         .csv(path)
+        .toDF(*names, _RECORD)
     )
-    rows = rows.withColumns(
-        {f.name: F.when(~F.col(f.name).isin(NA_WORDS), F.col(f.name)) for f in fields}
-    )
+    rows = rows.withColumns({c: F.when(~F.col(c).isin(NA_WORDS), F.col(c)) for c in names})
     return RawTable(header, rows)
 
 
@@ -108,8 +111,6 @@ def read_csv_text(spark: SparkSession, content: str | bytes) -> RawTable:
     if not text or not text.strip():
         return RawTable([], None)
     path = staging_path(spark, "upload")
-    if path is None:
-        raise EngineError("An upload needs spark.checkpoint.dir to name a shared folder.")
     landed = spark.createDataFrame([(text.lstrip(),)], "value string").coalesce(1)
     landed.write.text(path)
     return read_csv(spark, path, multi_line='"' in text)
@@ -117,20 +118,29 @@ def read_csv_text(spark: SparkSession, content: str | bytes) -> RawTable:
 
 def raw_table(df: DataFrame) -> RawTable:
     """Any DataFrame as a raw table: every column as text under its own header."""
-    columns = [F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(df.columns)]
-    return RawTable(df.columns, df.select(*columns))
+    cells = []
+    for i, field in enumerate(df.schema):
+        cell = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+            cell = F.when(~F.isnan(cell), cell)  # a missing number
+        cells.append(cell.cast("string").alias(f"c{i}"))
+    return RawTable(df.columns, df.select(*cells))
 
 
 def _complete(raw: RawTable, value: Column) -> Column:
     """`value`, or an error raised while the table is read if the row has too many fields."""
-    if _SURPLUS not in raw.rows.columns:
+    if _RECORD not in raw.rows.columns:
         return value
     message = F.lit(f"CSV could not be parsed: a row has more than {len(raw.header)} fields.")
-    return F.when(F.col(_SURPLUS).isNotNull(), F.raise_error(message)).otherwise(value)
+    # a record is kept where its number of fields is not the header's; quoted commas part no fields
+    fields = F.size(F.split(F.regexp_replace(_RECORD, r'"([^"]|"")*"', ""), ",", -1))
+    return F.when(F.col(_RECORD).isNotNull() & (fields > len(raw.header)), F.raise_error(message)).otherwise(value)
 
 
 def row_count(raw: RawTable) -> int:
-    return raw.rows.agg(F.count(_complete(raw, F.lit(1))).alias("n")).head()["n"]
+    # a query of the kept records alone is not allowed, so a cell is counted as well
+    counted = raw.rows.agg(F.sum(_complete(raw, F.lit(1))).alias("n"), F.count("c0").alias("cells"))
+    return counted.head()["n"] or 0
 
 
 def canonical_text(raw: RawTable) -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +24,7 @@ from adfathom.sources.csv_scan import (
     row_count,
 )
 from adfathom.sources.files import path_exists
-from adfathom.staging import stage
+from adfathom.staging import dealt, stage
 
 # Fixed value: how many rows a preview shows.
 PREVIEW_ROWS = 20
@@ -69,15 +72,17 @@ def _validate(spark: SparkSession, raw: RawTable) -> Validation:
                 None, quality.structural_report(spark, warnings, row_count(raw), width)
             )
         distinct = quality.distinct_rows(quality.normalised(canonical_text(raw)))
-        distinct = stage(distinct, "distinct-rows", spread=True)
+        distinct = stage(dealt(distinct), "distinct-rows")
         report = spark.createDataFrame(
             quality.quality_report(distinct).collect(), quality.REPORT_SCHEMA
         )
-    except PySparkException as problem:
+    except (PySparkException, Py4JJavaError) as problem:
         if "USER_RAISED_EXCEPTION" in str(problem):
             raise ValidationFailed(
                 f"CSV could not be parsed: a row has more than {width} fields."
             ) from problem
+        if "CSV header does not conform" in str(problem):
+            raise ValidationFailed("CSV could not be parsed: the files have different headers.") from problem
         raise
     return Validation(quality.typed_rows(distinct), report)
 
@@ -102,52 +107,69 @@ def preview(table: DataFrame, limit: int = PREVIEW_ROWS) -> DataFrame:
 class DatasetStore:
     """The current table, its report and the default file.
 
-    A table passes the gate before it is stored, so reading it back needs no second check.
+    A table passes the gate before it is stored, so reading it back needs no second check. Each is stored
+    with its report in a folder of its own; a list of versions, written last, says which is current, so a job that
+    fails on the way leaves the table before it in place.
     """
 
     def __init__(self, spark: SparkSession, folder: str, default_csv: str) -> None:
         self.spark = spark
         self.default_csv = default_csv
-        self.current_path = f"{folder.rstrip('/')}/current"
-        self.report_path = f"{folder.rstrip('/')}/report"
+        self.folder = folder.rstrip("/")
+        self.versions_path = f"{self.folder}/versions"
 
     # -- storing
 
-    def load_default(self) -> Validation:
-        return self._store(validate_csv_path(self.spark, self.default_csv))
+    def version(self) -> str | None:
+        """The name of the current table, which changes whenever one is stored."""
+        if not path_exists(self.spark, self.versions_path):
+            return None
+        return self.spark.read.text(self.versions_path).agg(F.max("value").alias("value")).head()["value"]
+
+    def _table_path(self, version: str) -> str:
+        return f"{self.folder}/tables/{version}/rows"
+
+    def _report_path(self, version: str) -> str:
+        return f"{self.folder}/tables/{version}/report"
 
-    def store_csv(self, path: str) -> Validation:
+    def load_default(self, *, multi_line: bool = False) -> Validation:
+        return self._store(validate_csv_path(self.spark, self.default_csv, multi_line=multi_line))
+
+    def store_csv(self, path: str, *, multi_line: bool = False) -> Validation:
         """Gate and store a CSV file; anything but a .csv name is refused."""
         if not path.lower().endswith(".csv"):
             raise ValidationFailed("Only CSV files can be uploaded.")
-        return self.store_path(path)
+        return self.store_path(path, multi_line=multi_line)
 
-    def store_path(self, path: str) -> Validation:
+    def store_path(self, path: str, *, multi_line: bool = False) -> Validation:
         """Gate and store CSV data of any name, such as a folder of files sharing one header."""
-        return self._store(validate_csv_path(self.spark, path))
+        return self._store(validate_csv_path(self.spark, path, multi_line=multi_line))
 
     def store_text(self, content: str | bytes) -> Validation:
         return self._store(validate_csv_text(self.spark, content))
 
     def _store(self, result: Validation) -> Validation:
-        result.table.write.mode("overwrite").parquet(self.current_path)
-        self._write_report(result.report)
+        version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+        result.table.write.parquet(self._table_path(version))
+        self._write_report(result.report, version)
+        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("append").text(self.versions_path)
         return Validation(self.current(), result.report)
 
-    def _write_report(self, report: DataFrame) -> None:
-        report.coalesce(1).write.mode("overwrite").json(self.report_path)
+    def _write_report(self, report: DataFrame, version: str) -> None:
+        report.coalesce(1).write.mode("overwrite").json(self._report_path(version))
 
     # -- reading
 
     def current(self) -> DataFrame:
         """The stored table, as it is."""
-        if not path_exists(self.spark, self.current_path):
+        version = self.version()
+        if version is None:
             raise NotFound("No validated dataset is available. Upload a CSV or use the default dataset.")
-        return self.spark.read.schema(CANONICAL_SCHEMA).parquet(self.current_path)
+        return self.spark.read.schema(CANONICAL_SCHEMA).parquet(self._table_path(version))
 
     def active(self) -> DataFrame:
         """The stored table, else the default file after the gate."""
-        if path_exists(self.spark, self.current_path):
+        if self.version() is not None:
             return self.current()
         if path_exists(self.spark, self.default_csv):
             return validate_csv_path(self.spark, self.default_csv).table
@@ -156,9 +178,10 @@ class DatasetStore:
         )
 
     def saved_report(self) -> DataFrame | None:
-        if not path_exists(self.spark, self.report_path):
+        version = self.version()
+        if version is None or not path_exists(self.spark, self._report_path(version)):
             return None
-        return self.spark.read.schema(quality.REPORT_SCHEMA).json(self.report_path)
+        return self.spark.read.schema(quality.REPORT_SCHEMA).json(self._report_path(version))
 
     def latest_report(self) -> DataFrame:
         """The saved report, else one made from the current table (and saved), else from the
@@ -167,9 +190,10 @@ class DatasetStore:
         saved = self.saved_report()
         if saved is not None:
             return saved
-        if path_exists(self.spark, self.current_path):
+        version = self.version()
+        if version is not None:
             report = validate_dataframe(self.current(), must_be_ready=False).report
-            self._write_report(report)
+            self._write_report(report, version)
             return report
         if path_exists(self.spark, self.default_csv):
             return validate_csv_path(self.spark, self.default_csv, must_be_ready=False).report
@@ -184,11 +208,13 @@ class DatasetStore:
     def status(self) -> dict:
         """Which datasets exist and pass, with the report of the first that has one."""
         default_exists = path_exists(self.spark, self.default_csv)
-        current_exists = path_exists(self.spark, self.current_path)
-        default = self._report_or_none(lambda: validate_csv_path(self.spark, self.default_csv, must_be_ready=False)) if default_exists else None
-        current = self._report_or_none(lambda: validate_dataframe(self.current(), must_be_ready=False)) if current_exists else None
-        saved = self.saved_report()
-        latest = current or (saved.head().asDict(recursive=True) if saved is not None else None) or default
+        current_exists = self.version() is not None
+        default = current = None
+        if default_exists:
+            default = self._summary(lambda: validate_csv_path(self.spark, self.default_csv, must_be_ready=False).report)
+        if current_exists:
+            current = self._summary(self.latest_report)  # the one saved with the table
+        latest = current or default
         warnings = list(latest["warnings"]) if latest else []
         if not default_exists:
             warnings.append("Default dataset file is missing.")
@@ -202,9 +228,9 @@ class DatasetStore:
         }
 
     @staticmethod
-    def _report_or_none(run) -> dict | None:
+    def _summary(report) -> dict | None:
         try:
-            return run().summary()
+            return report().head().asDict(recursive=True)
         except EngineError:
             return None
 

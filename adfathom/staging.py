@@ -6,54 +6,33 @@ survives lost executors, cuts lineage, and lets later scans prune columns and pu
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from adfathom.schema import EngineError
 
-@functools.cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="adfathom-")
 
+def staging_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        raise EngineError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+    return named.rstrip("/")
 
-def staging_root(spark: SparkSession) -> str | None:
-    """The shared folder, or None when a cluster names none; local sessions get their own."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    return _local_folder() if spark.sparkContext.master.startswith("local") else None
 
+def staging_path(spark: SparkSession, label: str) -> str:
+    return f"{staging_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
-def staging_path(spark: SparkSession, label: str) -> str | None:
-    root = staging_root(spark)
-    if root is None:
-        return None
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
-
-def stage(df: DataFrame, label: str, *, spread: bool = False) -> DataFrame:
-    """Write `df` and return a scan of it; without a shared folder `df` stays lazy.
-
-    `spread` is for tables of ads: one that came out in fewer parts than the session has cores
-    is written again in as many, so later passes use all cores. A large table has more parts
-    than that anyway and is written once.
-    """
-    spark = df.sparkSession
-    written = _write(df, label)
-    if not spread or written is df:
-        return written
-    cores = spark.sparkContext.defaultParallelism
-    if written.rdd.getNumPartitions() >= cores:
-        return written
-    return _write(written.repartition(cores), label)
-
-
-def _write(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write `df` and return a scan of it."""
     spark = df.sparkSession
     path = staging_path(spark, label)
-    if path is None:
-        return df
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """`df` in as many even parts as the session shuffles into, for a table that many scans read."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

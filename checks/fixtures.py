@@ -5,10 +5,12 @@ Each test table is read whole: one ad per order, from orders, customer and linei
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 from adfathom.schema import CANONICAL_SCHEMA
-from adfathom.staging import stage
+from adfathom.staging import dealt, stage
 
 # One ad per order with the eleven canonical columns.
 ADS = """
@@ -111,6 +113,13 @@ def ads_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*[rows[f.name].cast(f.dataType).alias(f.name) for f in CANONICAL_SCHEMA])
 
 
+def _share(spark: SparkSession) -> None:
+    """A session that names no shared folder gets one of the local machine, as the checks run on one."""
+    context = spark.sparkContext
+    if not (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="adfathom-checks-"))
+
+
 def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored campaign table: derived once per application and folder, then read back.
 
@@ -119,7 +128,8 @@ def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir, "ads")
     if key not in _staged:
-        _staged[key] = stage(ads_view(spark, sf_dir), "ads", spread=True)
+        _share(spark)
+        _staged[key] = stage(dealt(ads_view(spark, sf_dir)), "ads")
     return _staged[key]
 
 

@@ -62,9 +62,9 @@ def scored(many_ads):
     ).withColumn("predicted_class", (F.col("conversion_probability") > 0.5).cast("int"))
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0], ids=["one-task", "ranges"])
+@pytest.mark.parametrize("limit", [250_000, 30], ids=["one-range", "ranges"])
 def test_baseline(scored, monkeypatch, limit):
-    monkeypatch.setattr(ordered, "ONE_TASK_ROWS", limit)
+    monkeypatch.setattr(ordered, "RANGE_ROWS", limit)
     rows = scored.collect()
     got = advice.segment_baseline(scored)
     assert got.rows == 400

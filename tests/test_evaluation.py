@@ -157,9 +157,9 @@ def test_empty_selection_still_pays_the_fixed_cost(spark):
     assert [r["estimated_profit"] for r in strategies] == [0, -47, 0, 0, 0]
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0], ids=["one-task", "ranges"])
+@pytest.mark.parametrize("limit", [250_000, 30], ids=["one-range", "ranges"])
 def test_strategies_match_sorted_lists(scored, data, monkeypatch, limit):
-    monkeypatch.setattr(ordered, "ONE_TASK_ROWS", limit)
+    monkeypatch.setattr(ordered, "RANGE_ROWS", limit)
     best = thresholds.best_threshold(thresholds.threshold_sweep(scored, A)).head()
     k = best["segments_selected"]
     mixed = (F.col("ad_id") * 7919 + 42) % 1009

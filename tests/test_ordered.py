@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from adfathom.operators import ordered
 
 
-@pytest.fixture(params=[1_000_000, 0], ids=["one-task", "ranges"])
+@pytest.fixture(params=[250_000, 40], ids=["one-range", "ranges"])
 def limit(request, monkeypatch):
-    monkeypatch.setattr(ordered, "ONE_TASK_ROWS", request.param)
+    monkeypatch.setattr(ordered, "RANGE_ROWS", request.param)
 
 
 def hot_values(n=600, seed=3):
@@ -34,11 +34,10 @@ def test_running_totals_match_a_plain_loop(spark, descending):
     assert {r["v"]: (r["run_n"], r["total_n"], r["next_n"]) for r in got} == expected
 
 
-@pytest.mark.parametrize("ranges", [2, 500])
-def test_running_totals_do_not_depend_on_the_range_count(spark, ranges):
+@pytest.mark.parametrize("range_rows", [1, 7, 500])
+def test_running_totals_do_not_depend_on_the_range_count(spark, range_rows):
     df = spark.range(200).selectExpr("id * 3 AS v", "id % 7 AS n")
-    fitted = ordered.fit_ranges(df, "v", ranges)
-    got = {r["v"]: r["run_n"] for r in ordered.running_totals(df, "v", ["n"], fitted=fitted).collect()}
+    got = {r["v"]: r["run_n"] for r in ordered.running_totals(df, "v", ["n"], range_rows=range_rows).collect()}
     run = 0
     for i in range(200):
         run += i % 7
@@ -51,6 +50,23 @@ def test_running_totals_of_one_and_of_no_rows(spark):
     assert ordered.running_totals(one.filter("v > 9"), "v", ["n"]).count() == 0
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_a_null_key_is_the_lowest(spark, limit, descending):
+    rows = [(None, 7)] + [(float(i), i) for i in range(120)]
+    df = spark.createDataFrame(rows, "v double, n int")
+    got = {r["v"]: r for r in ordered.running_totals(df, "v", ["n"], descending=descending, following=["n"]).collect()}
+    total = 7 + sum(range(120))
+    assert len(got) == 121 and got[None]["run_n"] == (total if descending else 7)
+    assert got[None]["next_n"] == (None if descending else 0)
+    assert got[0.0]["next_n"] == (7 if descending else 1)
+
+
+def test_ranges_follow_the_rows_and_split_long_ids(spark):
+    df = spark.range(1000).selectExpr("id + 1152921504606846976 AS v", "1 AS n")
+    sizes = [r["count"] for r in ordered.in_ranges(df, "v", range_rows=50).groupBy("_range").count().collect()]
+    assert sum(sizes) == 1000 and len(sizes) >= 15 and max(sizes) < 200
+
+
 def test_order_buckets_keep_infinity_and_long_ids(spark):
     ids = [2**60 + i for i in range(40)]
     df = spark.createDataFrame([(i, 1) for i in ids], "v bigint, n int")
@@ -105,3 +121,12 @@ def test_first_k_refuses_keys_that_leave_a_tie_open(spark, limit):
     df = spark.createDataFrame([(1.0,), (1.0,), (2.0,)], "v double")
     with pytest.raises(ValueError):
         ordered.first_k(df, 1, [F.col("v")])
+
+
+@pytest.mark.parametrize("k", [0, 1, 2, 3, 5])
+def test_tied_rows_are_taken_by_their_number(spark, limit, k):
+    values = [1.0, 1.0, 1.0, 2.0, 3.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    found = ordered.select_first(df, k, [F.col("v")], 5)
+    got = df.agg(found.total(F.col("v")).alias("s"), (F.count_if(found.sure) + F.lit(found.count)).alias("n")).head()
+    assert (got["s"], got["n"]) == (sum(values[:k]), k)

@@ -3,17 +3,28 @@ import pytest
 from adfathom.operators import quality
 from adfathom.schema import COLUMNS, EngineError, NotFound, ValidationFailed
 from adfathom.sources import csv_scan
-from adfathom.sources.datasets import DatasetStore, validate_csv_path, validate_csv_text
+from adfathom.plans.engine import Workspace
+from adfathom.sources.datasets import DatasetStore, validate_csv_path, validate_csv_text, validate_dataframe
 
 HEADER = (
     "ad_id,xyz_campaign_id,fb_campaign_id,age,gender,interest,"
     "Impressions,Clicks,Spent,Total_Conversion,Approved_Conversion"
 )
-GOOD = "708746,916,103916,30-34,M,15,7350,1,1.43,2,1"
+#: A row of our own and, cell by cell, what the gate makes of it.
+CELLS = [4217, 936, 104402, "45-49", "F", 22, 1200, 14, 20.5, 3, 2]
+GOOD = ",".join(map(str, CELLS))
+
+
+def changed(**cells):
+    """The row with some cells replaced by name."""
+    return ",".join(str(cells.get(name, cell)) for name, cell in zip(COLUMNS, CELLS))
 
 
 def text(*rows, header=HEADER):
-    return "\n".join([header, *rows])
+    """The lines of a file."""
+    lines = [header]
+    lines.extend(rows)
+    return "\n".join(lines)
 
 
 def report_of(spark, *rows, header=HEADER):
@@ -26,7 +37,7 @@ def test_good_text_is_ready(spark):
     assert report["ready_for_analysis"] and report["row_count"] == 1 and report["column_count"] == 11
     assert report["warnings"] == ["Dataset passed validation and is ready for analysis."]
     assert result.table.columns == COLUMNS
-    assert tuple(result.table.head()) == (708746, 916, 103916, "30-34", "M", 15, 7350, 1, 1.43, 2, 1)
+    assert tuple(result.table.head()) == tuple(CELLS)
 
 
 @pytest.mark.parametrize("content", ["", "  \n \n", b"", b"\n"])
@@ -46,7 +57,7 @@ def test_a_header_alone_has_no_rows(spark):
 def test_a_missing_column_is_named(spark):
     report = report_of(
         spark,
-        "708746,916,103916,30-34,M,15,7350,1,1.43,2",
+        GOOD.rpartition(",")[0],
         header=HEADER.replace(",Approved_Conversion", ""),
     )
     assert report["warnings"] == ["Missing required columns: purchases."]
@@ -83,7 +94,7 @@ def test_messy_headers_map(spark):
 
 def test_what_is_no_number_is_invalid(spark):
     cells = ["not-a-number", "1d", "1f", "0x1p3", "1,000", "inf", "1e400", "--5"]
-    report = report_of(spark, *[f'708746,916,103916,30-34,M,15,"{c}",1,1.43,2,1' for c in cells])
+    report = report_of(spark, *[changed(impressions=f'"{c}"', clicks=0) for c in cells])
     assert report["invalid_numeric_values"]["impressions"] == len(cells)
     assert report["missing_values_by_column"]["impressions"] == 0
     assert not report["ready_for_analysis"]
@@ -92,7 +103,7 @@ def test_what_is_no_number_is_invalid(spark):
 def test_no_value_words_are_missing_not_invalid(spark):
     cells = ["NA", "N/A", "null", "NaN", "nan", "None", "#N/A", "<NA>", "", "   ", '""']
     report = report_of(
-        spark, *[f"{i},916,103916,30-34,M,15,{c},1,1.43,2,1" for i, c in enumerate(cells)]
+        spark, *[changed(ad_id=i, impressions=c) for i, c in enumerate(cells)]
     )
     assert report["missing_values_by_column"]["impressions"] == len(cells)
     assert report["invalid_numeric_values"]["impressions"] == 0
@@ -100,19 +111,19 @@ def test_no_value_words_are_missing_not_invalid(spark):
 
 
 def test_one_number_in_many_spellings_is_one_row(spark):
-    cells = ["7350", " 7350 ", "7350.0", "+7350", "7.35e3", "007350"]
-    report = report_of(spark, *[GOOD.replace("7350", c) for c in cells])
+    cells = ["1200", " 1200 ", "1200.0", "+1200", "1.2e3", "001200"]
+    report = report_of(spark, *[changed(impressions=c) for c in cells])
     assert report["duplicate_count"] == len(cells) - 1 and report["row_count"] == 1
 
 
 def test_long_ids_stay_apart(spark):
-    rows = [GOOD.replace("708746", str(2**60 + i)) for i in range(3)]
+    rows = [changed(ad_id=2**60 + i) for i in range(3)]
     result = validate_csv_text(spark, text(*rows))
     assert {r["ad_id"] for r in result.table.collect()} == {2**60, 2**60 + 1, 2**60 + 2}
 
 
 def test_copies_are_removed_and_do_not_block(spark):
-    result = validate_csv_text(spark, text(GOOD, GOOD, GOOD.replace("30-34", " 30-34  ")))
+    result = validate_csv_text(spark, text(GOOD, GOOD, changed(age=" 45-49  ")))
     report = result.summary()
     assert report["ready_for_analysis"] and report["duplicate_count"] == 2 and report["row_count"] == 1
     assert report["warnings"] == ["Removed 2 exact duplicate row(s)."]
@@ -121,16 +132,16 @@ def test_copies_are_removed_and_do_not_block(spark):
 
 def test_only_white_space_is_trimmed(spark):
     cells = ["\tfern\x0b", "\x0c fern ", "fern"]
-    result = validate_csv_text(spark, text(*[GOOD.replace("30-34", c) for c in cells]))
+    result = validate_csv_text(spark, text(*[changed(age=c) for c in cells]))
     assert [r["age"] for r in result.table.collect()] == ["fern"]
 
 
 def test_each_range_rule_counts_once(spark):
-    negative = report_of(spark, GOOD.replace("1.43", "-1.43"))
+    negative = report_of(spark, changed(spend=-20.5))
     assert negative["negative_values"]["spend"] == 1
-    clicks = report_of(spark, "708746,916,103916,30-34,M,15,2,3,1.43,2,1")
+    clicks = report_of(spark, changed(impressions=2, clicks=3))
     assert clicks["clicks_greater_than_impressions"] == 1
-    purchases = report_of(spark, "708746,916,103916,30-34,M,15,7350,1,1.43,1,2")
+    purchases = report_of(spark, changed(leads=1, purchases=2))
     assert purchases["purchases_greater_than_leads"] == 1
     assert not (negative["ready_for_analysis"] or clicks["ready_for_analysis"] or purchases["ready_for_analysis"])
 
@@ -150,12 +161,12 @@ def test_messages_keep_their_order(spark):
 
 
 def test_fractions_are_cut_off(spark):
-    result = validate_csv_text(spark, text(GOOD.replace("7350", "7350.9")))
-    assert result.table.head()["impressions"] == 7350
+    result = validate_csv_text(spark, text(changed(impressions=1200.9)))
+    assert result.table.head()["impressions"] == 1200
 
 
 def test_blank_lines_are_skipped_and_short_rows_filled(spark):
-    report = report_of(spark, "", GOOD, "   ", "708747,916,103916,30-34,M,15,7350,1,1.43,2", "")
+    report = report_of(spark, "", GOOD, "   ", changed(ad_id=9).rpartition(",")[0], "")
     assert report["row_count"] == 2
     assert report["missing_values_by_column"]["purchases"] == 1
 
@@ -166,7 +177,7 @@ def test_a_row_with_too_many_fields_is_an_error(spark):
 
 
 def test_quoted_cells_may_hold_commas_quotes_and_line_breaks(spark):
-    row = GOOD.replace("30-34", '"30-34, ""young""\nadults"')
+    row = changed(age='"30-34, ""young""\nadults"')
     result = validate_csv_text(spark, text(row))
     assert result.table.head()["age"] == '30-34, "young"\nadults'
 
@@ -206,15 +217,15 @@ def test_store_flow(spark, tmp_path):
     assert store.active().count() == 1
     assert store.latest_report().head()["ready_for_analysis"]
     store.load_default()
-    second = text(GOOD, GOOD.replace("708746", "5"))
+    second = text(GOOD, changed(ad_id=5))
     report = store.store_text(second).summary()
     assert report["row_count"] == 2
     rows, n = store.preview()
-    assert n == 2 and [r["ad_id"] for r in rows.collect()] == [5, 708746]
+    assert n == 2 and [r["ad_id"] for r in rows.collect()] == [5, 4217]
     assert store.saved_report().head().asDict(recursive=True) == report
 
     with pytest.raises(ValidationFailed):
-        store.store_text(text(GOOD.replace("1.43", "-1")))
+        store.store_text(text(changed(spend=-1)))
     assert store.current().count() == 2, "a refused upload must not replace the table"
     with pytest.raises(ValidationFailed):
         store.store_csv(str(tmp_path / "data.txt"))
@@ -229,7 +240,8 @@ def test_reports_are_rebuilt_when_none_was_saved(spark, tmp_path):
     store = DatasetStore(spark, str(tmp_path / "data"), str(default))
     assert store.latest_report().head()["duplicate_count"] == 1
     assert store.saved_report() is None
-    validate_csv_path(spark, str(default)).table.write.parquet(store.current_path)
+    validate_csv_path(spark, str(default)).table.write.parquet(store._table_path("first"))
+    spark.createDataFrame([("first",)], "value string").write.text(store.versions_path)
     assert store.latest_report().head()["duplicate_count"] == 0
     assert store.saved_report() is not None
 
@@ -238,7 +250,7 @@ def test_a_folder_of_csv_files_is_one_table(spark, tmp_path):
     folder = tmp_path / "parts"
     folder.mkdir()
     for i in range(3):
-        (folder / f"part-{i}.csv").write_text(text(GOOD.replace("708746", str(i))))
+        (folder / f"part-{i}.csv").write_text(text(changed(ad_id=i)))
     assert validate_csv_path(spark, str(folder)).table.count() == 3
 
 
@@ -251,3 +263,48 @@ def test_header_must_map_before_rows_are_read(spark):
     raw = csv_scan.read_csv_text(spark, "a,b\n1,2")
     with pytest.raises(EngineError):
         csv_scan.canonical_text(raw)
+
+
+def test_a_row_with_too_many_fields_is_refused_even_if_the_first_surplus_one_is_empty(spark, tmp_path):
+    for line in (GOOD + ",,9", GOOD + ",", GOOD + ",x"):
+        with pytest.raises(ValidationFailed, match="more than 11 fields"):
+            validate_csv_text(spark, text(GOOD, line))
+    assert validate_csv_text(spark, text(changed(age='"45,49"'))).table.head()["age"] == "45,49"
+
+
+def test_files_with_different_headers_are_refused(spark, tmp_path):
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    (folder / "a.csv").write_text(text(changed(ad_id=1)))
+    (folder / "b.csv").write_text(text(changed(ad_id=2), header=HEADER.replace("Impressions,Clicks", "Clicks,Impressions")))
+    with pytest.raises(ValidationFailed, match="different headers"):
+        validate_csv_path(spark, str(folder))
+
+
+def test_line_breaks_in_quotes_can_be_read_by_path(spark, tmp_path):
+    path = tmp_path / "broken.csv"
+    path.write_text(text(changed(age='"45\n49"'), changed(ad_id=2)))
+    store = DatasetStore(spark, str(tmp_path / "data"), str(path))
+    assert store.store_csv(str(path), multi_line=True).table.count() == 2
+
+
+def test_measures_that_sums_cannot_hold_are_invalid(spark):
+    report = report_of(spark, changed(spend="1e300"), changed(impressions=10**15))
+    assert report["invalid_numeric_values"]["spend"] == 1 and report["invalid_numeric_values"]["impressions"] == 1
+    assert not report["ready_for_analysis"]
+
+
+def test_nan_of_a_data_frame_is_missing(spark):
+    rows = [tuple(CELLS[:8] + [float("nan")] + CELLS[9:])]
+    report = validate_dataframe(spark.createDataFrame(rows, COLUMNS), must_be_ready=False).summary()
+    assert report["missing_values_by_column"]["spend"] == 1 and report["invalid_numeric_values"]["spend"] == 0
+
+
+def test_answers_follow_the_stored_table_and_versions_stay(spark, tmp_path):
+    work = Workspace(spark, str(tmp_path / "work"))
+    with pytest.raises(NotFound):
+        work.datasets.current()
+    for spend in (5.0, 500.0):
+        work.datasets.store_text(text(changed(spend=spend)))
+        assert work.overview()["totals"].head()["spend"] == spend
+    assert work.datasets.status()["latest_report"]["row_count"] == 1

@@ -49,9 +49,9 @@ def test_feature_table(eight):
     assert dict(table.dtypes)["f_campaign_id"] == "string" and dict(table.dtypes)["f_clicks"] == "double"
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0], ids=["one-task", "ranges"])
+@pytest.mark.parametrize("limit", [250_000, 30], ids=["one-range", "ranges"])
 def test_preparation_fills_and_scales(spark, monkeypatch, limit):
-    monkeypatch.setattr(ordered, "ONE_TASK_ROWS", limit)
+    monkeypatch.setattr(ordered, "RANGE_ROWS", limit)
     rows = [(i, c, a, "M", 1, x, 5, float(i), 0) for i, (c, a, x) in enumerate([
         (936, "b", 1), (916, "b", 2), (936, "a", 3), (916, "a", 4), (None, None, None)])]
     df = spark.createDataFrame(rows, "ad_id bigint, campaign_id bigint, age string, gender string, interest bigint, impressions bigint, clicks bigint, spend double, purchases bigint")
@@ -94,9 +94,9 @@ def test_quotas_add_up(counts):
     assert all(abs(plan.train[c] - n * 0.75) < 1.01 for c, n in counts.items())
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0], ids=["one-task", "ranges"])
+@pytest.mark.parametrize("limit", [250_000, 30], ids=["one-range", "ranges"])
 def test_split_is_exact_repeatable_and_layout_free(many_ads, monkeypatch, limit):
-    monkeypatch.setattr(ordered, "ONE_TASK_ROWS", limit)
+    monkeypatch.setattr(ordered, "RANGE_ROWS", limit)
     table = features.feature_table(many_ads)
     one, plan = splits.with_split(table)
     two, _ = splits.with_split(table.repartition(9))
