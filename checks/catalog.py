@@ -54,6 +54,11 @@ def _once(spark: SparkSession, sf_dir: str, name: str, make):
     return _kept[key]
 
 
+def forget() -> None:
+    """Drops what queries share, so that the next one pays for it itself."""
+    _kept.clear()
+
+
 def _baseline(spark: SparkSession, sf_dir: str) -> advice.Baseline:
     return _once(
         spark, sf_dir, "baseline", lambda: advice.segment_baseline(fixtures.scored(spark, sf_dir))
@@ -382,6 +387,22 @@ def roc_auc(spark, sf_dir):
     return _rounded(evaluation.ranking_metrics(fixtures.scored(spark, sf_dir)).select("roc_auc"))
 
 
+@query
+def ranking_null_scores(spark, sf_dir):
+    """A tenth of the ads has no score and ranks below all others."""
+    scored = fixtures.scored(spark, sf_dir)
+    gaps = F.when(F.col("ad_id") % 10 != 0, F.col("conversion_probability"))
+    return _rounded(evaluation.ranking_metrics(scored.withColumn("conversion_probability", gaps)))
+
+
+@query
+def ranking_distinct_scores(spark, sf_dir):
+    """A score for each ad, in whole numbers that no double tells apart."""
+    scored = fixtures.scored(spark, sf_dir)
+    own = F.lit(2**53 + 1) + F.col("ad_id") * 7919 % 1000003
+    return _rounded(evaluation.ranking_metrics(scored.withColumn("own_score", own), score="own_score"))
+
+
 @query
 def average_precision(spark, sf_dir):
     rows = evaluation.ranking_metrics(fixtures.scored(spark, sf_dir))
@@ -568,3 +589,34 @@ def predictions(spark, sf_dir):
 @query
 def model_threshold_sweep(spark, sf_dir):
     return thresholds.threshold_sweep(_trained(spark, sf_dir).selected.scored_test, A)
+
+
+# -- what must hold whatever the fitted models are
+
+
+@query
+def predictions_totals(spark, sf_dir):
+    rows = predictions(spark, sf_dir)
+    p = F.col("conversion_probability")
+    return rows.agg(
+        F.count("*").alias("n"),
+        F.sum("actual_converted").alias("converted"),
+        F.count_if(p.between(0, 1)).alias("in_range"),
+        F.count_if((p > 0.5).cast("int") == F.col("predicted_class")).alias("agreed"),
+    )
+
+
+@query
+def leaderboard_totals(spark, sf_dir):
+    counts = F.col("true_negatives") + F.col("false_positives") + F.col("false_negatives") + F.col("true_positives")
+    return leaderboard(spark, sf_dir).select(
+        "model_name", counts.alias("tested"), (F.col("true_positives") + F.col("false_negatives")).alias("positives")
+    )
+
+
+@query
+def model_sweep_totals(spark, sf_dir):
+    counts = F.col("true_negatives") + F.col("false_positives") + F.col("false_negatives") + F.col("true_positives")
+    return model_threshold_sweep(spark, sf_dir).select(
+        "threshold", counts.alias("tested"), (F.col("true_positives") + F.col("false_negatives")).alias("positives")
+    )

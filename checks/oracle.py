@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+from adfathom.operators import training
 from checks import fixtures
 
 MEASURES = """CAST(SUM(impressions) AS DOUBLE) AS impressions, CAST(SUM(clicks) AS DOUBLE) AS clicks,
@@ -36,6 +37,22 @@ def name_of(place: str, id_text: str) -> str:
     return f"'Campaign ' || {WORDS}[CAST({place} % 12 AS INTEGER) + 1] || ' (' || {id_text} || ')'"
 
 
+def ranking(score: str) -> str:
+    """ROC AUC and average precision of the rows of `scored` under a score; no score ranks last."""
+    return f"""SELECT
+  ROUND(CAST(SUM(fp * (2 * run_tp - tp)) AS DOUBLE) / (CAST(2 AS DOUBLE) * MAX(all_tp) * MAX(all_fp)), 10) AS roc_auc,
+  ROUND(SUM(CAST(tp AS DOUBLE) / CAST(all_tp AS DOUBLE) * (CAST(run_tp AS DOUBLE) / CAST(run_tp + run_fp AS DOUBLE))), 10)
+    AS average_precision
+FROM (SELECT tp, fp, SUM(tp) OVER w AS run_tp, SUM(fp) OVER w AS run_fp,
+             SUM(tp) OVER () AS all_tp, SUM(fp) OVER () AS all_fp
+      FROM (SELECT {score} AS s, COUNT(*) FILTER (converted = 1) AS tp, COUNT(*) FILTER (converted = 0) AS fp
+            FROM scored GROUP BY 1)
+      WINDOW w AS (ORDER BY s DESC NULLS LAST))"""
+
+
+TESTED = """CAST((SELECT SUM(n) FROM split_rows WHERE split = 'test') AS BIGINT) AS tested,
+  CAST((SELECT SUM(n) FROM split_rows WHERE split = 'test' AND converted = 1) AS BIGINT) AS positives"""
+
 PARTS = {
     "ads": fixtures.ADS,
     "scored": fixtures.SCORED,
@@ -494,6 +511,12 @@ ANSWERS = {
   CAST(printf('%.2f', estimated_revenue) AS DOUBLE) AS estimated_revenue, CAST(printf('%.2f', estimated_profit) AS DOUBLE) AS estimated_profit,
   CAST(printf('%.6f', estimated_roas) AS DOUBLE) AS estimated_roas FROM named""",
     "report_recommendations": "SELECT * FROM report_rows",
+    "ranking_null_scores": ranking("CASE WHEN ad_id % 10 <> 0 THEN conversion_probability END"),
+    "ranking_distinct_scores": ranking("9007199254740993 + ad_id * 7919 % 1000003"),
+    "predictions_totals": """SELECT COUNT(*) AS n, CAST(SUM(converted) AS BIGINT) AS converted, COUNT(*) AS in_range,
+  COUNT(*) AS agreed FROM scored""",
+    "leaderboard_totals": f"SELECT model_name, {TESTED} FROM (VALUES ('{training.LOGISTIC}'), ('{training.FOREST}')) t(model_name)",
+    "model_sweep_totals": f"SELECT threshold, {TESTED} FROM grid",
 }
 
 
