@@ -162,7 +162,10 @@ def identify(docs: DataFrame, model: LanguageModel, prefix: str = "") -> DataFra
     equal rows. Columns that already have these names are replaced.
     """
     added = [StructField(prefix + f.name, f.dataType) for f in ADDED]
-    docs = docs.drop("_letter", *(f.name for f in added))
+    docs = docs.drop(*(f.name for f in added))
+    flag = "_letter"
+    while flag in docs.columns:
+        flag += "_"
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at, names = docs.columns.index("text"), [*docs.columns, *(f.name for f in added)]
 
@@ -187,4 +190,4 @@ def identify(docs: DataFrame, model: LanguageModel, prefix: str = "") -> DataFra
                 )
 
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.withColumn("_letter", letter).mapInArrow(run, StructType([*docs.schema.fields, *added]))
+    return docs.withColumn(flag, letter).mapInArrow(run, StructType([*docs.schema.fields, *added]))
