@@ -295,6 +295,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     nodes = scratch.keep(nodes, "nodes")
     signed = rows.where("size > 0").select("node", "size", "signature", "bands").dropDuplicates(["node"])
     signed = scratch.keep(signed, "signed")
+    rows = scratch.keep(rows.select("doc_id", "node", "size"), "documents")
+    scratch.drop("rows")
 
     in_band = signed.select(F.explode("bands").alias("band"), "node")
     hubs = in_band.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
@@ -316,6 +318,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     full = near.join(members.toDF("a", "left"), "a").join(members.toDF("b", "right"), "b")
     links = full.select("a", "b", "left", "right").mapInArrow(_verified(percent), "a long, b long")
     links = scratch.keep(links, "star-links")
+    scratch.drop("star-sets")
     grouped = components(links, scratch, "round1")
 
     placed = shared.join(grouped, "node", "left").withColumn("group", F.coalesce("group", "node"))
@@ -349,7 +352,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
     result = scratch.keep(result, "result")
-    scratch.drop("rows", "signed", "shared", "star-sets", "close", "close-sets")
+    scratch.drop("documents", "signed", "shared", "close", "close-sets")
     return result
 
 
