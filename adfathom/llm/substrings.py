@@ -161,7 +161,7 @@ def repeated_windows(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, Data
     heads = named.join(first.withColumnRenamed("first", "doc_id"), ["content", "check", "doc_id"])
     anchors = heads.select("doc_id", "content", F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    shared = shared.where("low < high").select("anchor", "low")
+    shared = scratch.keep(shared.where("low < high").select("anchor"), "shared")
     # the first document of an anchor is needed to tell who is first, so it stays in
     suspects = anchors.join(shared, "anchor").groupBy("content", "doc_id").agg(F.collect_set("anchor").alias("anchors"))
     suspects = scratch.keep(suspects, "suspects")
@@ -171,7 +171,8 @@ def repeated_windows(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, Data
     windows = bodies.mapInArrow(_windows(size), WINDOWS).withColumnRenamed("content", "doc_id")
     windows = scratch.keep(windows, "windows")
     counted = windows.groupBy("window", "check2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    counted = counted.where("low < high").select("window", "check2", "low")
+    # written apart, so that the join can split a window that very many documents share
+    counted = scratch.keep(counted.where("low < high").select("window", "check2", "low"), "counted")
     hits = windows.join(counted, ["window", "check2"]).where("doc_id > low")
     starts = scratch.keep(hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("starts")), "starts")
     scratch.drop("windows")
