@@ -238,6 +238,18 @@ def test_decontamination_catches_passages_and_paraphrases(spark):
     assert decontaminate.contaminated(frame.limit(0), bench).count() == 0
 
 
+def test_decontamination_folds_accented_capitals(spark):
+    rng = random.Random(8)
+    letters = ["ñandú", "façade", "über", "straße", "éclair", "łódź", "жизнь", "οδός", "ırmak", "plain"]
+    words = [rng.choice(letters) + chr(97 + i % 26) + rng.choice(letters) for i in range(60)]
+    items = [(1, " ".join(words[:30])), (2, " ".join(words[30:]).upper())]
+    docs = [(i, sentence(rng, 200)) for i in range(40)]
+    docs += [(50, docs[0][1] + " " + items[0][1].upper()), (51, items[0][1]), (52, " ".join(words[30:]) + " " + docs[1][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(docs, DOCS), bench).collect()
+    assert sorted((r.doc_id, r.item_id, round(r.share, 6)) for r in got) == [(50, 1, 1.0), (51, 1, 1.0), (52, 2, 1.0)]
+
+
 def test_weighted_common_subsequence():
     rarity = np.array([1.0, 2.0, 3.0, 4.0])
     found = decontaminate.common_weight([np.array([0, 1, 2, 3]), np.array([3, 3])], [np.array([2, 0, 1, 3]), np.array([0])], rarity)
