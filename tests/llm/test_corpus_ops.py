@@ -250,6 +250,41 @@ def test_decontamination_folds_accented_capitals(spark):
     assert sorted((r.doc_id, r.item_id, round(r.share, 6)) for r in got) == [(50, 1, 1.0), (51, 1, 1.0), (52, 2, 1.0)]
 
 
+def test_decontamination_finds_what_the_subsequence_rule_finds(spark):
+    rng = random.Random(9)
+    rare, common = [f"r{i}" for i in range(400)], [f"c{i}" for i in range(1500)]
+    items = []
+    for i in range(6):  # twelve rare words among many that stand in other documents too
+        words = rng.sample(common, 88) + rare[i * 12 : i * 12 + 12]
+        rng.shuffle(words)
+        items.append((i, words))
+    docs = [(i, " ".join(rng.choices(common, k=300))) for i in range(60)]
+    for i, words in items:  # ten of the twelve rare words are replaced
+        gone = rng.sample([w for w in words if w in rare], 10)
+        docs.append((100 + i, " ".join("other" if w in gone else w for w in words)))
+    short = [(10 + i, rng.sample(common, 6)) for i in range(4)]  # short items between words of the other items
+    docs += [(200 + i, " ".join(rng.sample(common, 50) + words + rng.sample(common, 50))) for i, words in short]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items + short], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(docs, DOCS), bench).collect()}
+    assert {(100 + i, i) for i in range(6)} | {(200 + i, i) for i, _ in short} <= got
+
+    # every pair of a passage and an item against the rule itself
+    vocabulary = sorted({w for _, words in items + short for w in words})
+    number = {w: n for n, w in enumerate(vocabulary)}
+    coded = [np.array([number[w] for w in words], np.int64) for _, words in items + short]
+    block = decontaminate.Items([i for i, _ in items + short], coded, [w[-2:] for w in coded])
+    sequences = [np.array([number[w] for w in t.split() if w in number], np.int64) for _, t in docs]
+    counts = np.bincount(np.concatenate([np.unique(s) for s in sequences]), minlength=len(vocabulary))
+    block.weigh(counts, len(docs))
+    at = np.repeat(np.arange(len(sequences)), [len(s) for s in sequences])
+    pairs = set(zip(*(x.tolist() for x in block.possible(at, np.concatenate(sequences), len(sequences)))))
+    for p, sequence in enumerate(sequences):
+        share = decontaminate.common_weight(coded, [sequence] * len(coded), block.rarity)
+        answer = decontaminate.common_weight(block.answers, [sequence] * len(coded), block.rarity)
+        found = (share >= decontaminate.ALONE) | ((share >= decontaminate.WITH_ANSWER) & (answer >= decontaminate.ANSWER))
+        assert {(p, i) for i in np.flatnonzero(found).tolist()} <= pairs
+
+
 def test_weighted_common_subsequence():
     rarity = np.array([1.0, 2.0, 3.0, 4.0])
     found = decontaminate.common_weight([np.array([0, 1, 2, 3]), np.array([3, 3])], [np.array([2, 0, 1, 3]), np.array([0])], rarity)
