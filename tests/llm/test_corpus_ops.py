@@ -285,6 +285,20 @@ def test_decontamination_finds_what_the_subsequence_rule_finds(spark):
         assert {(p, i) for i in np.flatnonzero(found).tolist()} <= pairs
 
 
+def test_decontamination_of_items_just_over_the_longest_part(spark):
+    rng = random.Random(10)
+    items = [(n, sentence(rng, n - 2, 3000, f"l{n}x") + " of the") for n in (128, 129, 130, 140, 257, 300)]
+    docs = [(i, sentence(rng, 40, 3000) + " of the " + sentence(rng, 40, 3000)) for i in range(60)]
+    docs += [(100 + n, docs[0][1] + " " + text + " " + docs[1][1]) for n, text in items]
+    # the last words of an item are no item
+    docs += [(1000 + n, docs[2][1] + " " + " ".join(text.split()[-12:])) for n, text in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(docs, DOCS), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(100 + n, n) for n, _ in items}
+    cut = [len(w) for block in decontaminate.read_items(bench) for w in block.words]
+    assert sum(cut) == sum(n for n, _ in items) and min(cut) >= decontaminate.ITEM_WORDS // 2
+
+
 def test_weighted_common_subsequence():
     rarity = np.array([1.0, 2.0, 3.0, 4.0])
     found = decontaminate.common_weight([np.array([0, 1, 2, 3]), np.array([3, 3])], [np.array([2, 0, 1, 3]), np.array([0])], rarity)
