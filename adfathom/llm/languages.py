@@ -4,7 +4,8 @@ The subwords are byte 3-grams and 4-grams of the letters of a text, case folded,
 something else stands. Each is hashed to one of BUCKETS embeddings; a text is the mean of its
 embeddings, and a linear layer with a softmax tells the language. Both are trained together by
 stochastic gradient descent in numpy on a bounded sample of labelled texts. A tenth of that sample is
-kept back to fit a temperature, so scores are probabilities, and a rejection threshold.
+kept back to fit a temperature, so scores are probabilities, and a rejection threshold between the kept rows
+and the same rows with their subwords exchanged for others, which stand for languages that were not learned.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ WIDTH = 8
 #: Most labelled texts that a model is trained on, chosen by a hash of the text alone.
 TRAINING_TEXTS = 2500
 EPOCHS, RATE, BATCH = 8, 20.0, 32
+#: The threshold rejects at most this share of the rightly named rows kept back, and lets no larger share of texts of
+#: no learned language through if that is possible; FOREIGN such texts are made of each row.
+LOST, FOREIGN = 0.01, 8
 UNDETERMINED = "und"
 ADDED = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("accepted", BooleanType())]
 
@@ -135,8 +139,12 @@ def fit(rows: pa.Table, seed: int = 3) -> LanguageModel:
     losses = [-np.log(np.maximum(softmax(logits * s)[np.arange(len(held)), label[held]], 1e-12)).mean() for s in scales]
     scale = scales[int(np.argmin(losses))]
     sure = softmax(logits * scale)
-    # no text of the calibration rows comes near rejection
-    threshold = min(0.5, sure.max(axis=1).min() / 2)
+    # in other buckets the same texts are of no learned language
+    other = [means(owner, ids ^ np.uint32(x), share, len(held)) @ weight + bias for x in rng.integers(1, BUCKETS, FOREIGN)]
+    foreign = softmax(np.concatenate(other) * scale).max(axis=1)
+    right = sure.max(axis=1)[sure.argmax(axis=1) == label[held]]
+    # rejects nearly all of those, unless that costs more of the rightly named texts than LOST
+    threshold = min(np.quantile(foreign, 1 - LOST), np.quantile(right, LOST) if len(right) else 1.0)
     return LanguageModel(languages, embed @ weight * scale, bias * scale, float(threshold))
 
 

@@ -331,6 +331,23 @@ def test_language_model_on_held_out_texts(spark):
     assert languages.identify(docs, none).where("accepted").count() == 0
 
 
+def test_language_model_rejects_texts_of_no_learned_language(spark):
+    rng = random.Random(16)
+    rows = [(i, prose(rng, lang := rng.choice(list(SYLLABLES)), rng.randrange(10, 30)), lang) for i in range(2400)]
+    rows += [(2400 + i, "on", list(SYLLABLES)[i % 3]) for i in range(48)]  # may be any of the three
+    model = languages.fit(languages.training_rows(spark.createDataFrame(rows, DOCS + ", lang string")))
+    letters = ["жи зн ст ра ло ка".split(), "kszt owy prz czy dzi wła".split(), list("qxzvkjwy"), list("的一是不了人")]
+    foreign = [
+        (9000 + i, " ".join("".join(rng.choices(kind, k=rng.randrange(1, 4))) for _ in range(40)))
+        for i in range(100)
+        for kind in [letters[i % 4]]
+    ]
+    docs = spark.createDataFrame([r[:2] for r in rows[:2400]] + foreign, DOCS)
+    found = {r.doc_id: r.accepted for r in languages.identify(docs, model).collect()}
+    assert sum(found[i] for i in range(2400)) >= 2376
+    assert sum(found[9000 + i] for i in range(100)) <= 2
+
+
 def test_quality_field_on_held_out_texts(spark):
     rng = random.Random(7)
     rows, labels = [], []
