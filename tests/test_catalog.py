@@ -1,11 +1,13 @@
-"""Every registered query against its SQL on the smallest test tables."""
+"""Every query of the campaign engine against its SQL on the smallest test tables."""
 
 import pytest
 
 import __spark_entry__ as entry_point
+from checks import catalog, oracle
 from checks.compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
+QUERIES, SQL = catalog.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -21,22 +23,23 @@ def test_entry(spark):
 
 
 def test_only_fitted_models_lack_sql():
-    assert set(entry_point.queries()) - set(entry_point.oracle_sql()) == {
+    assert set(QUERIES) - set(SQL) == {
         "leaderboard", "report_model_metrics", "feature_importance", "predictions", "model_threshold_sweep",
     }
-    assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
+    assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry_point.queries()) and set(SQL) <= set(entry_point.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, db, name):
-    assert difference(spark, db, name, FOLDER) is None
+    assert difference(spark, db, QUERIES[name], SQL[name], FOLDER) is None
 
 
 @pytest.mark.parametrize(
     "name", ["campaign_view", "executive_report", "high_spend_low_conversion", "threshold_sweep", "report_recommendations"]
 )
 def test_plans_have_no_cross_join_and_no_python(spark, name):
-    df = entry_point.queries()[name](spark, FOLDER)
+    df = QUERIES[name](spark, FOLDER)
     plan = df._jdf.queryExecution().executedPlan().toString()
     for step in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas"):
         assert step not in plan
@@ -44,12 +47,12 @@ def test_plans_have_no_cross_join_and_no_python(spark, name):
 
 @pytest.mark.parametrize("name", ["recommendations", "recommendation_reason", "segment_metrics", "predictions"])
 def test_row_level_plans_do_not_shuffle(spark, name):
-    df = entry_point.queries()[name](spark, FOLDER)
+    df = QUERIES[name](spark, FOLDER)
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_scans_read_only_the_columns_they_need(spark):
-    df = entry_point.queries()["filter_options"](spark, FOLDER)
+    df = QUERIES["filter_options"](spark, FOLDER)
     plan = df._jdf.queryExecution().executedPlan().toString()
     scan = plan[plan.index("ReadSchema") :]
     assert "campaign_id" in scan and "spend" not in scan and "clicks" not in scan
