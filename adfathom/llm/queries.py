@@ -116,6 +116,28 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    from adfathom.llm.lexical import rank_documents
+
+    return rank_documents(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from adfathom.llm.byte_bpe import decode_documents, decoded_digests, encode_documents
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return decoded_digests(decode_documents(encode_documents(docs, path, digest=True), path))
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    from adfathom.llm.filter_audit import interactions
+
+    return interactions(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_sentencepiece": op2_sentencepiece,
@@ -127,6 +149,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_filter_audit": op13_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -183,8 +208,65 @@ SELECT conv_id, count(*) AS n_turns,
 FROM pieces GROUP BY conv_id
 """
 
+SEARCH_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+q AS (
+  SELECT item_id, unnest(list_distinct(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+s AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM d WHERE len(terms) > 0),
+tf AS (SELECT doc_id, any_value(n) AS n, term, count(*) AS tf
+       FROM (SELECT doc_id, CAST(len(terms) AS BIGINT) AS n, unnest(terms) AS term FROM d) GROUP BY doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), s),
+scored AS (
+  SELECT item_id, doc_id,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term), s GROUP BY item_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+AUDIT_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+f AS (
+  SELECT d.doc_id, part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic,
+         [len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words),
+          100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+          regexp_matches(text, '[#$%&*|]'), doc_id > min(doc_id) OVER (PARTITION BY text)] AS fails
+  FROM d LEFT JOIN labels USING (doc_id)),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+sets AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic
+         FROM f GROUP BY part, fails),
+placed AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS own, n, n_good, n_toxic,
+         fails[instr('ABCDE', substr(filter_order, step, 1))] AS hit,
+         len(list_filter(range(1, step), lambda i: fails[instr('ABCDE', substr(filter_order, i, 1))])) > 0 AS gone,
+         len(list_filter(fails, lambda x: x)) AS fails_all
+  FROM sets, o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (
+  SELECT part, filter_order, step, own,
+         coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS removed,
+         coalesce(sum(n) FILTER (hit AND gone), 0) AS redundant, coalesce(sum(n) FILTER (hit AND fails_all = 1), 0) AS unique_fails,
+         coalesce(sum(n_good) FILTER (hit AND NOT gone), 0) AS good_lost,
+         coalesce(sum(n_toxic) FILTER (hit AND NOT gone), 0) AS toxic_lost
+  FROM placed GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+"""
+
 ORACLES: dict[str, str] = {
     "op3_chat_format": CHAT_SQL,
     "op9_exact_top_k": TOP_K_SQL,
     "op10_substring_dedup": SUBSTRING_SQL,
+    "op11_lexical_search": SEARCH_SQL,
+    "op13_filter_audit": AUDIT_SQL,
 }
