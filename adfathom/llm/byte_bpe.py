@@ -209,7 +209,7 @@ class Vocabulary:
         part = self.single[signs].ravel()
         whole = inside.copy().ravel()
         after = np.minimum(column + 1, length[:, None]).ravel()
-        before = np.broadcast_to(np.arange(-1, width), (len(start), width + 1)).ravel()
+        before = np.tile(np.arange(-1, width), len(start))
         tree, row = tree.ravel(), np.arange(len(start))
         while True:
             least = tree[row * (2 * width) + 1]
