@@ -11,7 +11,7 @@ from adfathom.functions.metrics import cac, cpc, ctr, money_sum, purchase_conver
 from adfathom.functions.names import campaign_names, with_campaign_name
 from adfathom.functions.text import MISSING, finite, plain_money, whole_percent
 from adfathom.operators.insights import lines
-from adfathom.operators.ordered import exact_medians
+from adfathom.operators.cuts import exact_medians
 from adfathom.schema import DEFAULT_ASSUMPTIONS, Assumptions
 from adfathom.staging import stage
 

@@ -1,4 +1,4 @@
-"""Global order without a global sort task: running totals, ranks, exact quantiles, first k.
+"""Global order without a global sort task: running totals and ranks.
 
 Every size has the same plan. The rows are dealt into consecutive ranges of the order by the order key
 itself, about `RANGE_ROWS` to a range, and written once with the number of their range, so every
@@ -11,9 +11,7 @@ A null key is the lowest value: first in ascending and last in descending order.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adfathom.staging import stage
@@ -75,94 +73,3 @@ def running_totals(
         new |= {f"next_{c}": ahead[c] for c in following}
     joined = ranged.join(per_range, "_range")
     return joined.select(*df.columns, *[value.alias(name) for name, value in new.items()])
-
-
-@dataclass(frozen=True)
-class Position:
-    """The value at a position of an order, and how many rows come before or share it."""
-
-    value: object
-    before: int
-    equal: int
-
-
-def value_at(df: DataFrame, order: str, k: int) -> Position:
-    """The k-th smallest (from 1) value of the non-null column `order`, exactly."""
-    counts = df.select(F.col(order).alias("_v")).dropna().groupBy("_v").agg(F.count("*").alias("n"))
-    reached = running_totals(counts, "_v", ["n"]).filter(F.col("run_n") >= k)
-    hit = reached.agg(F.min_by(F.struct("_v", "n", "run_n"), "run_n").alias("hit")).head()["hit"]
-    if hit is None or k < 1:
-        raise ValueError(f"position {k} is not among the ordered rows")
-    return Position(hit["_v"], hit["run_n"] - hit["n"], hit["n"])
-
-
-def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    """Medians over the non-null values (mean of the middle two); 0.0 where there are none.
-
-    All columns are counted, ordered and read together, in one pass over `df`.
-    """
-    cells = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
-    counts = df.select(F.inline(cells)).dropna().groupBy("c", "v").agg(F.count("*").alias("n"))
-    counts = counts.select(F.struct("c", "v").alias("key"), "n")
-    placed = running_totals(counts, "key", ["n"]).select("key.c", "key.v", "n", "run_n")
-    placed = stage(placed, "median-order")
-    ends = {r["c"]: r for r in placed.groupBy("c").agg(F.max("run_n").alias("last"), F.sum("n").alias("n")).collect()}
-    middle = F.lit(False)
-    for c, end in ends.items():
-        first = end["last"] - end["n"]
-        for k in {first + (end["n"] + 1) // 2, first + end["n"] // 2 + 1}:
-            middle = middle | ((F.col("run_n") >= k) & (F.col("run_n") - F.col("n") < k))
-    found: dict[int, list[float]] = {}
-    for row in placed.filter(middle).collect():  # two rows a column at most
-        found.setdefault(row["c"], []).append(row["v"])
-    return {c: sum(found[i]) / len(found[i]) if i in found else 0.0 for i, c in enumerate(columns)}
-
-
-@dataclass(frozen=True)
-class Selection:
-    """The first k rows of an order: all rows of `sure`, and `count` of the `tied` rows, which agree in all keys."""
-
-    sure: Column
-    tied: Column
-    count: int
-    of: int
-
-    def total(self, value: Column) -> Column:
-        """The sum of `value` over the selection, if the tied rows share one value."""
-        share = F.lit(self.count) / F.lit(max(self.of, 1))
-        sure = F.coalesce(F.sum(F.when(self.sure, value)), F.lit(0))
-        return sure.cast("double") + F.coalesce(F.sum(F.when(self.tied, value)), F.lit(0)).cast("double") * share
-
-
-def select_first(df: DataFrame, k: int, keys: list[Column], rows: int) -> Selection:
-    """The first `k` of `rows` rows in ascending order of `keys`, as predicates.
-
-    Only cut values are computed; applying them needs neither a sort nor a shuffle. Keys are not null.
-    """
-    no, yes = F.lit(False), F.lit(True)
-    if k <= 0 or k >= rows:
-        return Selection(yes if k > 0 else no, no, 0, 0)
-    cuts: list[tuple[Column, object]] = []
-    pool, left, size = df, k, rows
-    for key in keys:
-        cut = value_at(pool.select(key.alias("_key")), "_key", left)
-        cuts.append((key, cut.value))
-        left, size = left - cut.before, cut.equal
-        if left == size:
-            break
-        pool = pool.filter(key == F.lit(cut.value))
-    sure, tied = no, yes
-    for key, value in reversed(cuts):
-        sure = (key < F.lit(value)) | ((key == F.lit(value)) & sure)
-        tied = (key == F.lit(value)) & tied
-    if left == size:
-        return Selection(sure | tied, no, 0, 0)
-    return Selection(sure, tied, left, size)
-
-
-def first_k(df: DataFrame, k: int, keys: list[Column], rows: int | None = None) -> Column:
-    """A predicate true for exactly the first `k` rows; the keys together tell any two rows apart."""
-    found = select_first(df, k, keys, df.count() if rows is None else rows)
-    if found.count:
-        raise ValueError("the ordering keys do not tell all rows apart")
-    return found.sure

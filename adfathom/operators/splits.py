@@ -8,8 +8,8 @@ from math import ceil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adfathom.operators.cuts import First, first_k
 from adfathom.operators.features import TARGET
-from adfathom.operators.ordered import first_k
 
 # The seed and the share held out.
 SEED = 42
@@ -60,8 +60,8 @@ def plan_split(counts: dict[int, int], test_share: float = TEST_SHARE) -> SplitP
 def with_split(df: DataFrame, seed: int = SEED, test_share: float = TEST_SHARE) -> tuple[DataFrame, SplitPlan]:
     """Add `split` (train or test) with exact sizes, drawn by a seeded hash of the row.
 
-    The hash order is cut, not sorted: each class needs one cut value, so a class holding
-    nearly all rows costs no more than a small one. A column ``_row``, if there is one, tells
+    The hash order is cut, not sorted: each class needs one cut value, and those of all classes are found in the
+    same passes, so a class holding nearly all rows costs no more than a small one. A column ``_row``, if there is one, tells
     exact copies of a row apart.
     """
     plan = plan_split(class_counts(df), test_share)
@@ -70,14 +70,15 @@ def with_split(df: DataFrame, seed: int = SEED, test_share: float = TEST_SHARE)
     if "_row" in df.columns:
         keys.append(F.col("_row"))
     if plan.stratified:
+        classes = {label: F.col(TARGET) == label for label in plan.train}
+        asked = [First(plan.train[label], keys, plan.counts[label], mine) for label, mine in classes.items()]
         train = F.lit(False)
-        for label, quota in plan.train.items():
-            mine = F.col(TARGET) == label
-            train = train | (mine & first_k(df.filter(mine), quota, keys, plan.counts[label]))
+        for mine, first in zip(classes.values(), first_k(df, asked)):
+            train = train | (mine & first)
     else:
         total = sum(plan.counts.values())
         quota = total - ceil(total * test_share)
-        train = first_k(df, quota, keys, total)
+        train = first_k(df, [First(quota, keys, total)])[0]
     return df.withColumn("split", F.when(train, "train").otherwise("test")), plan
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from adfathom.functions.metrics import financials
 from adfathom.functions.text import fixed, grouped_money
+from adfathom.operators.cuts import First, Selection, select_first
 from adfathom.operators.evaluation import rates
-from adfathom.operators.ordered import Selection, select_first
 from adfathom.schema import MONEY, Assumptions
 
 # 0.05 to 0.95 in steps of 0.05, and the seed of the random baseline.
@@ -37,17 +37,16 @@ def threshold_sweep(
     at most 20 sums of that are then spread over the grid. The fixed cost is charged in full,
     whatever the selection holds.
     """
-    reached = sum(((F.col(score) >= F.lit(t)).cast("int") for t in GRID[1:]), (F.col(score) >= F.lit(GRID[0])).cast("int"))
+    # as text: a column for each grid value would be a hundred calls into the session
+    reached = F.expr(" + ".join(f"CAST(`{score}` >= {t}D AS INT)" for t in GRID))
     per_level = scored.groupBy(reached.alias("level")).agg(
         F.count("*").alias("n"),
         F.count_if(F.col(label) == 1).alias("positives"),
         F.sum("purchases").alias("purchases"),
         F.sum(F.col("spend").cast(MONEY)).alias("spend"),
     )
-    grid = F.array(
-        *[F.struct(F.lit(i).alias("place"), F.lit(t).alias("threshold")) for i, t in enumerate(GRID, 1)]
-    )
-    spread = per_level.select("*", F.inline(grid))
+    grid = ", ".join(f"named_struct('place', {i}, 'threshold', {t}D)" for i, t in enumerate(GRID, 1))
+    spread = per_level.selectExpr("*", f"inline(array({grid}))")
     chosen = F.col("level") >= F.col("place")
 
     def over(condition: Column, value: Column | str) -> Column:
@@ -115,14 +114,14 @@ def strategy_comparison(
 ) -> DataFrame:
     """The recommended selection against four simple ones of the same size.
 
-    Each "first k" selection becomes a predicate from its cut values, so all five are sums in
-    a single pass, however large k is. Ties are settled by `row_key`, if the table has one, then by a
+    The cut values of the three "first k" selections are found in the same passes, and each becomes a predicate, so all
+    five are sums in a single pass, however large k is. Ties are settled by `row_key`, if the table has one, then by a
     row hash; rows that agree in everything are interchangeable and taken by their number.
     """
     best = best or best_threshold(threshold_sweep(scored, a, score, label)).head()
     k = best["segments_selected"]
     rows = scored.count()
-    row_hash = F.xxhash64(*[F.col(c) for c in sorted(scored.columns)])
+    row_hash = F.expr(f"xxhash64({', '.join(f'`{c}`' for c in sorted(scored.columns))})")
     named = [F.col(row_key)] if row_key in scored.columns else []
     ties = [*named, row_hash]
     if random_key is None:
@@ -132,9 +131,7 @@ def strategy_comparison(
     chosen = [
         Selection(F.col(score) >= F.lit(best["threshold"]), F.lit(False), 0, 0),
         Selection(F.lit(True), F.lit(False), 0, 0),
-        select_first(scored, k, [random_key, *ties], rows),
-        select_first(scored, k, [-clicks, *ties], rows),
-        select_first(scored, k, [cpc, *ties], rows),
+        *select_first(scored, [First(k, [key, *ties], rows) for key in (random_key, -clicks, cpc)]),
     ]
     sums = []
     for i, taken in enumerate(chosen):
@@ -143,17 +140,12 @@ def strategy_comparison(
             taken.total(F.col("purchases")).alias(f"p{i}"),
             taken.total(F.col("spend").cast(MONEY)).alias(f"s{i}"),
         ]
-    entries = [
-        F.struct(
-            F.lit(i + 1).alias("strategy_order"),
-            F.lit(name).alias("strategy"),
-            F.col(f"n{i}").alias("segments_selected"),
-            F.coalesce(f"p{i}", F.lit(0.0)).alias("actual_purchases"),
-            F.coalesce(f"s{i}", F.lit(0.0)).alias("selected_spend"),
-        )
+    entries = ", ".join(
+        f"named_struct('strategy_order', {i + 1}, 'strategy', '{name}', 'segments_selected', n{i}, "
+        f"'actual_purchases', coalesce(p{i}, 0D), 'selected_spend', coalesce(s{i}, 0D))"
         for i, name in enumerate(STRATEGIES)
-    ]
-    table = scored.agg(*sums).select(F.inline(F.array(*entries)))
+    )
+    table = scored.agg(*sums).selectExpr(f"inline(array({entries}))")
     estimates = financials(a, "actual_purchases", "selected_spend")
     empty = F.col("segments_selected") == 0
     return table.select(

@@ -1,7 +1,4 @@
-"""Running totals, positions, medians and first-k against brute force, hot values included."""
-
-import random
-import statistics
+"""Running totals against brute force, hot values included."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,12 +11,6 @@ def limit(request, monkeypatch):
     monkeypatch.setattr(ordered, "RANGE_ROWS", request.param)
 
 
-def hot_values(n=600, seed=3):
-    """A third of all rows share one value; the others repeat now and then."""
-    rng = random.Random(seed)
-    return [5.0 if i % 3 == 0 else float(rng.randrange(0, 150)) for i in range(n)]
-
-
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_totals_match_a_plain_loop(spark, descending):
     values = {float(i * 7 % 101): i % 5 for i in range(101)}
@@ -75,58 +66,3 @@ def test_order_buckets_keep_infinity_and_long_ids(spark):
     inf = spark.createDataFrame([(1.0, 1), (float("inf"), 1), (2.0, 1)], "v double, n int")
     got = {r["v"]: r["run_n"] for r in ordered.running_totals(inf, "v", ["n"]).collect()}
     assert got[float("inf")] == 3
-
-
-@pytest.mark.parametrize("k", [1, 200, 201, 600])
-def test_value_at_every_kind_of_position(spark, limit, k):
-    values = hot_values()
-    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(7)
-    got = ordered.value_at(df, "v", k)
-    expected = sorted(values)[k - 1]
-    assert (got.value, got.before, got.equal) == (
-        expected,
-        sum(v < expected for v in values),
-        values.count(expected),
-    )
-
-
-def test_value_past_the_end_is_refused(spark, limit):
-    df = spark.createDataFrame([(1.0,)], "v double")
-    with pytest.raises(ValueError):
-        ordered.value_at(df, "v", 2)
-
-
-@pytest.mark.parametrize("n", [1, 2, 600])
-def test_medians_take_the_middle_and_skip_nulls(spark, limit, n):
-    values = hot_values(n)
-    rows = [(v, v / 3, None) for v in values] + [(None, None, None)]
-    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(3)
-    got = ordered.exact_medians(df, ["a", "b", "c"])
-    assert got["a"] == statistics.median(values)
-    assert got["b"] == statistics.median([v / 3 for v in values])
-    assert got["c"] == 0.0
-
-
-@pytest.mark.parametrize("k", [0, 150, 333, 700])
-def test_first_k_is_exact_with_hot_ties(spark, limit, k):
-    rows = list(enumerate(hot_values()))
-    df = spark.createDataFrame(rows, "id bigint, v double").repartition(6)
-    chosen = ordered.first_k(df, k, [-F.col("v"), F.col("id")])
-    got = {r["id"] for r in df.filter(chosen).collect()}
-    expected = {i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:k]}
-    assert got == expected
-
-
-def test_first_k_refuses_keys_that_leave_a_tie_open(spark, limit):
-    df = spark.createDataFrame([(1.0,), (1.0,), (2.0,)], "v double")
-    with pytest.raises(ValueError):
-        ordered.first_k(df, 1, [F.col("v")])
-
-
-@pytest.mark.parametrize("k", [0, 1, 2, 3, 5])
-def test_tied_rows_are_taken_by_their_number(spark, limit, k):
-    values = [1.0, 1.0, 1.0, 2.0, 3.0]
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    found = ordered.select_first(df, k, [F.col("v")], 5)
-    got = df.agg(found.total(F.col("v")).alias("s"), (F.count_if(found.sure) + F.lit(found.count)).alias("n")).head()
-    assert (got["s"], got["n"]) == (sum(values[:k]), k)
