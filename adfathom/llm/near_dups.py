@@ -6,9 +6,10 @@
 3. A pair is judged batch by batch on its signatures: after n compared values with m matches the
    similarity has a Beta(m + 1, n - m + 1) posterior, and the pair is dropped as soon as the chance
    of reaching the threshold falls below MISS. What survives is verified on the full sets.
-4. Verified links form components. Where a bucket still holds several components, its nodes are laid out
-   in tiles of bounded size; a tile judges its pairs of different components the same way and returns
-   a spanning set of the links, never all pairs. So no link is lost to the choice of hubs.
+4. Verified links form components. Where a bucket still holds several, what is outside of its largest component, few
+   nodes as a rule, is laid out against the bucket in tiles of bounded size; nodes of the largest component do not meet
+   each other. A tile judges its pairs of different components the same way and returns a spanning set of the links,
+   never all pairs. So no link is lost to the choice of hubs.
 
 A pair at similarity 0.8 shares no band with chance (1 - 0.8**8)**56 = 3.4e-5; the Bayesian test
 drops it with chance of about MISS.
@@ -126,13 +127,15 @@ def _signed(words: int) -> Callable:
 
 
 def _sets(words: int) -> Callable:
-    """(node, text) rows to (node, full set)."""
+    """(node, text) rows to (node, full set); a text whose set is another one, as its doc_id repeats, is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, sets in shingle_sets(batch.column(1), words):
+                names = batch.column(0).slice(row, len(sets)).to_pylist()
+                own = [(name, s.tobytes()) for name, s in zip(names, sets) if set_key(s) == name]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    [pa.array([n for n, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())],
                     ["node", "members"],
                 )
 
@@ -306,7 +309,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     def full_sets(needed: DataFrame, name: str) -> DataFrame:
         """The sets of some nodes, made again from their texts."""
         owners = needed.distinct().join(nodes, "node").select(F.col("first_doc").alias("doc_id"), "node")
-        # a row that repeats a doc_id with another text makes a set of another name
         sets = source.join(owners, "doc_id").select("node", "text").mapInArrow(_sets(words), "node long, members binary")
         return scratch.keep(sets.dropDuplicates(["node"]), name)
 
@@ -321,16 +323,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     scratch.drop("star-sets")
     grouped = components(links, scratch, "round1")
 
-    placed = shared.join(grouped, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    mixed = placed.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n"))
-    mixed = mixed.where("low < high").select("band", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
-    placed = placed.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = placed.select("band", "block", "node", "group", other)
-    spread = spread.select(
-        "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "group"
+    placed = shared.select("band", "node").join(grouped, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    mixed = placed.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
+    placed = scratch.keep(placed.join(mixed.select("band"), "band"), "mixed")
+    sizes = placed.groupBy("band", "group").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("band").agg(
+        F.max_by("group", F.struct("n", "group")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all")
     )
-    spread = spread.join(signed.select("node", "size", "signature"), "node")
+    # blocks of what is outside of the largest component come first, then its own
+    few = F.ceil((F.col("all") - F.col("most")) / TILE).cast("int")
+    sizes = sizes.select("band", "main", few.alias("few"), F.ceil(F.col("most") / TILE).cast("int").alias("many"))
+    placed = placed.join(sizes, "band").withColumn("inside", F.col("group") == F.col("main"))
+    spot = F.xxhash64("node")
+    block = F.when(F.col("inside"), F.col("few") + F.pmod(spot, "many")).otherwise(F.pmod(spot, "few")).cast("int")
+    last = F.when(F.col("inside"), F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1)
+    placed = placed.withColumns({"block": block, "last": last})
+    placed = placed.join(signed.select("node", "size", "signature"), "node")
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    spread = spread.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     columns = ["band", "i", "j", "block", "node", "group", "size", "signature"]
 
     def tiled(rows: DataFrame) -> DataFrame:
@@ -352,7 +362,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
     result = scratch.keep(result, "result")
-    scratch.drop("documents", "signed", "shared", "close", "close-sets")
+    scratch.drop("documents", "signed", "shared", "mixed", "close", "close-sets")
     return result
 
 

@@ -97,6 +97,30 @@ def test_chains_of_near_copies_and_hubs(spark, monkeypatch):
     assert got == expected_groups(rows, 4, 80) and {r[2] for r in got} == {0}
 
 
+def test_a_large_group_of_near_copies_and_strangers(spark, monkeypatch):
+    """Copies at about the threshold, of which no hub meets all, in crowded buckets with documents of other groups."""
+    monkeypatch.setattr(near_dups, "TILE", 8)
+    rng = random.Random(21)
+    base = sentence(rng, 200, 4000).split(" ")
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(200), 3 if i % 5 else 9):  # four shingles go with each word
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    got = sorted(tuple(r) for r in near_dups.near_duplicates(docs, 4).collect())
+    assert got == expected_groups(rows, 4, 80)
+
+
+def test_a_doc_id_that_repeats_with_another_text_keeps_its_links(spark):
+    rng = random.Random(22)
+    one, two = sentence(rng, 80, 3000), sentence(rng, 80, 3000)
+    rows = [(1, one), (1, two), (2, one + " z"), (3, two + " z"), (4, sentence(rng, 80, 3000))]
+    got = sorted(tuple(r) for r in near_dups.near_duplicates(spark.createDataFrame(rows, DOCS), 4).collect())
+    assert [(d, c) for d, _, c in got] == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def test_near_duplicates_without_rows_or_ids(spark):
     assert near_dups.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     rows = [(None, "a b c d e f g"), (4, "a b c d e f g"), (5, "a b c d e f g"), (None, None)]
