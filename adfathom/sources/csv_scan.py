@@ -48,14 +48,18 @@ class RawTable:
     rows: DataFrame | None
 
 
-def normalise_header(name: str) -> str:
-    """Lower case, with every run of other characters than letters and digits as one ``_``."""
-    return re.sub(r"[^a-z0-9]+", "_", name.strip().lower()).strip("_")
+def _words(name: str) -> tuple[str, ...]:
+    return tuple(re.findall("[a-z0-9]+", name.lower()))
+
+
+#: Canonical columns by the words of every name that means them.
+_MEANINGS = {_words(name): target for name, target in [*HEADER_ALIASES.items(), *zip(COLUMNS, COLUMNS)]}
 
 
 def column_map(header: list[str]) -> tuple[dict[int, str], list[str], list[str]]:
     """Which header position means which canonical column, what is missing, what is doubled.
 
+    A name is told by its words, runs of ASCII letters and digits in any case, whatever stands between them.
     An exact repeat of a header text counts as another name and so means nothing, while two
     different spellings of one column are a conflict.
     """
@@ -63,8 +67,7 @@ def column_map(header: list[str]) -> tuple[dict[int, str], list[str], list[str]]
     for place, name in enumerate(header):
         if name in header[:place]:
             continue
-        plain = normalise_header(name)
-        target = HEADER_ALIASES.get(plain, plain if plain in COLUMNS else None)
+        target = _MEANINGS.get(_words(name))
         if target:
             found.setdefault(target, []).append(place)
     missing = [c for c in COLUMNS if c not in found]
@@ -72,12 +75,12 @@ def column_map(header: list[str]) -> tuple[dict[int, str], list[str], list[str]]
     return {places[0]: c for c, places in found.items()}, missing, doubled
 
 
-def read_csv(spark: SparkSession, path: str, *, multi_line: bool = False) -> RawTable:
+def read_csv(spark: SparkSession, path: str) -> RawTable:
     """Scan a CSV file or folder of CSV files that share one header; other headers end the read.
 
     Blank lines are skipped, short rows are filled with nulls, and the words of `NA_WORDS`
-    become null. `multi_line` allows line breaks inside quoted cells, at the price that a file
-    can no longer be read in parts.
+    become null. Quoted cells may hold line breaks, so whether a line ends a record is only known from
+    the file's start: each file is read by one task, and large tables come as folders of files.
     """
     if not path_exists(spark, path):
         raise NotFound(f"Dataset file was not found at {path}.")
@@ -97,10 +100,13 @@ def read_csv(spark: SparkSession, path: str, *, multi_line: bool = False) -> Raw
         .option("columnNameOfCorruptRecord", _RECORD)
         .option("columnPruning", False)
         .option("escape", '"')
-        .option("multiLine", multi_line)
+        .option("multiLine", True)
         .csv(path)
         .toDF(*names, _RECORD)
     )
+    # a line of blanks is kept as a record with too few fields
+    something = F.coalesce(F.col("c0").rlike(r"\S"), F.lit(False)) | F.coalesce(F.col(_RECORD).rlike(r"\S"), F.lit(True))
+    rows = rows.where(something)
     rows = rows.withColumns({c: F.when(~F.col(c).isin(NA_WORDS), F.col(c)) for c in names})
     return RawTable(header, rows)
 
@@ -113,7 +119,7 @@ def read_csv_text(spark: SparkSession, content: str | bytes) -> RawTable:
     path = staging_path(spark, "upload")
     landed = spark.createDataFrame([(text.lstrip(),)], "value string").coalesce(1)
     landed.write.text(path)
-    return read_csv(spark, path, multi_line='"' in text)
+    return read_csv(spark, path)
 
 
 def raw_table(df: DataFrame) -> RawTable:

@@ -87,8 +87,8 @@ def _validate(spark: SparkSession, raw: RawTable) -> Validation:
     return Validation(quality.typed_rows(distinct), report)
 
 
-def validate_csv_path(spark: SparkSession, path: str, *, must_be_ready: bool = True, multi_line: bool = False) -> Validation:
-    return validate(spark, read_csv(spark, path, multi_line=multi_line), must_be_ready=must_be_ready)
+def validate_csv_path(spark: SparkSession, path: str, *, must_be_ready: bool = True) -> Validation:
+    return validate(spark, read_csv(spark, path), must_be_ready=must_be_ready)
 
 
 def validate_csv_text(spark: SparkSession, content: str | bytes, *, must_be_ready: bool = True) -> Validation:
@@ -132,18 +132,18 @@ class DatasetStore:
     def _report_path(self, version: str) -> str:
         return f"{self.folder}/tables/{version}/report"
 
-    def load_default(self, *, multi_line: bool = False) -> Validation:
-        return self._store(validate_csv_path(self.spark, self.default_csv, multi_line=multi_line))
+    def load_default(self) -> Validation:
+        return self._store(validate_csv_path(self.spark, self.default_csv))
 
-    def store_csv(self, path: str, *, multi_line: bool = False) -> Validation:
+    def store_csv(self, path: str) -> Validation:
         """Gate and store a CSV file; anything but a .csv name is refused."""
         if not path.lower().endswith(".csv"):
             raise ValidationFailed("Only CSV files can be uploaded.")
-        return self.store_path(path, multi_line=multi_line)
+        return self.store_path(path)
 
-    def store_path(self, path: str, *, multi_line: bool = False) -> Validation:
+    def store_path(self, path: str) -> Validation:
         """Gate and store CSV data of any name, such as a folder of files sharing one header."""
-        return self._store(validate_csv_path(self.spark, path, multi_line=multi_line))
+        return self._store(validate_csv_path(self.spark, path))
 
     def store_text(self, content: str | bytes) -> Validation:
         return self._store(validate_csv_text(self.spark, content))

@@ -24,7 +24,7 @@ from adfathom.operators import (
 from adfathom.operators.advice import Filters, Request
 from adfathom.plans import reports
 from adfathom.schema import COLUMNS, DEFAULT_ASSUMPTIONS, INTEGER_COLUMNS
-from adfathom.sources import datasets
+from adfathom.sources import csv_scan, datasets
 from checks import fixtures
 
 A = DEFAULT_ASSUMPTIONS
@@ -84,12 +84,31 @@ def _distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def scan_normalized(spark, sf_dir):
-    rows = quality.normalised(fixtures.raw(spark, sf_dir))
+    return _typed_cells(quality.normalised(fixtures.raw(spark, sf_dir)))
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The damaged ads as they are read from CSV files."""
+    raw = csv_scan.read_csv(spark, fixtures.raw_csv(spark, sf_dir))
+    return quality.normalised(csv_scan.canonical_text(raw))
+
+
+def _typed_cells(rows: DataFrame) -> DataFrame:
     values = {c: quality.whole(c) for c in INTEGER_COLUMNS}
     values["spend"] = quality.number("spend")
     return rows.select(*[values.get(c, F.col(c)).alias(c) for c in COLUMNS])
 
 
+@query
+def csv_scan_rows(spark, sf_dir):
+    return _typed_cells(_scanned(spark, sf_dir))
+
+
+@query
+def csv_quality_report(spark, sf_dir):
+    return _flat_report(quality.quality_report(quality.distinct_rows(_scanned(spark, sf_dir))))
+
+
 @query
 def preview(spark, sf_dir):
     return datasets.preview(fixtures.ads(spark, sf_dir))
@@ -105,9 +124,7 @@ def quality_counts(spark, sf_dir):
     return quality.quality_counts(_distinct(spark, sf_dir))
 
 
-@query
-def quality_report(spark, sf_dir):
-    report = quality.quality_report(_distinct(spark, sf_dir))
+def _flat_report(report: DataFrame) -> DataFrame:
     maps = {
         "missing_age": report[quality.MAPS[0]]["age"],
         "invalid_spend": report[quality.MAPS[1]]["spend"],
@@ -117,6 +134,11 @@ def quality_report(spark, sf_dir):
     return report.withColumns(maps).drop(*quality.MAPS)
 
 
+@query
+def quality_report(spark, sf_dir):
+    return _flat_report(quality.quality_report(_distinct(spark, sf_dir)))
+
+
 @query
 def quality_report_clean(spark, sf_dir):
     as_text = fixtures.ads(spark, sf_dir).select(*[F.col(c).cast("string").alias(c) for c in COLUMNS])

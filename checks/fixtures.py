@@ -10,7 +10,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 from adfathom.schema import CANONICAL_SCHEMA
-from adfathom.staging import dealt, stage
+from adfathom.staging import dealt, stage, staging_path
 
 # One ad per order with the eleven canonical columns.
 ADS = """
@@ -81,6 +81,19 @@ SELECT CAST(ad_id AS STRING), CAST(campaign_id AS STRING), CAST(ad_set_id AS STR
 FROM ads WHERE ad_id % 10 = 0
 """
 
+# The same as cells of a CSV file: a missing cell is one of the words for it, and a further column holds line
+# breaks, commas and quotes. The names of the columns are those of the files that the engine is fed with.
+RAW_CELLS = """
+SELECT ad_id AS `AD ID`,
+       coalesce(campaign_id, element_at(array('N/A', 'null', 'NaN', '', '#NA'), CAST(CAST(ad_id AS BIGINT) % 5 + 1 AS INT)))
+         AS `xyz_Campaign_ID`,
+       ad_set_id AS `fb-campaign-id`, age AS `Age`, gender AS `GENDER`, interest, impressions AS `Impressions`,
+       CASE WHEN CAST(ad_id AS BIGINT) % 3 = 0 THEN concat('first line,', chr(10), 'said "so"', chr(10), ad_id) ELSE 'plain' END
+         AS `Note (free)`,
+       clicks AS `Clicks`, spend AS `Spent`, leads AS `Total_Conversion`, purchases AS ` Approved Conversion `
+FROM raw
+"""
+
 # The ads with gaps in three features.
 GAPPED = """
 SELECT ad_id,
@@ -97,6 +110,7 @@ FROM ads
 
 _SOURCES = ["orders", "customer", "lineitem"]
 _staged: dict[tuple[str, str, str], DataFrame] = {}
+_written: dict[tuple[str, str, str], str] = {}
 
 
 def _view(df: DataFrame, sql: str) -> DataFrame:
@@ -145,5 +159,17 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(ads(spark, sf_dir), RAW)
 
 
+def raw_csv(spark: SparkSession, sf_dir: str) -> str:
+    """The path of a folder of CSV files, written by Spark, that hold the damaged ads."""
+    key = (spark.sparkContext.applicationId, sf_dir, "csv")
+    if key not in _written:
+        cells = spark.sql(RAW_CELLS.replace("FROM raw", "FROM {raw}"), raw=raw(spark, sf_dir))
+        path = staging_path(spark, "csv")
+        kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
+        cells.write.options(header=True, escape='"', **kept).csv(path)
+        _written[key] = path
+    return _written[key]
+
+
 def gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(ads(spark, sf_dir), GAPPED)

@@ -285,7 +285,7 @@ def test_line_breaks_in_quotes_can_be_read_by_path(spark, tmp_path):
     path = tmp_path / "broken.csv"
     path.write_text(text(changed(age='"45\n49"'), changed(ad_id=2)))
     store = DatasetStore(spark, str(tmp_path / "data"), str(path))
-    assert store.store_csv(str(path), multi_line=True).table.count() == 2
+    assert store.store_csv(str(path)).table.count() == 2
 
 
 def test_measures_that_sums_cannot_hold_are_invalid(spark):
@@ -308,3 +308,20 @@ def test_answers_follow_the_stored_table_and_versions_stay(spark, tmp_path):
         work.datasets.store_text(text(changed(spend=spend)))
         assert work.overview()["totals"].head()["spend"] == spend
     assert work.datasets.status()["latest_report"]["row_count"] == 1
+
+
+def test_one_file_means_the_same_by_path_and_as_text(spark, tmp_path):
+    """Line breaks, doubled quotes and commas in quoted cells, NA words, blank lines and unlike case in the header."""
+    header = HEADER.upper() + ',"Note, free"'
+    content = "\r\n".join(
+        [header, GOOD + ',"two\nlines, ""quoted"""', "", changed(ad_id=2, age="N/A") + ",", changed(ad_id=3, spend="1d") + ",x"]
+    )
+    path = tmp_path / "ads.csv"
+    path.write_bytes(content.encode())
+    by_path = validate_csv_path(spark, str(path), must_be_ready=False)
+    as_text = validate_csv_text(spark, content, must_be_ready=False)
+    assert by_path.summary() == as_text.summary()
+    assert sorted(by_path.table.collect(), key=str) == sorted(as_text.table.collect(), key=str)
+    found = by_path.summary()
+    assert found["row_count"] == 3 and found["missing_values_by_column"]["age"] == 1
+    assert found["invalid_numeric_values"]["spend"] == 1
