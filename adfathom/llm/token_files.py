@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -32,14 +33,16 @@ MAGIC = b"TIDS"
 HEAD = struct.Struct("<4sIIIBI")  # magic, documents, distinct ids, blocks, digits, checksum of what the head lists
 BLOCK_HEAD = struct.Struct("<III")  # ids, bytes, checksum of the ids
 KNOWN_WORDS = 250_000
+#: White space beside white space, and a space that has none beside it.
+RUN, BETWEEN = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 FRAMES = "part int, place long, ahead long, n_tokens long, frame binary"
 
 
 class CachedTokenizer:
     """A byte-level tokenizer that looks up stretches it has met before.
 
-    Such a tokenizer always begins a new token at a space between two words, so words with
-    the space ahead of them are encoded apart. Texts with doubled spaces or with a special token's name are
+    Such a tokenizer always begins a new token at a space with other signs than white space on both sides, so texts are
+    cut there, and the parts with the space ahead of them are encoded apart. Texts with a special token's name are
     encoded as they are.
     """
 
@@ -62,10 +65,10 @@ class CachedTokenizer:
         parts: list[int] = []
         counts = []
         for text in column:
-            if "  " in text or "\0" in text or any(name in text for name in self.special):
+            if "\0" in text or any(name in text for name in self.special):
                 words = ["\0" + text]
             elif text:
-                words = text.split(" ")
+                words = BETWEEN.split(text) if RUN.search(text) else text.split(" ")
                 words[0] = "\0" + words[0]
             else:
                 words = []

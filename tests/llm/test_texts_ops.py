@@ -1,6 +1,7 @@
 """Token files, SentencePiece search, chat formatting, top-k search and texts as arrays."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -55,6 +56,20 @@ def test_damage_is_noticed():
             token_files.unpack_frames([frame[:at] + bytes([frame[at] ^ 1]) + frame[at + 1 :]])
 
 
+def test_cached_tokenizer_equals_the_library_on_white_space():
+    """Every string of up to five signs over several kinds of white space, and longer ones at random."""
+    library, cached = Tokenizer.from_file(IDS), token_files.CachedTokenizer(IDS)
+    signs = ["a", " ", "\n", "\t", "\xa0", "\u3000", "\x85", "B."]
+    column = ["".join(t) for n in range(6) for t in itertools.product(signs, repeat=n)]
+    rng = random.Random(5)
+    column += ["".join(rng.choices(signs + ["\x1c", "\u2028"], k=rng.randrange(6, 20))) for _ in range(20_000)]
+    for first in range(0, len(column), 5000):
+        part = column[first : first + 5000]
+        ids, bounds = cached.encode(part)
+        found = library.encode_batch_fast(part, add_special_tokens=False)
+        assert all(ids[a:b].tolist() == f.ids for a, b, f in zip(bounds[:-1], bounds[1:], found))
+
+
 def test_cached_tokenizer_equals_the_library():
     library, cached = Tokenizer.from_file(IDS), token_files.CachedTokenizer(IDS)
     rng = random.Random(4)
