@@ -48,19 +48,37 @@ def _packed(rows: DataFrame, blocks: int) -> DataFrame:
     return rows.groupBy("block", "dims").applyInPandas(pack, "block long, dims int, ids binary, rows binary")
 
 
+def _products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """All inner products as 64-bit integers.
+
+    Products of two rows of moderate components are exact in double precision, which is fast; those of rows with
+    larger components are made in whole numbers.
+    """
+    bound = np.sqrt(EXACT / max(1, left.shape[1]))
+    large_left, large_right = (np.flatnonzero(np.abs(m).max(axis=1, initial=0) >= bound) for m in (left, right))
+    with np.errstate(invalid="ignore"):
+        scores = (left @ right.T).astype(np.int64)
+    if len(large_left):
+        scores[large_left] = left[large_left].astype(np.int64) @ right.T.astype(np.int64)
+    if len(large_right):
+        scores[:, large_right] = left.astype(np.int64) @ right[large_right].T.astype(np.int64)
+    return scores
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of each row's k best, ties to the smaller id; `ids` ascend."""
-    scores[own[:, None] == ids[None, :]] = -np.inf
+    none = np.iinfo(np.int64).min
+    scores[own[:, None] == ids[None, :]] = none
     n = scores.shape[1]
     if n > k:
-        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        kth = np.partition(scores, n - k, axis=1)[:, n - k : n - k + 1]
         keep = scores > kth
         # of the candidates equal to the k-th score the first ids fill what is left
         equal = scores == kth
         keep |= equal & (np.cumsum(equal, axis=1) <= k - keep.sum(axis=1, keepdims=True))
     else:
         keep = np.ones_like(scores, bool)
-    return np.nonzero(keep & (scores > -np.inf))
+    return np.nonzero(keep & (scores > none))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCALE) -> DataFrame:
@@ -68,7 +86,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCAL
 
     vectors, queries: (id long, vector array of numbers). Components become floor(scale * x). Pairs with
     equal ids are left out, ties go to the smaller id, fewer than k candidates give all of them.
-    Vectors that are null, or hold null or non-finite components, and rows without an id take no part;
+    Scores are exact wherever they fit 64 bits. Vectors that are null, or hold null or non-finite components, and rows without an id take no part;
     vectors only meet vectors of their own length. Repeated rows count once; of different vectors of one
     id, the one that sorts first. Empty inputs give no rows. Any further columns are ignored.
     Returns query_id, rank (from 1), id, score.
@@ -96,17 +114,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCAL
                 own, ids = np.frombuffer(tile.q_ids, np.int64), np.frombuffer(tile.ids, np.int64)
                 left = np.frombuffer(tile.q_rows).reshape(len(own), -1)
                 right = np.frombuffer(tile.rows).reshape(len(ids), -1)
-                if np.abs(left).max() * np.abs(right).max() * left.shape[1] >= EXACT:
-                    raise ValueError("components too large for exact products")
                 step = max(1, (1 << 22) // len(ids))
                 for at in range(0, len(own), step):
-                    scores = left[at : at + step] @ right.T
+                    scores = _products(left[at : at + step], right)
                     row, col = _best(scores, ids, own[at : at + step], k)
                     yield pd.DataFrame(
                         {
                             "query_id": own[at : at + step][row],
                             "shard": tile.block,
-                            "score": scores[row, col].astype(np.int64),
+                            "score": scores[row, col],
                             "id": ids[col],
                         }
                     )

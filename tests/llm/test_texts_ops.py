@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 
@@ -254,3 +255,16 @@ def test_words_minima_and_spans():
         assert texts.sliding_min(values, width).tolist() == [values[i : i + width].min() for i in range(201 - width)]
     assert texts.spans(np.array([1, 1, 0, 0, 1], bool)).tolist() == [[0, 2], [4, 5]]
     assert texts.covered(np.array([0, 3]), 2, 6).tolist() == [True, True, False, True, True, False]
+
+
+def test_large_components_give_exact_scores(spark):
+    rng = random.Random(31)
+    rows = [(i, [rng.uniform(-2, 2) * (40_000 if i % 9 == 0 else 1) for _ in range(8)]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(vectors, vectors.where("id % 6 = 0"), k=5).collect())
+    whole = {i: [math.floor(x * 1024) for x in v] for i, v in rows}
+    expected = []
+    for q in range(0, 60, 6):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)
+        expected += [(q, rank, i, -score) for rank, (score, i) in enumerate(scores[:5], 1)]
+    assert got == sorted(expected) and max(r[3] for r in got) > 2**53
