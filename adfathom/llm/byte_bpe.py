@@ -26,7 +26,7 @@ from adfathom.llm.pieces import Table
 from adfathom.llm.spans import Spans, same_spans, stretches
 from adfathom.llm.texts import mixed
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 IN_STEP = 32
 ROWS = 1 << 13
 SPACE, LETTER, NUMBER, OTHER = range(4)
