@@ -13,7 +13,9 @@ document with a smaller doc_id, or in the same document. Strings are judged on t
    string of such a class are removed.
 
 An anchor with very many different segments (a phrase of a very common line) is dealt out further, by the bytes that
-strings with the same place of the anchor have in common.
+strings with the same place of the anchor have in common. Equal pieces of it collapse like segments, by their bytes. Should
+the unlike pieces of a key still be more than a block, their strings are grouped one by one by Spark. So no block is
+larger than 2 * BLOCK bytes, however often a line occurs.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adfathom.llm import texts
@@ -41,7 +43,8 @@ BLOCK = 1 << 18
 CROWDED, TOGETHER = 1024, 8
 
 FACTS = "doc_id long, content long, check long, n_bytes long, kept_sha256 string, anchors array<long>, again array<long>"
-SEGMENTS = "anchor long, digest long, doc_id long, start int, strings int"
+SEGMENTS = "anchor long, digest long, check long, doc_id long, start int, strings int"
+PIECES = "key long, doc_id long, start int, body binary, crowded boolean"
 
 
 class Strings:
@@ -124,6 +127,7 @@ def _segments(size: int) -> Callable:
         for batch in batches:
             for row, data, offsets in texts.text_slices(batch.column(1)):
                 strings = Strings(data, offsets, size)
+                second = texts.Prefix(data.astype(np.uint64) + np.uint64(257), texts.WORD_BASE)
                 wanted = np.zeros(len(strings.anchor), bool)
                 for i in range(len(offsets) - 1):
                     part = slice(offsets[i], min(offsets[i + 1], len(wanted)))
@@ -136,11 +140,12 @@ def _segments(size: int) -> Callable:
                     [
                         pa.array(texts.signed(strings.anchor[start])),
                         pa.array(texts.signed(strings.prefix.of(start, start + count + size - 1))),
+                        pa.array(texts.signed(second.of(start, start + count + size - 1))),
                         batch.column(0).take(pa.array(row + owner)),
                         pa.array((start - offsets[owner]).astype(np.int32)),
                         pa.array(count.astype(np.int32)),
                     ],
-                    ["anchor", "digest", "doc_id", "start", "strings"],
+                    ["anchor", "digest", "check", "doc_id", "start", "strings"],
                 )
 
     return run
@@ -154,12 +159,12 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bytes_of(size: int) -> Callable:
-    """(doc_id, text, segments wanted) rows to rows (key, doc_id, start, bytes); crowded anchors are dealt out."""
+    """(doc_id, text, segments wanted) rows to rows of PIECES; crowded anchors are dealt out."""
     gram = min(GRAM, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            key, doc, begin, body = [], [], [], []
+            key, doc, begin, body, crowded = [], [], [], [], []
             for i in range(batch.num_rows):
                 raw = (batch.column(1)[i].as_py() or "").encode()
                 number = batch.column(0)[i].as_py()
@@ -178,9 +183,16 @@ def _bytes_of(size: int) -> Callable:
                         doc.append(number)
                         begin.append(lo)
                         body.append(raw[lo : hi + size - 1])
+                        crowded.append(part["crowded"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(begin, pa.int32()), pa.array(body, pa.binary())],
-                ["key", "doc_id", "start", "body"],
+                [
+                    pa.array(key, pa.int64()),
+                    pa.array(doc, pa.int64()),
+                    pa.array(begin, pa.int32()),
+                    pa.array(body, pa.binary()),
+                    pa.array(crowded, pa.bool_()),
+                ],
+                ["key", "doc_id", "start", "body", "crowded"],
             )
 
     return run
@@ -326,7 +338,8 @@ def dedup_bytes(docs: DataFrame, size: int = SIZE, keep_bytes: bool = False) ->
     cut = bodies.join(suspects, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_segments(size), SEGMENTS)
     segments = scratch.keep(cut, "segments")
     place = F.struct("doc_id", "start")
-    kinds = segments.groupBy("anchor", "digest", "strings").agg(F.min(place).alias("place"))
+    alike = ["anchor", "digest", "check", "strings"]
+    kinds = segments.groupBy(*alike).agg(F.min(place).alias("place"))
     kinds = scratch.keep(kinds, "kinds")
     inner = shared.join(again.select("anchor"), "anchor", "left_semi").select("anchor")
     many = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
@@ -338,12 +351,34 @@ def dedup_bytes(docs: DataFrame, size: int = SIZE, keep_bytes: bool = False) ->
         ).alias("parts")
     )
     pieces = bodies.join(wanted, "doc_id").select("doc_id", "text", "parts")
-    pieces = pieces.mapInArrow(_bytes_of(size), "key long, doc_id long, start int, body binary")
-    pieces = pieces.repartition("key").sortWithinPartitions("key")
-    later = scratch.keep(pieces.mapInArrow(_compared(size), "doc_id long, start int, stop int"), "later")
-
-    copies = segments.join(kinds, ["anchor", "digest", "strings"]).where(place != F.col("place"))
-    runs = later.union(copies.select("doc_id", "start", (F.col("start") + F.col("strings")).alias("stop")))
+    pieces = scratch.keep(pieces.mapInArrow(_bytes_of(size), PIECES), "pieces")
+
+    # pieces of crowded anchors collapse by their bytes; what is still more than a block goes string by string
+    dealt = pieces.where("crowded")
+    unlike = scratch.keep(dealt.groupBy("key", "body").agg(F.min(place).alias("place")), "unlike")
+    heavy = unlike.groupBy("key").agg(F.sum(F.length("body") + 1).alias("weight")).where(f"weight > {BLOCK}").select("key")
+    heavy = scratch.keep(heavy, "heavy")
+    single = unlike.join(heavy, "key", "left_semi").select(
+        "place.doc_id",
+        "place.start",
+        F.posexplode(F.transform(F.sequence(F.lit(0), F.length("body") - size), lambda i: F.substr("body", i + 1, F.lit(size)))),
+    )
+    single = single.select("doc_id", (F.col("start") + F.col("pos")).alias("start"), F.col("col").alias("string"))
+    earliest = single.groupBy("string").agg(F.min(place).alias("place"))
+
+    light = unlike.join(heavy, "key", "left_anti").select("key", "place.doc_id", "place.start", "body")
+    light = light.union(pieces.where("NOT crowded").select("key", "doc_id", "start", "body"))
+    light = light.repartition("key").sortWithinPartitions("key")
+    later = scratch.keep(light.mapInArrow(_compared(size), "doc_id long, start int, stop int"), "later")
+
+    def after(rows: DataFrame, first: DataFrame, by: list[str], strings: Column) -> DataFrame:
+        """The runs of strings of all rows but the first of their kind."""
+        found = rows.join(first, by).where(place != F.col("place"))
+        return found.select("doc_id", "start", (F.col("start") + strings).cast("int").alias("stop"))
+
+    runs = later.union(after(segments, kinds, alike, F.col("strings")))
+    runs = runs.union(after(dealt, unlike, ["key", "body"], F.length("body") - (size - 1)))
+    runs = runs.union(after(single, earliest, ["string"], F.lit(1)))
     runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
     cut = bodies.join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(
         _removed(size), "doc_id long, n_removed long, spans array<array<int>>, kept binary"
@@ -351,7 +386,7 @@ def dedup_bytes(docs: DataFrame, size: int = SIZE, keep_bytes: bool = False) ->
     if not keep_bytes:
         cut = cut.withColumn("kept", F.sha2("kept", 256))
     lost = scratch.keep(cut.dropDuplicates(["doc_id"]), "lost")
-    scratch.drop("segments", "kinds", "later", "suspects")
+    scratch.drop("segments", "kinds", "later", "suspects", "pieces", "unlike", "heavy")
     spark.sql(f"DROP TABLE {table}")
     scratch.drop("bodies")
 

@@ -169,6 +169,27 @@ def test_repeated_bytes_equal_brute_force(spark, monkeypatch, seed, size, crowde
         assert row.kept is None or hashlib.sha256(row.kept).hexdigest() == row.kept_sha256
 
 
+def test_a_line_of_very_many_documents_is_split_and_stays_exact(spark, monkeypatch):
+    """The pieces of one key are more than a block here, so their strings are grouped one by one."""
+    monkeypatch.setattr(repeats, "CROWDED", 20)
+    monkeypatch.setattr(repeats, "BLOCK", 2000)
+    keep, heavy = shared.Scratch.keep, []
+
+    def watched(self, frame, name):
+        kept = keep(self, frame, name)
+        heavy.extend(kept.collect() if name == "heavy" else [])
+        return kept
+
+    monkeypatch.setattr(shared.Scratch, "keep", watched)
+    rng = random.Random(8)
+    line = sentence(rng, 40)[:131]
+    rows = [(i, sentence(rng, 30) + (f" {line} " if i % 3 else " ") + sentence(rng, 30)) for i in range(240)]
+    got = repeats.dedup_bytes(spark.createDataFrame(rows, DOCS), 100).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got) == expected_bytes(rows, 100)
+    assert sum(r.n_removed >= 131 for r in got) == 159
+    assert heavy
+
+
 def test_repeated_bytes_without_rows_or_ids(spark):
     assert repeats.dedup_bytes(spark.createDataFrame([], DOCS)).count() == 0
     rows = [(None, "z" * 400), (None, None), (1, "q" * 99)]
