@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
@@ -23,8 +23,9 @@ from adfathom.llm import texts
 
 BUCKETS = 1 << 16
 WIDTH = 8
-#: Most labelled texts that a model is trained on, chosen by a hash of the text alone.
-TRAINING_TEXTS = 2500
+#: Most labelled texts that a model is trained on, and those that each language is given before the rest is drawn
+#: over all languages together.
+TRAINING_TEXTS, LANGUAGE_TEXTS = 2500, 50
 EPOCHS, RATE, BATCH = 8, 20.0, 32
 #: The threshold rejects at most this share of the rightly named rows kept back, and lets no larger share of texts of
 #: no learned language through if that is possible; FOREIGN such texts are made of each row.
@@ -151,13 +152,19 @@ def fit(rows: pa.Table, seed: int = 3) -> LanguageModel:
 def training_rows(docs: DataFrame, limit: int = TRAINING_TEXTS) -> pa.Table:
     """At most `limit` labelled rows whose crc32 of doc_id is not 1 modulo 3.
 
-    The sample is chosen by a hash of doc_id before the texts are fetched.
+    The sample is chosen by a hash of doc_id before the texts are fetched: the first LANGUAGE_TEXTS of each language,
+    one of each in turn, then the first of all. So a rare language is learned too, as long as there are no more
+    languages than `limit`. Texts of the sample are used whole.
     """
     usable = F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(F.col("doc_id").alias("_id"), "text", "lang").where(
         usable & (F.crc32(F.col("_id").cast("string")) % 3 != 1)
     )
-    picked = rows.select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(limit)
+    ids = rows.select("_id", "lang").distinct()
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id"))
+    ahead = ids.withColumn("_turn", turn).where(F.col("_turn") <= LANGUAGE_TEXTS)
+    picked = ahead.union(ids.withColumn("_turn", F.lit(LANGUAGE_TEXTS + 1))).groupBy("_id").agg(F.min("_turn").alias("_turn"))
+    picked = picked.orderBy("_turn", F.xxhash64("_id"), "_id").limit(limit).select("_id")
     found = rows.join(F.broadcast(picked), "_id").groupBy("_id").agg(F.min(F.struct("text", "lang")).alias("row"))
     return found.select("row.text", "row.lang").toArrow()
 

@@ -393,6 +393,29 @@ def test_language_model_rejects_texts_of_no_learned_language(spark):
     assert sum(found[9000 + i] for i in range(100)) <= 2
 
 
+def test_a_rare_language_is_in_the_sample_and_learned(spark):
+    rng = random.Random(26)
+    rows = [(i, prose(rng, lang := "fr" if i % 66 == 0 else ("en", "de")[i % 2], 40), lang) for i in range(2000)]
+    docs = spark.createDataFrame(rows, DOCS + ", lang string")
+    learned = docs.where("crc32(cast(doc_id AS string)) % 3 != 1")
+    sample = languages.training_rows(docs, limit=400)
+    names = sample["lang"].to_pylist()
+    assert len(names) == 400
+    assert names.count("fr") == learned.where("lang = 'fr'").count() > 400 * 31 / 2000
+    found = languages.identify(docs, languages.fit(sample)).where("lang = 'fr'").collect()
+    assert sum(r.lang_pred == "fr" for r in found) >= len(found) - 1
+    assert len(set(languages.training_rows(docs, limit=2)["lang"].to_pylist())) == 2
+
+
+def test_language_stage_keeps_columns_named_like_its_own(spark):
+    rng = random.Random(27)
+    rows = [(i, prose(rng, lang := ("en", "de")[i % 2], 40), lang) for i in range(200)]
+    docs = spark.createDataFrame(rows, DOCS + ", lang string").withColumn("_Stage_score", F.lit(7)).withColumn("score", F.lit("s"))
+    got = corpus_pipeline.language_id(spark, docs, "")
+    assert got.dtypes == docs.dtypes
+    assert {(r._Stage_score, r.score) for r in got.collect()} == {(7, "s")}
+
+
 def test_quality_field_on_held_out_texts(spark):
     rng = random.Random(7)
     rows, labels = [], []
