@@ -23,8 +23,10 @@ from adfathom.llm.substrings import dedup_texts
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; null texts, texts without letters and rejected ones go."""
     model = fit(training_rows(docs))
-    found = identify(docs, model, prefix="_stage_")
-    return found.where("_stage_accepted").select(*docs.columns)
+    prefix = "_stage_"
+    while any(name.lower().startswith(prefix) for name in docs.columns):
+        prefix = "_" + prefix
+    return identify(docs, model, prefix=prefix).where(f"{prefix}accepted").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
