@@ -1,7 +1,8 @@
 """Text forms of numbers, and the rounding that goes with them.
 
 ``format_number`` with a pattern rounds the exact binary value half to even, which is what the
-formats expected here need; ``round`` and ``format_string`` round half up.
+printed reports need. The trimmed forms of the screens round half away from zero, on the shortest decimal
+that stands for the number (1.005 becomes 1.01), and keep the sign of what rounds to zero.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MISSING = "N/A"
+#: What the trimmed forms show for null and NaN.
+NOT_AVAILABLE = "n/a"
 
 
 def _pattern(value: Column, pattern: str) -> Column:
@@ -64,15 +67,30 @@ def count_text(value: Column) -> Column:
     return F.coalesce(fixed(value.cast("double"), 0, grouped=True), F.lit(MISSING))
 
 
+def _trimmed(value: Column, most: int, pattern: str, before: str = "", after: str = "") -> Column:
+    value = value.cast("double")
+    size = _pattern(F.round(F.abs(value), most), pattern)
+    shown = F.concat(F.when(value < 0, "-").otherwise(""), F.lit(before), size, F.lit(after))
+    return F.coalesce(F.when(~F.isnan(value), shown), F.lit(NOT_AVAILABLE))
+
+
+def trimmed_number(value: Column, most: int = 0) -> Column:
+    """At most `most` decimals and thousands separators."""
+    return _trimmed(value, most, "#,##0" + ("." + "#" * most if most else ""))
+
+
+def trimmed_money(value: Column) -> Column:
+    """Two decimals; a minus sign stands before the dollar sign."""
+    return _trimmed(value, 2, "#,##0.00", before="$")
+
+
 def trimmed_percent(value: Column) -> Column:
     """Percent with at most two decimals and thousands separators."""
-    return F.coalesce(
-        F.concat(_pattern(value * F.lit(100.0), "#,##0.##"), F.lit("%")), F.lit(MISSING)
-    )
+    return _trimmed(value * F.lit(100.0), 2, "#,##0.##", after="%")
 
 
 def trimmed_ratio(value: Column) -> Column:
-    return F.coalesce(F.concat(_pattern(value, "#,##0.##"), F.lit("x")), F.lit(MISSING))
+    return _trimmed(value, 2, "#,##0.##", after="x")
 
 
 def whole_percent(value: Column) -> Column:

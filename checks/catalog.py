@@ -227,6 +227,21 @@ def formatted_metrics(spark, sf_dir):
     return text.format_table(listed).withColumn("impressions", text.count_text(F.col("impressions")))
 
 
+@query
+def ui_number_forms(spark, sf_dir):
+    """Trimmed forms of each ad's numbers: many stand half-way, ads of odd id are negative, ratios may be missing."""
+    sign = F.when(F.col("ad_id") % 2 == 1, -1.0).otherwise(1.0)
+    spend = F.col("spend").cast("double")
+    return fixtures.ads(spark, sf_dir).select(
+        "ad_id",
+        text.trimmed_number(sign * F.col("clicks") / 2).alias("whole_text"),
+        text.trimmed_number(sign * F.col("impressions") / 8, 2).alias("number_text"),
+        text.trimmed_money(sign * F.col("impressions") / 8).alias("money_text"),
+        text.trimmed_percent(sign * F.expr("clicks / nullif(impressions, 0)") / 8).alias("percent_text"),
+        text.trimmed_ratio((F.col("purchases") * F.lit(75.0) - spend) / F.nullif(spend, F.lit(0.0))).alias("ratio_text"),
+    )
+
+
 @query
 def overview_totals(spark, sf_dir):
     return rollups.overview_totals(fixtures.ads(spark, sf_dir), A)

@@ -37,6 +37,16 @@ def name_of(place: str, id_text: str) -> str:
     return f"'Campaign ' || {WORDS}[CAST({place} % 12 AS INTEGER) + 1] || ' (' || {id_text} || ')'"
 
 
+def trimmed(value: str, most: int, least: int = 0, before: str = "", after: str = "") -> str:
+    """Text with thousands separators of a double, rounded half away from zero by its decimal digits."""
+    rounded = f"CAST(ROUND(CAST(CAST(ABS({value}) AS VARCHAR) AS DECIMAL(38, 20)), {most}) AS DECIMAL(18, 2))"
+    cents = f"CAST({rounded} * 100 AS BIGINT)"
+    two = f"'.' || LPAD(CAST({cents} % 100 AS VARCHAR), 2, '0')"
+    fraction = two if least else f"CASE WHEN {cents} % 100 = 0 THEN '' ELSE RTRIM({two}, '0') END"
+    sign = f"CASE WHEN {value} < 0 THEN '-' ELSE '' END"
+    return f"COALESCE({sign} || '{before}' || format('{{:,}}', {cents} // 100) || {fraction} || '{after}', 'n/a')"
+
+
 def ranking(score: str) -> str:
     """ROC AUC and average precision of the rows of `scored` under a score; no score ranks last."""
     return f"""SELECT
@@ -379,6 +389,13 @@ ANSWERS = {
     + ", "
     + ", ".join(f"COALESCE(printf('%.2f', {c}) || 'x', 'N/A') AS {c}" for c in ("estimated_roas", "estimated_romi"))
     + " FROM campaigns",
+    "ui_number_forms": f"""SELECT ad_id, {trimmed("half", 0)} AS whole_text, {trimmed("eighth", 2)} AS number_text,
+  {trimmed("eighth", 2, 2, before="$")} AS money_text, {trimmed("share", 2, after="%")} AS percent_text,
+  {trimmed("gain", 2, after="x")} AS ratio_text
+  FROM (SELECT ad_id, sign * clicks / 2 AS half, sign * impressions / 8 AS eighth,
+    sign * (CAST(clicks AS DOUBLE) / NULLIF(impressions, 0)) / 8 * CAST(100 AS DOUBLE) AS share,
+    (purchases * CAST(75 AS DOUBLE) - CAST(spend AS DOUBLE)) / NULLIF(CAST(spend AS DOUBLE), 0) AS gain
+    FROM (SELECT *, CASE WHEN ad_id % 2 = 1 THEN CAST(-1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS sign FROM ads))""",
     "overview_totals": "SELECT * FROM totals",
     "funnel_stages": """SELECT 1 AS stage_order, 'Impressions' AS stage, impressions AS value FROM totals
   UNION ALL SELECT 2, 'Clicks', clicks FROM totals UNION ALL SELECT 3, 'Leads', leads FROM totals

@@ -73,7 +73,7 @@ def test_text_forms(spark):
         "plain": "$-1234.50",
         "half": "0.12",
         "percent": "12.3%",
-        "trimmed": "12.34%" if f"{12.345:.2f}" == "12.34" else "12.35%",
+        "trimmed": "12.35%",
         "ratio": "0.12x",
         "count": "1,234,567",
         "missing": "N/A",
@@ -81,6 +81,26 @@ def test_text_forms(spark):
     }
 
 
+def test_trimmed_forms_round_half_away_from_zero(spark):
+    expected = {
+        0.125: ("0", "0.13", "$0.13", "12.5%", "0.13x"),
+        -0.125: ("-0", "-0.13", "-$0.13", "-12.5%", "-0.13x"),
+        1.005: ("1", "1.01", "$1.01", "100.5%", "1.01x"),
+        2.5: ("3", "2.5", "$2.50", "250%", "2.5x"),
+        -2.5: ("-3", "-2.5", "-$2.50", "-250%", "-2.5x"),
+        -0.001: ("-0", "-0", "-$0.00", "-0.1%", "-0x"),
+        1234567.895: ("1,234,568", "1,234,567.9", "$1,234,567.90", "123,456,789.5%", "1,234,567.9x"),
+        0.0: ("0", "0", "$0.00", "0%", "0x"),
+        float("inf"): ("∞", "∞", "$∞", "∞%", "∞x"),
+        float("nan"): ("n/a",) * 5,
+        None: ("n/a",) * 5,
+    }
+    v = F.col("v")
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(expected)], "i int, v double")
+    forms = rows.select("i", text.trimmed_number(v), text.trimmed_number(v, 2), text.trimmed_money(v), text.trimmed_percent(v), text.trimmed_ratio(v))
+    assert [tuple(r)[1:] for r in forms.orderBy("i").collect()] == list(expected.values())
+
+
 def test_not_finite_becomes_null(spark):
     rows = spark.createDataFrame([(1.5,), (float("nan"),), (float("inf"),), (float("-inf"),), (None,)], "v double")
     assert [r[0] for r in rows.select(text.finite(F.col("v"))).collect()] == [1.5, None, None, None, None]
