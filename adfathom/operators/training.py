@@ -158,6 +158,7 @@ def classifier(name: str, train_rows: int, seed: int, forest: ForestSize):
             elasticNetParam=0.0,
             standardization=False,
             maxIter=1000,
+            tol=1e-9,
             **shared,
         )
     return RandomForestClassifier(
@@ -302,6 +303,33 @@ def feature_importance(model: PipelineModel, df: DataFrame) -> DataFrame:
     return table.orderBy(F.desc("importance"), "feature")
 
 
+def logistic_gradient(model: PipelineModel, train: DataFrame) -> DataFrame:
+    """How far a logistic fit is from the optimum: the gradient of its penalised mean loss, one aggregate over `train`.
+
+    A row for each input and one for the intercept, with the rows and the total class weight behind them. All
+    components are zero at the solution.
+    """
+    fit = model.stages[-1]
+    counts = {r[TARGET]: r["count"] for r in train.groupBy(TARGET).count().collect()}
+    weight = balanced_weight(counts)
+    pull = weight * (vector_to_array("probability")[1] - F.col(TARGET))
+    names = [*input_names(model), "intercept"]
+    places = vector_to_array("model_input")
+    sums = model.transform(train).select(weight.alias("weight"), pull.alias("pull"), places.alias("x")).agg(
+        F.count("*").alias("n_rows"),
+        F.sum("weight").alias("total_weight"),
+        *(F.sum(F.col("pull") * F.col("x")[i]).alias(f"g{i}") for i in range(len(names) - 1)),
+        F.sum("pull").alias(f"g{len(names) - 1}"),
+    )
+    # the intercept carries no penalty
+    penalty = [*fit.coefficients.toArray().tolist(), 0.0]
+    parts = [
+        F.struct(F.lit(name).alias("feature"), ((F.col(f"g{i}") + F.lit(w)) / F.col("n_rows")).alias("gradient"))
+        for i, (name, w) in enumerate(zip(names, penalty, strict=True))
+    ]
+    return sums.select("n_rows", "total_weight", F.inline(F.array(*parts)))
+
+
 def top_features(importance: DataFrame, limit: int = 15) -> DataFrame:
     return importance.orderBy(F.desc("importance"), "feature").limit(limit)
 

@@ -643,6 +643,18 @@ def predictions_totals(spark, sf_dir):
     )
 
 
+@query
+def logistic_gradient(spark, sf_dir):
+    """The rows and weight that the logistic fit was made on, and the components of its gradient that are not zero."""
+    trained = _trained(spark, sf_dir)
+    model = next(r.model for r in trained.results if r.name == training.LOGISTIC)
+    return training.logistic_gradient(model, trained.split.filter("split = 'train'")).agg(
+        F.max("n_rows").alias("n_rows"),
+        F.round(F.max("total_weight")).cast("long").alias("total_weight"),
+        F.count_if(F.abs("gradient") >= 1e-6).alias("open_components"),
+    )
+
+
 @query
 def leaderboard_totals(spark, sf_dir):
     counts = F.col("true_negatives") + F.col("false_positives") + F.col("false_negatives") + F.col("true_positives")

@@ -532,6 +532,8 @@ ANSWERS = {
     "ranking_distinct_scores": ranking("9007199254740993 + ad_id * 7919 % 1000003"),
     "predictions_totals": """SELECT COUNT(*) AS n, CAST(SUM(converted) AS BIGINT) AS converted, COUNT(*) AS in_range,
   COUNT(*) AS agreed FROM scored""",
+    "logistic_gradient": """SELECT CAST(SUM(n) AS BIGINT) AS n_rows, CAST(SUM(n) AS BIGINT) AS total_weight,
+  CAST(0 AS BIGINT) AS open_components FROM split_rows WHERE split = 'train'""",
     "leaderboard_totals": f"SELECT model_name, {TESTED} FROM (VALUES ('{training.LOGISTIC}'), ('{training.FOREST}')) t(model_name)",
     "model_sweep_totals": f"SELECT threshold, {TESTED} FROM grid",
 }

@@ -190,7 +190,12 @@ def test_logistic_regression_solves_the_penalised_problem(trained, many_ads):
     fit = result.model.stages[-1]
     w = fit.coefficients.toArray()
     p = 1 / (1 + np.exp(-(x @ w + fit.intercept)))
-    assert np.abs(x.T @ (weight * (p - y)) + w).max() < 0.05
+    gradient = np.append(x.T @ (weight * (p - y)) + w, (weight * (p - y)).sum()) / len(y)
+    assert np.abs(gradient).max() < 1e-6
+    told = training.logistic_gradient(result.model, train).collect()
+    assert [r["feature"] for r in told] == [*training.input_names(result.model), "intercept"]
+    assert np.allclose([r["gradient"] for r in told], gradient, rtol=0, atol=1e-12)
+    assert all(r["n_rows"] == len(y) and abs(r["total_weight"] - weight.sum()) < 1e-6 for r in told)
 
 
 def test_one_class_cannot_be_trained(many_ads):
