@@ -646,8 +646,14 @@ def predictions_totals(spark, sf_dir):
 @query
 def logistic_gradient(spark, sf_dir):
     """The rows and weight that the logistic fit was made on, and the components of its gradient that are not zero."""
-    trained = _trained(spark, sf_dir)
-    model = next(r.model for r in trained.results if r.name == training.LOGISTIC)
+    # the same split, inputs and fit as in `_trained`, without the forest, which has no part in it
+    trained = _once(
+        spark,
+        sf_dir,
+        "logistic",
+        lambda: training.train_and_compare(fixtures.ads(spark, sf_dir), models=(training.LOGISTIC,)),
+    )
+    model = trained.selected.model
     return training.logistic_gradient(model, trained.split.filter("split = 'train'")).agg(
         F.max("n_rows").alias("n_rows"),
         F.round(F.max("total_weight")).cast("long").alias("total_weight"),

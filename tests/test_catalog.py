@@ -56,3 +56,12 @@ def test_scans_read_only_the_columns_they_need(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     scan = plan[plan.index("ReadSchema") :]
     assert "campaign_id" in scan and "spend" not in scan and "clicks" not in scan
+
+
+def test_the_gradient_of_the_logistic_fit_needs_no_forest(spark, monkeypatch):
+    fitted, make = [], catalog.training.classifier
+    monkeypatch.setattr(catalog, "_kept", {})
+    monkeypatch.setattr(catalog.training, "classifier", lambda name, *rest: fitted.append(name) or make(name, *rest))
+    row = QUERIES["logistic_gradient"](spark, FOLDER).head()
+    assert fitted == [catalog.training.LOGISTIC]
+    assert row["n_rows"] > 0 and row["open_components"] == 0
