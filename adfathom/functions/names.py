@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from adfathom.operators.ordered import running_totals
 from adfathom.functions.text import MISSING
+from adfathom.staging import stage
 
 # The labels, used in turn, and the campaigns that have a place without a list.
 LABELS = [
@@ -25,6 +26,9 @@ LABELS = [
 ]
 DEFAULT_ORDER = ["916", "936", "1178"]
 
+#: Names that are sent to all tasks; of more, rows and names meet by key. It sizes the plan and has no part in any result.
+SHORT_LIST = 10_000
+
 # A number in any spelling.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
@@ -89,10 +93,14 @@ def campaign_names(df: DataFrame) -> DataFrame:
 def with_campaign_name(rows: DataFrame, names: DataFrame) -> DataFrame:
     """Add campaign_name to rows keyed by campaign_id; a row without a campaign reads N/A.
 
-    An id that `names` does not list is named by its value. No broadcast is forced: the adaptive plan
-    sends a short list of names to all tasks, and splits a campaign that holds most rows of a long one.
+    An id that `names` does not list is named by its value. The list is staged and counted: a short one is sent to all
+    tasks, so that the rows stay where they are instead of meeting in one task per campaign; a long one is joined by
+    key, and the adaptive plan splits a campaign that holds most rows.
     """
-    joined = rows.join(names.select("campaign_id", "campaign_name"), "campaign_id", "left")
+    listed = stage(names.select("campaign_id", "campaign_name"), "names")
+    if listed.count() <= SHORT_LIST:
+        listed = F.broadcast(listed)
+    joined = rows.join(listed, "campaign_id", "left")
     named = F.coalesce("campaign_name", unlisted_name("campaign_id"), F.lit(MISSING)).alias("campaign_name")
     return joined.select(*rows.columns, named)
 

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry_point
+from adfathom.functions import names
 from checks import catalog, oracle
 from checks.compare import connect, difference
 
@@ -58,6 +59,28 @@ def test_scans_read_only_the_columns_they_need(spark):
     assert "campaign_id" in scan and "spend" not in scan and "clicks" not in scan
 
 
+def test_ads_do_not_meet_by_campaign_to_be_named(spark):
+    df = QUERIES["report_recommendations"](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(campaign_id" not in plan
+
+
+def test_a_long_list_of_names_is_joined_by_key_with_the_same_names(spark, monkeypatch):
+    rows = spark.createDataFrame([(936,), (916,), (None,), (7,)], "campaign_id bigint")
+    listed = names.campaign_names(rows.filter("campaign_id > 7"))
+    short = names.with_campaign_name(rows, listed)
+    monkeypatch.setattr(names, "SHORT_LIST", 1)
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        long = names.with_campaign_name(rows, listed)
+        assert "hashpartitioning(campaign_id" in long._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    expected = {(936, "Campaign Two (936)"), (916, "Campaign One (916)"), (None, "N/A"), (7, "Campaign Eight (7)")}
+    assert {tuple(r) for r in short.collect()} == {tuple(r) for r in long.collect()} == expected
+
+
 def test_the_gradient_of_the_logistic_fit_needs_no_forest(spark, monkeypatch):
     fitted, make = [], catalog.training.classifier
     monkeypatch.setattr(catalog, "_kept", {})
