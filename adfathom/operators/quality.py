@@ -40,18 +40,20 @@ EMPTY_FILE = "CSV file is empty."
 PASSED = "Dataset passed validation and is ready for analysis."
 
 
+def _number(cell: str) -> str:
+    value = f"try_cast({cell} AS DOUBLE)"
+    return f"""coalesce(CAST(try_cast({cell} AS BIGINT) AS DOUBLE),
+                     CASE WHEN {cell} RLIKE r'{NUMBER}' AND abs({value}) < DOUBLE('Infinity')
+                          THEN {value} END)"""
+
+
 def number(cell: str) -> Column:
     """The finite double the text column `cell` spells, else null.
 
     Whole numbers, the usual case, need no pattern. Other text is matched first, as a plain cast
     would also take spellings such as 1d.
     """
-    value = f"try_cast({cell} AS DOUBLE)"
-    return F.expr(
-        f"""coalesce(CAST(try_cast({cell} AS BIGINT) AS DOUBLE),
-                     CASE WHEN {cell} RLIKE r'{NUMBER}' AND abs({value}) < DOUBLE('Infinity')
-                          THEN {value} END)"""
-    )
+    return F.expr(_number(cell))
 
 
 def whole(cell: str) -> Column:
@@ -220,13 +222,15 @@ def issue_totals(report: DataFrame) -> DataFrame:
 
 def quarantine_rows(distinct: DataFrame) -> DataFrame:
     """The rows that keep a table from being ready, each with the rules it breaks."""
-    rules = _rules()
-    listed = ", ".join(f"CASE WHEN {test} THEN '{rule}' END" for rule, test in rules.items())
-    any_broken = " OR ".join(f"({test})" for test in rules.values())
+    listed = ", ".join(f"CASE WHEN {test.replace('value_', 'v.value_')} THEN '{rule}' END" for rule, test in _rules().items())
+    # The cells are parsed into one struct that all rules look at: a filter on columns of their own would go below
+    # them and parse a cell again for each rule.
+    values = ", ".join(f"{_number(c)} AS value_{c}" for c in NUMERIC_COLUMNS)
+    broken = F.expr(f"transform(array(struct({values})), v -> array_compact(array({listed})))[0]")
     # Naming `copies` keeps this filter above the grouping; below it, every rule would be spelled
     # out over the raw cells.
-    broken = _with_values(distinct).filter(f"CASE WHEN {any_broken} THEN copies ELSE 0 END > 0")
-    return broken.select(*distinct.columns, F.expr(f"array_compact(array({listed})) AS broken_rules"))
+    some = "CASE WHEN size(broken_rules) > 0 THEN copies ELSE 0 END > 0"
+    return distinct.withColumn("broken_rules", broken).filter(some)
 
 
 def typed_rows(distinct: DataFrame) -> DataFrame:

@@ -325,3 +325,10 @@ def test_one_file_means_the_same_by_path_and_as_text(spark, tmp_path):
     found = by_path.summary()
     assert found["row_count"] == 3 and found["missing_values_by_column"]["age"] == 1
     assert found["invalid_numeric_values"]["spend"] == 1
+
+
+def test_quarantine_parses_a_cell_once_for_all_rules(spark):
+    rows = spark.createDataFrame([("1",) * len(COLUMNS)], ", ".join(f"{c} string" for c in COLUMNS))
+    plan = quality.quarantine_rows(quality.distinct_rows(rows))._jdf.queryExecution().optimizedPlan().toString()
+    # once to choose the rows, once to list their rules
+    assert plan.count("RLIKE") <= 2 * len(quality.NUMERIC_COLUMNS)
