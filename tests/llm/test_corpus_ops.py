@@ -330,6 +330,46 @@ def test_decontamination_finds_what_the_subsequence_rule_finds(spark):
         assert {(p, i) for i in np.flatnonzero(found).tolist()} <= pairs
 
 
+def test_decontamination_candidates_come_from_the_latent_space(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [sentence(rng, rng.randrange(6, 60), 900) for _ in range(40)]
+    coded = [np.unique(t.split(), return_inverse=True) for t in texts]
+    vocabulary = np.unique(np.concatenate([words for words, _ in coded]))
+    words = [np.searchsorted(vocabulary, kinds)[place] for kinds, place in coded]
+    block = decontaminate.Items(list(range(40)), words, [w[-2:] if i % 2 else w[:0] for i, w in enumerate(words)])
+    sequences = [rng.choices(range(len(vocabulary)), k=rng.randrange(1, 120)) for _ in range(200)]
+    for k in range(60):  # parts of items, in and out of order
+        part = words[k % 40].tolist()
+        sequences.append(rng.sample(part, max(1, len(part) * rng.randrange(3, 11) // 10)) + sequences[k])
+    counts = np.bincount(np.concatenate([np.unique(s) for s in sequences]), minlength=len(vocabulary))
+    block.weigh(counts, len(sequences))
+    at = np.repeat(np.arange(len(sequences)), [len(s) for s in sequences])
+    flat = np.concatenate(sequences)
+    expected = set(zip(*(x.tolist() for x in block.possible(at, flat, len(sequences)))))
+    whole = np.eye(len(vocabulary), dtype=np.float32)
+    sizes = []
+    for rank in (len(vocabulary), len(vocabulary) // 2):  # a space that leaves something out only costs candidates
+        p, i, cosine = block.nearest(at, flat, len(sequences), whole[:, :rank])
+        assert (np.diff(p) >= 0).all() and len(p) == len(cosine)
+        assert expected <= set(zip(p.tolist(), i.tolist()))
+        enough = block.enough(p, i, at, flat, len(sequences))
+        assert set(zip(p[enough].tolist(), i[enough].tolist())) == expected
+        sizes.append(len(p))
+    assert len(expected) <= sizes[0] < 40 * len(sequences) // 10 and sizes[0] < sizes[1]
+
+    bench = spark.createDataFrame(list(enumerate(texts[:5])), "item_id long, text string")
+    docs = spark.createDataFrame([(i, texts[i] + " " + sentence(rng, 50, 900)) for i in range(10)], DOCS)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == {(i, i) for i in range(5)}
+    weigh = decontaminate.Items.weigh
+
+    def unreachable(items, *counted):
+        weigh(items, *counted)
+        items.least[:] = np.inf
+
+    monkeypatch.setattr(decontaminate.Items, "weigh", unreachable)
+    assert decontaminate.contaminated(docs, bench).count() == 0
+
+
 def test_decontamination_of_items_just_over_the_longest_part(spark):
     rng = random.Random(10)
     items = [(n, sentence(rng, n - 2, 3000, f"l{n}x") + " of the") for n in (128, 129, 130, 140, 257, 300)]
