@@ -2,6 +2,7 @@ import json
 import math
 
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from adfathom.operators import features, ordered, splits, training
@@ -131,6 +132,51 @@ def test_both_models_are_ranked(trained):
     assert board[0]["average_precision"] > base + 0.1
 
 
+def test_each_fit_reads_even_parts_one_for_each_task(spark, many_ads, monkeypatch):
+    made, seen = training.classifier, []
+
+    def watched(*asked):
+        fresh = made(*asked)
+        fit = fresh.fit
+
+        def counted(inputs):
+            seen.append([r["count"] for r in inputs.groupBy(F.spark_partition_id()).count().collect()])
+            return fit(inputs)
+
+        fresh.fit = counted
+        return fresh
+
+    monkeypatch.setattr(training, "classifier", watched)
+    # the staged rows lie in 20 files, of which each is a part of its own
+    set_here = {"spark.sql.shuffle.partitions": "20", "spark.sql.files.maxPartitionBytes": "1k"}
+    before = {name: spark.conf.get(name) for name in set_here}
+    try:
+        for name, value in set_here.items():
+            spark.conf.set(name, value)
+        training.train_and_compare(many_ads, forest=SMALL)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(seen) == 2
+    for parts in seen:
+        assert len(parts) == spark.sparkContext.defaultParallelism
+        assert sum(parts) == 300 and max(parts) < 1.5 * min(parts)
+
+
+def test_the_forest_keeps_node_ids_and_grows_the_same_trees(spark):
+    rows = spark.range(0, 2000, 1, 4).selectExpr(
+        "array(id * 37 % 101, id * 53 % 89, id % 7) AS x",
+        "CAST(id * 37 % 101 + id * 53 % 89 + id * id % 60 > 120 AS INT) AS converted",
+        "1.0D + id % 2 AS class_weight",
+    )
+    inputs = rows.select(array_to_vector(F.col("x").cast("array<double>")).alias("model_input"), "converted", "class_weight")
+    forest = training.classifier(training.FOREST, 2000, 42, training.ForestSize(trees=7, depth=10))
+    assert forest.getCacheNodeIds()
+    kept = forest.fit(inputs)
+    assert kept.totalNumNodes > 100
+    assert kept.toDebugString.split("\n")[1:] == forest.setCacheNodeIds(False).fit(inputs).toDebugString.split("\n")[1:]
+
+
 def test_metadata(trained):
     kept = json.loads(json.dumps(trained.metadata))
     assert kept["dataset_row_count"] == 400 and kept["training_row_count"] == 300 and kept["testing_row_count"] == 100
