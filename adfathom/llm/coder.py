@@ -1,13 +1,14 @@
 """Adaptive context-mixing range coder for token ids, many blocks in step.
 
-A block is coded on its own: its model starts empty, so any block can be decoded without the others.
-An id is coded as hexadecimal digits, most significant first. A digit's distribution mixes three
-predictions: order 0 counts the digits seen after the same leading digits; orders 1 and 2 remember the
-id that last followed the previous one or two ids, and add weight to its digit as long as the
-digits so far agree. That weight follows how often such a prediction has been right, by its confidence.
+A block is coded on its own: its contexts start empty, so any block can be decoded without the others.
+An id's distribution mixes three orders. Order 0 has the ids' shares in the frame, which its head lists; orders
+1 and 2 remember the id that last followed the previous one or two ids, and how often in a row it has done so. The range
+is dealt to order 2's id, then order 1's, then by shares to all ids. How much a prediction gets is learned in each block, by
+that confidence: a running mean of how often such a prediction has held.
 
 All blocks of a group advance one id at a time; every numpy call covers one step of all of them, and
-the encoder and the decoder share the model code.
+the encoder and the decoder share the model code. The range is held in doubles, which are exact below 2**53: products are
+cut to whole numbers at once, so that both sides, on any machine, deal the same range.
 """
 
 from __future__ import annotations
@@ -16,209 +17,199 @@ import numpy as np
 
 BLOCK = 4096
 DIGITS = 4
-NODES = 1024
 CONTEXTS = 2048
-GAIN, FULL = 32, 2048
-BOOST = 3072
+#: Share of a step that the mean of a prediction's successes moves by.
+RATE = 1 / 32
 
-#: Three digits, each of less than 2**13 parts, fit between two settlements.
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
-_SIXTEEN = np.uint64(16)
+#: A range has up to 48 bits; below 32 bits the next word of 16 bits is settled.
+_FULL, _LEAST, _WORD = 2.0**48, 2.0**32, 2.0**16
 
 
-#: Turns the counts of 16 values into sums up to each value; all sums are exact in single precision.
-_UPTO = np.triu(np.ones((16, 16), np.float32))
+def shares(counts: np.ndarray, digits: int) -> np.ndarray:
+    """Whole numbers above 0 near the proportion of `counts` whose sum is 16**digits."""
+    room = 16**digits - len(counts)
+    found = 1 + counts * room // max(int(counts.sum()), 1)
+    found[np.argmax(found)] += 16**digits - found.sum()
+    return found
 
 
 class _Models:
-    """The adaptive state of `lanes` blocks."""
-
-    def __init__(self, lanes: int, digits: int):
-        self.digits = digits
-        sizes = [min(16**j, NODES) for j in range(digits)]
-        self.base = np.cumsum([0, *sizes])[:-1]
-        self.rows = int(sum(sizes))
-        self.freq = np.ones((lanes * self.rows, 16), np.float32)
-        self.flat = self.freq.reshape(-1)
-        self.total = np.full(lanes * self.rows, 16, np.int32)
-        self.guess = np.full((2, lanes * CONTEXTS), -1, np.int32)
-        self.trust = np.zeros((2, lanes * CONTEXTS), np.int8)
-        self.tries = np.full((2, lanes * 4 * digits), 4, np.int32)
-        self.right = np.full((2, lanes * 4 * digits), 1, np.int32)
-        self.last = np.zeros((2, lanes), np.int64)
-        self.lane = np.arange(lanes)
-
-    def open(self, k: int) -> None:
-        """Looks up what the contexts of the first k blocks predict."""
-        one, two = self.last[0, :k], self.last[1, :k]
-        lane = self.lane[:k]
-        mixed = (one * 40503, one * 40503 + (two + 1) * 2654435761)
-        self.place = [lane * CONTEXTS + ((m ^ (m >> 11)) & (CONTEXTS - 1)) for m in mixed]
-        self.held = [g.take(p) for g, p in zip(self.guess, self.place)]
-        self.faith = [t.take(p) for t, p in zip(self.trust, self.place)]
-        # of each order, the blocks whose prediction still agrees with the digits so far
-        self.live = [np.flatnonzero(h >= 0) for h in self.held]
-        self.stat = [(lo * 4 + f.take(lo)) * self.digits for lo, f in zip(self.live, self.faith)]
-        self.shown = [h.take(lo) for h, lo in zip(self.held, self.live)]
-        self.prefix = np.zeros(k, np.int64)
-        self.start = lane * self.rows
-
-    def weights(self, digit: int) -> tuple[np.ndarray, np.ndarray]:
-        """(mixed counts of the 16 values of a digit, their sums up to each value)."""
-        node = self.prefix if 16**digit <= NODES else (self.prefix * 2654435761 >> 7) & (NODES - 1)
-        self.row = self.start + (self.base[digit] + node)
-        counts = self.freq.take(self.row, axis=0)
-        total = self.total.take(self.row)
-        flat = counts.reshape(-1)
-        self.said = []
-        for o in (0, 1):
-            live, stat = self.live[o], self.stat[o] + digit
-            said = (self.shown[o] >> (4 * (self.digits - 1 - digit))) & 15
-            tries, right = self.tries[o].take(stat), self.right[o].take(stat)
-            flat[live * 16 + said] += np.minimum(total.take(live) * right // (tries - right + 1), BOOST)
-            self.said.append((said, stat, tries, right))
-        self.sum = total
-        return counts, counts @ _UPTO
-
-    def learn(self, symbol: np.ndarray) -> None:
-        row, total = self.row, self.sum + GAIN
-        self.flat[row * 16 + symbol] += GAIN
-        self.total[row] = total
-        full = row[total > FULL]
-        if len(full):
-            halved = np.ceil(self.freq[full] / 2)
-            self.freq[full] = halved
-            self.total[full] = halved.sum(axis=1)
-        for o in (0, 1):
-            said, stat, tries, right = self.said[o]
-            hit = said == symbol.take(self.live[o])
-            tries, right = tries + 1, right + hit
-            over = tries > 255
-            self.tries[o][stat] = np.where(over, 128, tries)
-            self.right[o][stat] = np.where(over, right >> 1, right)
-            self.live[o], self.stat[o], self.shown[o] = self.live[o][hit], self.stat[o][hit], self.shown[o][hit]
-        self.prefix = self.prefix * 16 + symbol
-
-    def close(self) -> None:
-        """Teaches the contexts the id that has come."""
-        ids, k = self.prefix, len(self.prefix)
-        for o in (0, 1):
-            same, trust = self.held[o] == ids, self.faith[o]
-            self.guess[o][self.place[o]] = np.where(same | (trust > 0), self.held[o], ids)
-            self.trust[o][self.place[o]] = np.where(same, np.minimum(trust + 1, 3), np.maximum(trust - 1, 0))
-        self.last[1, :k] = self.last[0, :k]
-        self.last[0, :k] = ids
-
-
-def _grid(blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The adaptive state of `lanes` blocks; `parts` are the shares of each frame, `frame` the frame of each block."""
+
+    def __init__(self, lanes: int, digits: int, parts: list[np.ndarray], frame: np.ndarray):
+        sizes = np.array([len(p) for p in parts], np.int64)
+        # a prediction leaves enough of the range that every share of what two of them leave has some of it
+        self.most = 1 - 2.0 ** -min(6, (28 - 4 * digits) // 2)
+        self.unit = 16.0**-digits
+        self.first = (np.cumsum(sizes) - sizes)[frame]
+        self.part = np.concatenate(parts).astype(np.float64)
+        self.below = np.concatenate([np.cumsum(p) - p for p in parts]).astype(np.float64)
+        lane = np.arange(lanes)
+        self.home, self.seat = lane * CONTEXTS, lane * 4
+        #: The id last seen in a context (plus 1), times 4, plus its confidence of 1 to 3; 0: none yet.
+        self.seen = [np.zeros(lanes * CONTEXTS, np.int32) for _ in (1, 2)]
+        self.mean = [np.tile([0.0, 0.1, 0.3, 0.5], lanes) for _ in (1, 2)]
+        self.last, self.trace = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+
+    def open(self, k: int, width: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(id of order 2, its range, id of order 1, its range, range of one share of the rest) of the first k blocks."""
+        last, home = self.last[:k], self.home[:k]
+        mark = last * 2654435761
+        self.at = [(last & (CONTEXTS - 1)) + home, ((((mark ^ self.trace[:k]) >> 13) & (CONTEXTS - 1)) + home)]
+        self.trace[:k] = mark >> 5
+        one, two = self.seen[0].take(self.at[0]), self.seen[1].take(self.at[1])
+        self.held = one, two
+        one_id, two_id = (one >> 2) - 1, (two >> 2) - 1
+        seat = self.seat[:k]
+        # what order 2 has said already is not said again
+        self.row = ((one & 3) * (one_id != two_id)) + seat, (two & 3) + seat
+        self.chance = self.mean[0].take(self.row[0]), self.mean[1].take(self.row[1])
+        two_range = np.floor(width * self.chance[1])
+        rest = width - two_range
+        one_range = np.floor(rest * self.chance[0])
+        return two_id, two_range, one_id, one_range, np.floor((rest - one_range) * self.unit)
+
+    def learn(self, ids: np.ndarray, one_held: np.ndarray, two_held: np.ndarray) -> None:
+        k = len(ids)
+        one_chance, two_chance = self.chance
+        self.mean[1][self.row[1]] = two_chance + (two_held * self.most - two_chance) * RATE
+        self.mean[0][self.row[0]] = one_chance + (one_held * self.most - one_chance) * (RATE * ~two_held)
+        fresh = (ids + 1 << 2).astype(np.int32)
+        for seen, at, held in zip(self.seen, self.at, self.held):
+            seen[at] = np.where((held ^ fresh) < 4, np.minimum(held + 1, fresh + 3), fresh + 1)
+        self.last[:k] = ids
+
+
+def _grid(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order of blocks by falling length, their lengths, number of blocks longer than t for each t)."""
-    lengths = np.array([len(b) for b in blocks], np.int64)
     order = np.argsort(-lengths, kind="stable")
     lengths = lengths[order]
     steps = int(lengths[0]) if len(lengths) else 0
     return order, lengths, np.searchsorted(-lengths, -np.arange(steps), "left")
 
 
-def encode_blocks(blocks: list[np.ndarray], digits: int = DIGITS) -> list[bytes]:
-    """Code words of each block of ids (each below 16**digits)."""
-    order, lengths, active = _grid(blocks)
+def _frames(count: int, digits: int, parts: list[np.ndarray] | None, frame: list[int] | None) -> tuple[list, np.ndarray]:
+    if parts is None:
+        return [np.ones(16**digits, np.int64)], np.zeros(count, np.int64)
+    return parts, np.array(frame, np.int64)
+
+
+def encode_blocks(
+    blocks: list[np.ndarray], digits: int = DIGITS, parts: list[np.ndarray] | None = None, frame: list[int] | None = None
+) -> list[bytes]:
+    """Code words of each block of ids (each below 16**digits).
+
+    parts: the shares of the ids of each frame, 16**digits in all; frame: the frame of each block. Without them all ids
+    have equal shares.
+    """
+    order, lengths, active = _grid(np.array([len(b) for b in blocks], np.int64))
     lanes = len(blocks)
-    ids = np.zeros((lanes, len(active)), np.int64)
+    parts, frame = _frames(lanes, digits, parts, frame)
+    ids = np.zeros((lanes, len(active)), np.int32)
     for lane, i in enumerate(order):
         ids[lane, : lengths[lane]] = blocks[i]
     ids = np.ascontiguousarray(ids.T)
-    models = _Models(lanes, digits)
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    out = np.zeros((lanes, 2 * len(active) + 64), ">u2")
-    filled = np.zeros(lanes, np.int64)
-
-    def settle(k: int) -> None:
-        at = np.arange(k)
-        while len(at):
-            l, w = low[at], width[at]
-            same = (l ^ (l + w)) < _TOP
-            tight = ~same & (w < _BOTTOM)
-            w = np.where(tight, (~l + np.uint64(1)) & (_BOTTOM - np.uint64(1)), w)
-            go = same | tight
-            at, l, w = at[go], l[go], w[go]
-            out[at, filled[at]] = l >> np.uint64(48)
-            filled[at] += 1
-            low[at], width[at] = l << _SIXTEEN, w << _SIXTEEN
-
-    for t, k in enumerate(active):
-        if filled.max() + 16 > out.shape[1]:
-            out = np.pad(out, ((0, 0), (0, out.shape[1])))
-        k = int(k)
-        models.open(k)
-        lane = models.lane[:k]
-        for digit in range(digits):
-            symbol = (ids[t, :k] >> (4 * (digits - 1 - digit))) & 15
-            counts, upto = models.weights(digit)
-            at = lane * 16 + symbol
-            high, own = upto.take(at).astype(np.uint64), counts.take(at).astype(np.uint64)
-            unit = width[:k] // upto[:, 15].astype(np.uint64)
-            low[:k] += unit * (high - own)
-            width[:k] = unit * own
-            models.learn(symbol)
-            if digit % 3 == 2 or digit == digits - 1:
-                settle(k)
-        models.close()
-    tail = np.stack([(low >> np.uint64(s)) & np.uint64(0xFFFF) for s in (48, 32, 16, 0)], axis=1).astype(">u2")
+    models = _Models(lanes, digits, parts, frame[order])
+    low, width = np.zeros(lanes), np.full(lanes, _FULL)
+    # words with their carry in bit 16, one row for each place
+    out = np.zeros((len(active) // 2 + 64, lanes), np.uint32)
+    flat, filled = out.reshape(-1), np.arange(lanes)
+
+    def settle(at: np.ndarray) -> None:
+        part = low[at]
+        word = np.floor(part * (1 / _LEAST))
+        place = filled[at]
+        flat[place] = word
+        filled[at] = place + lanes
+        low[at] = (part - word * _LEAST) * _WORD
+
+    for t, k in enumerate(active.tolist()):
+        if t % 2 == 0 and filled.max() + 8 * lanes > len(flat):
+            out = np.concatenate([out, np.zeros_like(out)])
+            flat = out.reshape(-1)
+        now = ids[t, :k].astype(np.int64)
+        two_id, two_range, one_id, one_range, unit = models.open(k, width[:k])
+        two_held = (two_id == now) & (two_range >= 1)
+        one_held = (one_id == now) & (one_range >= 1) & ~two_held
+        at = models.first[:k] + now
+        shift = two_range + one_range + unit * models.below.take(at)
+        size = unit * models.part.take(at)
+        shift = np.where(one_held, two_range, shift)
+        shift[two_held] = 0
+        low[:k] += shift
+        width[:k] = np.where(two_held, two_range, np.where(one_held, one_range, size))
+        models.learn(now, one_held, two_held)
+        small = np.flatnonzero(width[:k] < _LEAST)
+        while len(small):
+            settle(small)
+            wider = width[small] * _WORD
+            width[small] = wider
+            small = small[wider < _LEAST]
+    for _ in range(3):
+        if filled.max() + lanes > len(flat):
+            out = np.concatenate([out, np.zeros_like(out)])
+            flat = out.reshape(-1)
+        settle(np.arange(lanes))
+    for place in range(int(filled.max()) // lanes if lanes else 0, 0, -1):
+        out[place - 1] += out[place] >> 16
+    columns = np.ascontiguousarray(out.T.astype(">u2"))
     result = [b""] * lanes
     for lane, i in enumerate(order):
-        result[i] = out[lane, : filled[lane]].tobytes() + tail[lane].tobytes()
+        result[i] = columns[lane, : filled[lane] // lanes].tobytes()
     return result
 
 
-def decode_blocks(codes: list[bytes], sizes: list[int], digits: int = DIGITS) -> list[np.ndarray]:
-    """The ids of each block, given its code words and number of ids."""
-    order, lengths, active = _grid([np.empty(n, np.int8) for n in sizes])
+def decode_blocks(
+    codes: list[bytes],
+    sizes: list[int],
+    digits: int = DIGITS,
+    parts: list[np.ndarray] | None = None,
+    frame: list[int] | None = None,
+) -> list[np.ndarray]:
+    """The ids of each block, given its code words, number of ids and what the encoder was given."""
+    order, lengths, active = _grid(np.array(sizes, np.int64))
     lanes = len(codes)
-    models = _Models(lanes, digits)
-    longest = max(map(len, codes), default=0) // 2 + 8
-    words = np.zeros((lanes, longest), np.uint64)
+    parts, frame = _frames(lanes, digits, parts, frame)
+    models = _Models(lanes, digits, parts, frame[order])
+    owner = np.concatenate([np.repeat(np.arange(len(p), dtype=np.int32), p) for p in parts])
+    top = 16**digits - 1
+    shelf = frame[order] * 16**digits
+    words = np.zeros((lanes, max(map(len, codes), default=0) // 2 + 4), np.uint16)
     for lane, i in enumerate(order):
-        part = np.frombuffer(codes[i], ">u2")
+        part = np.frombuffer(codes[i], ">u2", len(codes[i]) // 2)
         words[lane, : len(part)] = part
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    code = np.zeros(lanes, np.uint64)
-    for j in range(4):
-        code = (code << _SIXTEEN) | words[:, j]
-    taken = np.full(lanes, 4, np.int64)
-    ids = np.zeros((len(active), lanes), np.int64)
-
-    def settle(k: int) -> None:
-        at = np.arange(k)
-        while len(at):
-            l, w = low[at], width[at]
-            same = (l ^ (l + w)) < _TOP
-            tight = ~same & (w < _BOTTOM)
-            w = np.where(tight, (~l + np.uint64(1)) & (_BOTTOM - np.uint64(1)), w)
-            go = same | tight
-            at, l, w = at[go], l[go], w[go]
-            code[at] = (code[at] << _SIXTEEN) | words[at, np.minimum(taken[at], longest - 1)]
-            taken[at] += 1
-            low[at], width[at] = l << _SIXTEEN, w << _SIXTEEN
-
-    for t, k in enumerate(active):
-        k = int(k)
-        models.open(k)
-        lane = models.lane[:k]
-        for digit in range(digits):
-            counts, upto = models.weights(digit)
-            total = upto[:, 15].astype(np.uint64)
-            unit = width[:k] // total
-            target = np.minimum((code[:k] - low[:k]) // unit, total - np.uint64(1)).astype(np.float32)
-            symbol = (upto <= target[:, None]).argmin(axis=1)
-            at = lane * 16 + symbol
-            high, own = upto.take(at).astype(np.uint64), counts.take(at).astype(np.uint64)
-            low[:k] += unit * (high - own)
-            width[:k] = unit * own
-            models.learn(symbol)
-            if digit % 3 == 2 or digit == digits - 1:
-                settle(k)
-        models.close()
-        ids[t, :k] = models.prefix
+    words = np.ascontiguousarray(words.T).astype(np.float64)
+    end, words = words.size - 1, words.reshape(-1)
+    code, width = np.zeros(lanes), np.full(lanes, _FULL)
+    for place in range(3):
+        code = code * _WORD + words[place * lanes : (place + 1) * lanes]
+    taken = np.arange(lanes) + 3 * lanes
+    ids = np.zeros((len(active), lanes), np.int32)
+    for t, k in enumerate(active.tolist()):
+        two_id, two_range, one_id, one_range, unit = models.open(k, width[:k])
+        here = code[:k]
+        two_held = here < two_range
+        after = here - two_range
+        one_held = (after < one_range) & ~two_held
+        left = after - one_range
+        slot = np.clip(left / unit, 0, top).astype(np.int64)
+        found = owner.take(slot + shelf[:k])
+        at = models.first[:k] + found
+        left -= unit * models.below.take(at)
+        now = np.where(two_held, two_id, np.where(one_held, one_id, found)).astype(np.int64)
+        size = unit * models.part.take(at)
+        code[:k] = np.where(two_held, here, np.where(one_held, after, left))
+        width[:k] = np.where(two_held, two_range, np.where(one_held, one_range, size))
+        ids[t, :k] = now
+        models.learn(now, one_held, two_held)
+        small = np.flatnonzero(width[:k] < _LEAST)
+        while len(small):
+            place = taken[small]
+            code[small] = code[small] * _WORD + words.take(np.minimum(place, end))
+            taken[small] = place + lanes
+            wider = width[small] * _WORD
+            width[small] = wider
+            small = small[wider < _LEAST]
     result = [np.zeros(0, np.uint32)] * lanes
     columns = np.ascontiguousarray(ids.T)
     for lane, i in enumerate(order):
