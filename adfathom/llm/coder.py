@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 4096
+BLOCK = 2048
 DIGITS = 4
-CONTEXTS = 2048
+CONTEXTS = 1024
 #: Share of a step that the mean of a prediction's successes moves by.
 RATE = 1 / 32
 
@@ -44,40 +44,58 @@ class _Models:
         self.first = (np.cumsum(sizes) - sizes)[frame]
         self.part = np.concatenate(parts).astype(np.float64)
         self.below = np.concatenate([np.cumsum(p) - p for p in parts]).astype(np.float64)
-        lane = np.arange(lanes)
+        lane = np.arange(2 * lanes).reshape(2, lanes)  # a row for order 1, one for order 2
         self.home, self.seat = lane * CONTEXTS, lane * 4
         #: The id last seen in a context (plus 1), times 4, plus its confidence of 1 to 3; 0: none yet.
-        self.seen = [np.zeros(lanes * CONTEXTS, np.int32) for _ in (1, 2)]
-        self.mean = [np.tile([0.0, 0.1, 0.3, 0.5], lanes) for _ in (1, 2)]
+        self.kind = np.uint16 if sizes.max(initial=0) < 16_000 else np.int32
+        self.seen = np.zeros(2 * lanes * CONTEXTS, self.kind)
+        self.mean = np.tile([0.0, 0.1, 0.3, 0.5], 2 * lanes)
         self.last, self.trace = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def open(self, k: int, width: np.ndarray) -> tuple[np.ndarray, ...]:
         """(id of order 2, its range, id of order 1, its range, range of one share of the rest) of the first k blocks."""
-        last, home = self.last[:k], self.home[:k]
+        last = self.last[:k]
         mark = last * 2654435761
-        self.at = [(last & (CONTEXTS - 1)) + home, ((((mark ^ self.trace[:k]) >> 13) & (CONTEXTS - 1)) + home)]
+        self.at = np.stack([last, (mark ^ self.trace[:k]) >> 13])
+        self.at &= CONTEXTS - 1
+        self.at += self.home[:, :k]
         self.trace[:k] = mark >> 5
-        one, two = self.seen[0].take(self.at[0]), self.seen[1].take(self.at[1])
-        self.held = one, two
-        one_id, two_id = (one >> 2) - 1, (two >> 2) - 1
-        seat = self.seat[:k]
+        self.held = self.seen.take(self.at, mode="clip")
+        held = self.held.astype(np.int64)
+        self.row = held & 3
+        held >>= 2
+        held -= 1
         # what order 2 has said already is not said again
-        self.row = ((one & 3) * (one_id != two_id)) + seat, (two & 3) + seat
-        self.chance = self.mean[0].take(self.row[0]), self.mean[1].take(self.row[1])
+        self.row[0] *= held[0] != held[1]
+        self.row += self.seat[:, :k]
+        self.chance = self.mean.take(self.row, mode="clip")
         two_range = np.floor(width * self.chance[1])
         rest = width - two_range
         one_range = np.floor(rest * self.chance[0])
-        return two_id, two_range, one_id, one_range, np.floor((rest - one_range) * self.unit)
+        rest -= one_range
+        rest *= self.unit
+        return held[1], two_range, held[0], one_range, np.floor(rest)
 
     def learn(self, ids: np.ndarray, one_held: np.ndarray, two_held: np.ndarray) -> None:
-        k = len(ids)
-        one_chance, two_chance = self.chance
-        self.mean[1][self.row[1]] = two_chance + (two_held * self.most - two_chance) * RATE
-        self.mean[0][self.row[0]] = one_chance + (one_held * self.most - one_chance) * (RATE * ~two_held)
-        fresh = (ids + 1 << 2).astype(np.int32)
-        for seen, at, held in zip(self.seen, self.at, self.held):
-            seen[at] = np.where((held ^ fresh) < 4, np.minimum(held + 1, fresh + 3), fresh + 1)
-        self.last[:k] = ids
+        step = np.stack([one_held, two_held]) * self.most
+        step -= self.chance
+        step *= RATE
+        step[0] *= ~two_held
+        step += self.chance
+        self.mean[self.row] = step
+        fresh = (ids + 1 << 2).astype(self.kind)
+        again = (self.held ^ fresh) < 4
+        self.seen[self.at] = np.where(again, np.minimum(self.held + 1, fresh + 3), fresh + 1)
+        self.last[: len(ids)] = ids
+
+
+def _turned(rows: np.ndarray) -> np.ndarray:
+    """The transpose, laid out anew tile by tile."""
+    found = np.empty(rows.shape[::-1], rows.dtype)
+    for first in range(0, len(rows), 64):
+        for start in range(0, rows.shape[1], 64):
+            found[start : start + 64, first : first + 64] = rows[first : first + 64, start : start + 64].T
+    return found
 
 
 def _grid(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,13 +120,15 @@ def encode_blocks(
     parts: the shares of the ids of each frame, 16**digits in all; frame: the frame of each block. Without them all ids
     have equal shares.
     """
+    if not blocks:
+        return []
     order, lengths, active = _grid(np.array([len(b) for b in blocks], np.int64))
     lanes = len(blocks)
     parts, frame = _frames(lanes, digits, parts, frame)
     ids = np.zeros((lanes, len(active)), np.int32)
     for lane, i in enumerate(order):
         ids[lane, : lengths[lane]] = blocks[i]
-    ids = np.ascontiguousarray(ids.T)
+    ids = _turned(ids)
     models = _Models(lanes, digits, parts, frame[order])
     low, width = np.zeros(lanes), np.full(lanes, _FULL)
     # words with their carry in bit 16, one row for each place
@@ -132,8 +152,8 @@ def encode_blocks(
         two_held = (two_id == now) & (two_range >= 1)
         one_held = (one_id == now) & (one_range >= 1) & ~two_held
         at = models.first[:k] + now
-        shift = two_range + one_range + unit * models.below.take(at)
-        size = unit * models.part.take(at)
+        shift = two_range + one_range + unit * models.below.take(at, mode="clip")
+        size = unit * models.part.take(at, mode="clip")
         shift = np.where(one_held, two_range, shift)
         shift[two_held] = 0
         low[:k] += shift
@@ -150,9 +170,9 @@ def encode_blocks(
             out = np.concatenate([out, np.zeros_like(out)])
             flat = out.reshape(-1)
         settle(np.arange(lanes))
-    for place in range(int(filled.max()) // lanes if lanes else 0, 0, -1):
+    for place in range(int(filled.max()) // lanes - 1, 0, -1):
         out[place - 1] += out[place] >> 16
-    columns = np.ascontiguousarray(out.T.astype(">u2"))
+    columns = _turned(out.astype(">u2"))
     result = [b""] * lanes
     for lane, i in enumerate(order):
         result[i] = columns[lane, : filled[lane] // lanes].tobytes()
@@ -167,6 +187,8 @@ def decode_blocks(
     frame: list[int] | None = None,
 ) -> list[np.ndarray]:
     """The ids of each block, given its code words, number of ids and what the encoder was given."""
+    if not codes:
+        return []
     order, lengths, active = _grid(np.array(sizes, np.int64))
     lanes = len(codes)
     parts, frame = _frames(lanes, digits, parts, frame)
@@ -178,8 +200,8 @@ def decode_blocks(
     for lane, i in enumerate(order):
         part = np.frombuffer(codes[i], ">u2", len(codes[i]) // 2)
         words[lane, : len(part)] = part
-    words = np.ascontiguousarray(words.T).astype(np.float64)
-    end, words = words.size - 1, words.reshape(-1)
+    words = _turned(words).astype(np.float64)
+    words = words.reshape(-1)
     code, width = np.zeros(lanes), np.full(lanes, _FULL)
     for place in range(3):
         code = code * _WORD + words[place * lanes : (place + 1) * lanes]
@@ -192,12 +214,12 @@ def decode_blocks(
         after = here - two_range
         one_held = (after < one_range) & ~two_held
         left = after - one_range
-        slot = np.clip(left / unit, 0, top).astype(np.int64)
-        found = owner.take(slot + shelf[:k])
+        slot = np.maximum(np.minimum(left / unit, top), 0).astype(np.int64)
+        found = owner.take(slot + shelf[:k], mode="clip")
         at = models.first[:k] + found
-        left -= unit * models.below.take(at)
+        left -= unit * models.below.take(at, mode="clip")
         now = np.where(two_held, two_id, np.where(one_held, one_id, found)).astype(np.int64)
-        size = unit * models.part.take(at)
+        size = unit * models.part.take(at, mode="clip")
         code[:k] = np.where(two_held, here, np.where(one_held, after, left))
         width[:k] = np.where(two_held, two_range, np.where(one_held, one_range, size))
         ids[t, :k] = now
@@ -205,13 +227,13 @@ def decode_blocks(
         small = np.flatnonzero(width[:k] < _LEAST)
         while len(small):
             place = taken[small]
-            code[small] = code[small] * _WORD + words.take(np.minimum(place, end))
+            code[small] = code[small] * _WORD + words.take(place, mode="clip")
             taken[small] = place + lanes
             wider = width[small] * _WORD
             width[small] = wider
             small = small[wider < _LEAST]
     result = [np.zeros(0, np.uint32)] * lanes
-    columns = np.ascontiguousarray(ids.T)
+    columns = _turned(ids)
     for lane, i in enumerate(order):
         result[i] = columns[lane, : lengths[lane]].astype("<u4")
     return result

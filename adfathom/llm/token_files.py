@@ -26,18 +26,18 @@ from pyspark.sql import functions as F
 from adfathom.llm import texts
 from adfathom.llm.coder import BLOCK, decode_blocks, encode_blocks, shares
 
-FRAME = 512 * BLOCK
-LANES = 4096
+FRAME = 1024 * BLOCK
+LANES = 8192
 MAGIC = b"TID2"
 HEAD = struct.Struct("<4sIIIBI")  # magic, documents, distinct ids, blocks, digits, checksum of what the head lists
 BLOCK_HEAD = struct.Struct("<III")  # ids, bytes, checksum of the ids
-SLICE = 8 << 20
+SLICE = 24 << 20
 #: Most that the words met before, with their ids, may take; longer words than LONG bytes are then forgotten first.
-KNOWN_BYTES, LONG = 32 << 20, 64
+KNOWN_BYTES, LONG = 64 << 20, 64
 #: New words that the library encodes as one text.
 TOGETHER = 256
 #: A frame counts as so many blocks at least, as each needs a table of its shares to be read.
-LEAST = 32
+LEAST = 64
 FRAMES = "part int, place long, ahead long, n_tokens long, frame binary"
 
 #: Kind of a byte: ASCII letter, digit or sign; 0 for all others.

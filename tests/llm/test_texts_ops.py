@@ -57,6 +57,89 @@ def test_damage_is_noticed():
             token_files.unpack_frames([frame[:at] + bytes([frame[at] ^ 1]) + frame[at + 1 :]])
 
 
+def test_each_id_is_coded_in_one_step(monkeypatch):
+    """Not digit by digit: the model learns as often as the longest block has ids."""
+    steps, learn = [], coder._Models.learn
+    monkeypatch.setattr(coder._Models, "learn", lambda self, *found: (steps.append(0), learn(self, *found)))
+    blocks = [np.arange(300) % 7 * 9000, np.arange(120)]
+    codes = coder.encode_blocks(blocks)
+    assert len(steps) == 300
+    assert [b.tolist() for b in coder.decode_blocks(codes, [300, 120])] == [b.tolist() for b in blocks]
+    assert len(steps) == 600
+
+
+def test_ids_without_order_take_little_more_than_the_entropy_of_their_shares():
+    """What is given to predictions that hold by chance is not saved again where they fail."""
+    rng = np.random.default_rng(2)
+    ids = np.minimum(rng.zipf(1.3, 60_000), 3000) - 1
+    counts = np.bincount(ids, minlength=3000)
+    parts = coder.shares(counts, 4)
+    assert parts.sum() == 1 << 16 and parts.min() == 1
+    blocks = np.split(ids, 30)
+    codes = coder.encode_blocks(blocks, 4, [parts], [0] * 30)
+    found = coder.decode_blocks(codes, [2000] * 30, 4, [parts], [0] * 30)
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, found))
+    chance = counts[counts > 0] / len(ids)
+    assert 8 * sum(map(len, codes)) < 1.08 * len(ids) * -(chance * np.log2(chance)).sum()
+
+
+def test_frames_of_any_size_and_vocabulary_come_back():
+    rng = np.random.default_rng(3)
+    frames = [
+        ([7], np.array([0]), np.zeros(0, np.uint32)),
+        ([None, 1, 1], np.array([1, 0, 2]), np.array([9, 9, 9], np.uint32)),
+        ([2], np.array([90_000]), rng.permutation(90_000).astype(np.uint32) * 47_000),  # needs five digits
+        ([3, 4], np.array([70_000, 5]), rng.integers(0, 50_000, 70_005).astype(np.uint32)),
+    ]
+    for (docs, sizes, ids), (names, found) in zip(frames, token_files.unpack_frames(token_files.pack_frames(frames))):
+        assert names == docs and [len(f) for f in found] == sizes.tolist()
+        assert np.array_equal(np.concatenate(found), ids)
+
+
+class Asked:
+    """A tokenizer that notes what it is asked to encode."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.seen = tokenizer, []
+
+    def encode_batch_fast(self, column, **options):
+        self.seen += column
+        return self.tokenizer.encode_batch_fast(column, **options)
+
+
+def test_library_is_asked_for_new_words_only():
+    library, cached = Tokenizer.from_file(IDS), token_files.CachedTokenizer(IDS)
+    cached.encode(["alpha beta (gamma) 12 delta", None, "beta"])
+    cached.tokenizer = Asked(cached.tokenizer)
+    text = "alpha, beta... 12) delta! beta:gamma"
+    assert cached.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sorted(cached.tokenizer.seen) == ["!", ",", "...", ":"]
+
+
+def test_known_words_are_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(token_files, "KNOWN_BYTES", 20_000)
+    library, cached = Tokenizer.from_file(IDS), token_files.CachedTokenizer(IDS)
+    rng = random.Random(6)
+    for size in (50, 100, 200, 2000, 50, 200):
+        column = [" ".join("".join(rng.choices("abcd", k=rng.randrange(1, 7))) for _ in range(size)), "x  y" * 500]
+        ids, bounds = cached.encode(column)
+        found = library.encode_batch_fast(column, add_special_tokens=False)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [f.ids for f in found]
+        assert cached.known.nbytes + cached.ids.nbytes + cached.ends.nbytes <= 20_016
+
+
+def test_words_are_cut_where_the_library_cuts():
+    """Every string of up to five signs over letters, endings, digits, signs and spaces."""
+    library, cached = Tokenizer.from_file(IDS), token_files.CachedTokenizer(IDS)
+    column = ["".join(t) for n in range(6) for t in itertools.product(["s", "'", "-", "5", "\u00e9", " ", "\u2009"], repeat=n)]
+    rng = random.Random(7)
+    signs = ["'ll", "'t", "re", " ", "  ", "\u00b2", "\u3000", "\u5b57", "_", "\x7f", "9", "A", "|>", "<|endoftext", "\U0001f600", "\n", "\u1680"]
+    column += ["".join(rng.choices(signs, k=rng.randrange(3, 15))) for _ in range(10_000)]
+    ids, bounds = cached.encode(column)
+    found = library.encode_batch_fast(column, add_special_tokens=False)
+    assert all(ids[a:b].tolist() == f.ids for a, b, f in zip(bounds[:-1], bounds[1:], found))
+
+
 def test_cached_tokenizer_equals_the_library_on_white_space():
     """Every string of up to five signs over several kinds of white space, and longer ones at random."""
     library, cached = Tokenizer.from_file(IDS), token_files.CachedTokenizer(IDS)
