@@ -27,11 +27,11 @@ from adfathom.llm import texts
 from adfathom.llm.coder import BLOCK, decode_blocks, encode_blocks, shares
 
 FRAME = 1024 * BLOCK
-LANES = 8192
+LANES = 6144
 MAGIC = b"TID2"
 HEAD = struct.Struct("<4sIIIBI")  # magic, documents, distinct ids, blocks, digits, checksum of what the head lists
 BLOCK_HEAD = struct.Struct("<III")  # ids, bytes, checksum of the ids
-SLICE = 24 << 20
+SLICE = 12 << 20
 #: Most that the words met before, with their ids, may take; longer words than LONG bytes are then forgotten first.
 KNOWN_BYTES, LONG = 64 << 20, 64
 #: New words that the library encodes as one text.
