@@ -370,6 +370,40 @@ def test_decontamination_candidates_come_from_the_latent_space(spark, monkeypatc
     assert decontaminate.contaminated(docs, bench).count() == 0
 
 
+def test_decontamination_fits_the_space_to_all_passages(spark, monkeypatch):
+    rng = random.Random(13)
+    known, odds = [f"k{i}" for i in range(60)], [0.9**i for i in range(60)]
+    items = [(i, " ".join(known[i * 12 : i * 12 + 12])) for i in range(5)]
+    docs = [(i, " ".join(rng.choices(known, odds, k=rng.randrange(6)) + ["other"])) for i in range(40_000)]
+    docs[7] = (None, docs[7][1])
+    docs += [docs[8]] * 50 + [(9, items[0][1])]
+    real, seen = decontaminate._summed, []
+
+    def summed(passages, shared, basis, both):
+        seen.append((shared.value, basis, both, real(passages, shared, basis, both)))
+        return seen[-1][-1]
+
+    monkeypatch.setattr(decontaminate, "_summed", summed)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated(spark.createDataFrame(docs, DOCS), bench)
+    assert (9, 0) in {(r.doc_id, r.item_id) for r in found.collect()} and [both for _, _, both, _ in seen] == [False, True]
+    block = seen[0][0]
+    hashed = decontaminate.plain_words(*next(iter(decontaminate.texts.text_slices(pa.array([" ".join(known)]))))[1:])[0]
+    number = dict(zip(known, np.searchsorted(block.vocabulary, hashed).tolist()))
+    times = np.zeros((len(docs), len(known)))
+    for i, (_, text) in enumerate(docs):
+        for w in text.split():
+            if w in number:
+                times[i, number[w]] += 1
+    rarity = np.log((len(docs) + 1) / ((times > 0).sum(axis=0) + 0.5)).clip(0.01)
+    vectors = np.where(times > 0, 1 + np.log(np.maximum(times, 1)), 0) * rarity
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    for _, basis, both, total in seen:
+        expected = vectors.T @ vectors @ basis
+        assert np.allclose(total, basis.T @ expected if both else expected, rtol=1e-4, atol=0.05)
+    assert 0 < len(block.often) < len(known)
+
+
 def test_decontamination_of_items_just_over_the_longest_part(spark):
     rng = random.Random(10)
     items = [(n, sentence(rng, n - 2, 3000, f"l{n}x") + " of the") for n in (128, 129, 130, 140, 257, 300)]
