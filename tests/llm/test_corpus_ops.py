@@ -568,3 +568,19 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert {r.doc_id: r.ids for r in corpus_pipeline.run(spark, folder).collect()} == {
         d: r.ids for d, r in seen["sentencepiece_ids"].items()
     }
+
+
+def test_pipeline_fits_the_space_of_decontamination_to_all_passages(spark, tmp_path, monkeypatch):
+    rng = random.Random(14)
+    item = sentence(rng, 20, 1000, "k")
+    docs = [(i, f"{rng.choice(item.split())} {sentence(rng, 3)}") for i in range(40_000)] + [(50_000, item)]
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    real, fitted = decontaminate.latent_space, []
+
+    def latent_space(passages, *others):
+        fitted.append(passages.count())
+        return real(passages, *others)
+
+    monkeypatch.setattr(decontaminate, "latent_space", latent_space)
+    kept = dict(corpus_pipeline.STAGES)["decontamination"](spark, spark.createDataFrame(docs, DOCS), str(tmp_path))
+    assert kept.count() == 40_000 and fitted == [len(docs)]
